@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titerlake.llm import chat, lines
+from titerlake.llm import chat, language, lines, quality, secrets, telephony
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op9_language_id": language.op9_language_id,
+    "op10_telephony": telephony.op10_telephony,
 }
 ORACLE_SQL: dict[str, str] = {**chat.ORACLE_SQL, **lines.ORACLE_SQL}

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bytes of text that one slice of an Arrow batch holds at most (one longer text makes a slice of its own).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def pick(*columns: tuple[str, str]) -> list[Column]:
