@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titerlake.llm import chat, language, lines, quality, secrets, telephony
+from titerlake.llm import chat, jaccard, language, lines, mixing, packing, quality, secrets, telephony
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_mix_sources": mixing.op7_mix_sources,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_language_id": language.op9_language_id,
     "op10_telephony": telephony.op10_telephony,

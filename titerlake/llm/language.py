@@ -124,6 +124,22 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: LanguageFilter, least: float) -> DataFrame:
+    """All columns of the rows whose ``text`` has a letter and a language with a share of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for whole in batches:
+            for batch in slices(whole):
+                letters = np.array([t is not None and any(map(str.isalpha, t)) for t in batch.column("text").to_pylist()], bool)
+                if model.languages:
+                    letters &= model.shares(batch.column("text")).max(1) >= least
+                yield batch.filter(pa.array(letters))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id) -> F.Column:
     """Remainder of the document's fold: crc32 of the id as text, modulo 5."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
