@@ -2,11 +2,12 @@
 
 A document's set is its distinct ``k``-word shingles (as 64-bit hashes). Two sets with Jaccard similarity t or more
 share a token among the first ``n - ceil(t * n) + 1`` of each, whatever total order all sets are sorted by. ``ORDERS``
-such orders are used. Order i sorts by the document frequency that row i of a count sketch estimates (rare first),
-then by hash; a sketch that is coarse makes an order worse, never wrong.
+such orders are used. Each sorts by a frequency level first, rare tokens first, and inside a level by a hash of its
+own. The level says how far above the mean a token's counter lies, in a table of ``WIDTH`` counters that count all
+shingles of all texts by hash; a coarse table makes the orders worse, never wrong.
 
 Steps, each a Spark job over all documents:
-1. per text: set size, 128-bit fingerprint of the set, and the sketch's counts, summed over all texts;
+1. per text: set size, 128-bit fingerprint of the set, and the frequency table, summed over all texts;
 2. equal sets become one class, represented by its smallest doc_id;
 3. prefix tokens of the representatives under the first order; pairs that share one are intersected with the
    filters of the other orders (a token with very many holders ties each to the least one instead), and the
@@ -24,8 +25,8 @@ rows that share a doc_id count as one document in links and keep their own set s
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,34 +37,27 @@ from pyspark.sql import functions as F
 
 from titerlake.llm.components import connected_components
 from titerlake.llm.scratch import Scratch
-from titerlake.llm.text import filled, mixed, pick, slices
+from titerlake.llm.text import mixed, pick, slices, word_hashes
 
 ORDERS = 3
-#: Counters of one sketch row; fixed, so what is broadcast (8 bytes each) has a fixed size.
-WIDTH = 1 << 15
-PIECE = 1 << 10
+#: Counters of the frequency table; fixed, so what the driver gets and broadcasts has a fixed size.
+BITS = 21
+WIDTH = 1 << BITS
+PIECE = 1 << 16
+#: Tokens that a task holds before it counts them.
+HELD = 1 << 21
 #: Holders of a prefix token up to which its pairs are formed; beyond, the block tasks alone compare them.
 HEAVY = 64
 #: Documents of one block of a cluster.
 BLOCK = 1024
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
-class _Words(dict):
-    """Hash of each word seen, forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_sets(texts: pa.Array, k: int, known: _Words) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, ascending within each; and where each text's begin."""
-    words = [raw.lower().split() for raw in filled(texts).cast(pa.large_binary()).to_pylist()]
-    lengths = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, lengths.sum())
+    flat, starts = word_hashes(texts, lower=True)
+    lengths = np.diff(starts)
     n = max(len(flat) - k + 1, 0)
     rolled = np.zeros(n, np.uint64)
     for j in range(k):
@@ -72,14 +66,12 @@ def shingle_sets(texts: pa.Array, k: int, known: _Words) -> tuple[np.ndarray, np
     counts = np.where(lengths >= k, lengths - k + 1, np.minimum(lengths, 1))
     offsets = np.concatenate([[0], np.cumsum(counts)])
     out = np.empty(offsets[-1], np.uint64)
-    starts = np.cumsum(lengths) - lengths
-    for i, own in enumerate(words):
-        low, high = offsets[i], offsets[i + 1]
-        if lengths[i] >= k:
-            out[low:high] = rolled[starts[i] : starts[i] + high - low]
+    for begin, words, low, high in zip(starts.tolist(), lengths.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+        if words >= k:
+            out[low:high] = rolled[begin : begin + high - low]
             out[low:high].sort()
-        elif own:
-            out[low] = xxhash.xxh3_64_intdigest(b" ".join(own), seed=k)
+        elif words:
+            out[low] = xxhash.xxh3_64_intdigest(flat[begin : begin + words].tobytes(), seed=k)
     keep = np.ones(len(out), bool)
     keep[1:] = out[1:] != out[:-1]
     keep[offsets[:-1][counts > 0]] = True
@@ -87,47 +79,57 @@ def shingle_sets(texts: pa.Array, k: int, known: _Words) -> tuple[np.ndarray, np
     return out[keep], kept[offsets]
 
 
-def _bucket(tokens: np.ndarray, order: int) -> np.ndarray:
-    return (mixed(tokens + np.uint64(order + 1)) >> np.uint64(64 - 15)).astype(np.int64)
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def frequency_levels(counts: np.ndarray) -> np.ndarray:
+    """0 for counters about or below the mean, then by powers of two of their excess in standard deviations."""
+    excess = (counts - counts.mean()) / max(np.sqrt(counts.mean()), 1.0)
+    return np.ceil(np.log2(np.maximum(excess, 1.0)) * 2).astype(np.uint8)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def prefixes_of(tokens: np.ndarray, offsets: np.ndarray, order: int, counts: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The first tokens of each set under an order: estimated frequency, then a hash of its own."""
-    spread = mixed(tokens + np.uint64(order + 1))
-    rank = counts[order][(spread >> np.uint64(64 - 15)).astype(np.int64)].astype(np.uint64)
-    key = (rank << np.uint64(40)) | ((spread << np.uint64(15)) >> np.uint64(24))
+def prefixes_of(tokens: np.ndarray, offsets: np.ndarray, order: int, levels: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The first tokens of each set under an order: frequency level, then a hash of its own. Sorted for order 0 only."""
+    spread = (tokens ^ (tokens >> np.uint64(29))) * np.uint64(_SPREAD[order])
+    key = (levels[_bucket(tokens)].astype(np.uint64) << np.uint64(56)) | (spread >> np.uint64(8))
     out = []
     for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        out.append(tokens[low:high][np.argsort(key[low:high])[: prefix_length(high - low, percent)]])
+        n = prefix_length(high - low, percent)
+        at = np.argsort(key[low:high])[:n] if order == 0 or n < 2 else np.argpartition(key[low:high], n - 1)[:n]
+        out.append(tokens[low:high][at])
     return out
 
 
-def _profile(k: int, sketch: bool):
-    """Rows of kind 0: a document's set size and fingerprint. Rows of kind 1: a piece of the task's sketch."""
+def _profile(k: int):
+    """Rows of kind 0: a document's set size and fingerprint. Rows of kind 1: a piece (``f1``) of the task's counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _Words(), np.zeros((ORDERS, WIDTH), np.int64)
+        counts, held = np.zeros(WIDTH, np.int64), []
         for whole in batches:
             for batch in slices(whole):
                 high, low = [], []
-                flat, offsets = shingle_sets(batch.column("text"), k, known)
+                flat, offsets = shingle_sets(batch.column("text"), k)
                 sizes = np.diff(offsets)
                 raw = flat.tobytes()
                 for start, end in zip(8 * offsets[:-1], 8 * offsets[1:], strict=True):
                     digest = xxhash.xxh3_128_intdigest(raw[start:end])
                     high.append((digest >> 64) - (1 << 63))
                     low.append((digest & (1 << 64) - 1) - (1 << 63))
-                for order in range(ORDERS):
-                    counts[order] += np.bincount(_bucket(flat, order), minlength=WIDTH)
+                held.append(_bucket(flat))
+                if sum(map(len, held)) > HELD:
+                    counts += np.bincount(np.concatenate(held), minlength=WIDTH)
+                    held = []
                 yield _rows(batch.column("doc_id"), sizes, high, low, [None] * len(sizes))
-        if sketch:
-            pieces = [(o, p) for o in range(ORDERS) for p in range(WIDTH // PIECE)]
-            data = [counts[o, p * PIECE : (p + 1) * PIECE].tobytes() for o, p in pieces]
-            yield _rows(pa.nulls(len(pieces), pa.int64()), [o for o, _ in pieces], [p for _, p in pieces], [0] * len(pieces), data)
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=WIDTH)
+        pieces = range(WIDTH // PIECE)
+        data = [zlib.compress(counts[p * PIECE : (p + 1) * PIECE].astype(np.uint32).tobytes(), 1) for p in pieces]
+        yield _rows(pa.nulls(len(data), pa.int64()), [0] * len(data), list(pieces), [0] * len(data), data)
 
     return run
 
@@ -143,17 +145,17 @@ def _sum_pieces(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     total = np.zeros(PIECE, np.int64)
     for batch in batches:
         for raw in batch.column("piece").to_pylist():
-            total += np.frombuffer(raw, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["n", "f1", "piece"])
+            total += np.frombuffer(zlib.decompress(raw), np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["f1", "piece"])
 
 
 def _prefix_rows(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _Words(), shared.value
+        levels = shared.value
         for whole in batches:
             for batch in slices(whole):
-                flat, offsets = shingle_sets(batch.column("text"), k, known)
-                found = [prefixes_of(flat, offsets, o, counts, percent) for o in range(ORDERS)]
+                flat, offsets = shingle_sets(batch.column("text"), k)
+                found = [prefixes_of(flat, offsets, o, levels, percent) for o in range(ORDERS)]
                 first, *more = [pa.array([x.astype(np.int32 if o else np.int64) for x in found[o]], pa.list_(pa.int32() if o else pa.int64())) for o in range(ORDERS)]
                 n = pa.array(np.diff(offsets), pa.int32())
                 yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), n, first, *more], names=["doc_id", "n", "tokens", *[f"p{o}" for o in range(1, ORDERS)]])
@@ -218,9 +220,9 @@ def _owners(index: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndar
     return index[1][np.arange(count.sum()) + np.repeat(low - starts, count)]
 
 
-def link_block_pair(ids: list[int], flat: np.ndarray, offsets: np.ndarray, left: np.ndarray, counts: np.ndarray, percent: int, cross: bool) -> list[tuple[int, int]]:
+def link_block_pair(ids: list[int], flat: np.ndarray, offsets: np.ndarray, left: np.ndarray, levels: np.ndarray, percent: int, cross: bool) -> list[tuple[int, int]]:
     """A spanning forest of the links inside a block, or (``cross``) between its left and right part."""
-    prefixes = [prefixes_of(flat, offsets, o, counts, percent) for o in range(ORDERS)]
+    prefixes = [prefixes_of(flat, offsets, o, levels, percent) for o in range(ORDERS)]
     sets = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     indexes = [_inverted(p) for p in prefixes]
     whole = _inverted(sets)
@@ -253,7 +255,7 @@ def _verify(k: int, percent: int, shared):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, one, two = (x.as_py() for x in key)
         ids = table.column("doc_id").to_pylist()
-        flat, offsets = shingle_sets(table.column("text").combine_chunks(), k, _Words())
+        flat, offsets = shingle_sets(table.column("text").combine_chunks(), k)
         left = np.array(table.column("block").to_pylist()) == one
         links = link_block_pair(ids, flat, offsets, left, shared.value, percent, one != two)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
@@ -268,15 +270,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     rows = docs.select(*pick((id_col, "doc_id"), (text_col, "text"))).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     shape = "doc_id long, n long, f1 long, f2 long, piece binary"
-    profile = scratch.save(rows.mapInArrow(_profile(k, True), shape), "profile")
+    profile = scratch.save(rows.mapInArrow(_profile(k), shape), "profile")
     sets = profile.where(F.col("piece").isNull()).drop("piece")
-    pieces = profile.where(F.col("piece").isNotNull()).groupBy("n", "f1").applyInArrow(_sum_pieces, "n long, f1 long, piece binary")
-    counts = np.zeros((ORDERS, WIDTH), np.int64)
-    for row in pieces.collect():  # ORDERS * WIDTH counters, whatever the input
-        counts[row["n"], row["f1"] * PIECE : (row["f1"] + 1) * PIECE] = np.frombuffer(row["piece"], np.int64)
-    for order in range(ORDERS):  # ranks fit the 32 bits that the sort key has for them
-        counts[order] = np.unique(counts[order], return_inverse=True)[1]
-    shared = spark.sparkContext.broadcast(counts)
+    pieces = profile.where(F.col("piece").isNotNull()).groupBy("f1").applyInArrow(_sum_pieces, "f1 long, piece binary")
+    counts = np.zeros(WIDTH, np.int64)
+    for row in pieces.collect():  # WIDTH counters, whatever the input
+        counts[row["f1"] * PIECE : (row["f1"] + 1) * PIECE] = np.frombuffer(row["piece"], np.int64)
+    shared = spark.sparkContext.broadcast(frequency_levels(counts))
 
     usable = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = scratch.save(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")

@@ -14,15 +14,13 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titerlake.llm.text import buffers, filled, mixed, pick, slices, sums
+from titerlake.llm.text import buffers, filled, mixed, pick, slices, sums, word_hashes
 
 BUCKETS, TRAIN_ROWS, CALIBRATE_ROWS, THRESHOLD = 1 << 18, 2400, 800, 0.5
 SCALE = 8.0
@@ -32,24 +30,6 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-class _Words(dict):
-    """Hash of each word seen, forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def word_hashes(raws: list[bytes], known: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts, and where each text's begin."""
-    words = [raw.split() for raw in raws]  # bytes split at \x20 and \x09-\x0D only
-    offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    out = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, offsets[-1])
-    return out, offsets
-
-
 def _windows(values: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all windows of ``width`` inside a text, and where each text's begin."""
     counts = np.maximum(np.diff(offsets) - width + 1, 0)
@@ -99,7 +79,7 @@ def fit(texts: list[str], labels: np.ndarray, n_train: int, steps: int = 60) ->
     if not 0 < labels[:n_train].sum() < len(labels[:n_train]):
         return None
     array = pa.array(texts, pa.large_string())
-    words, offsets = word_hashes([t.encode() for t in texts], _Words())
+    words, offsets = word_hashes(array, lower=False)
     families = feature_families(array, words, offsets)
     rows, cols, vals = [], [], []
     for bucket, starts in families:
@@ -203,11 +183,11 @@ def score_quality(docs: DataFrame, model: QualityModel | None, threshold: float
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = _Words(), shared.value
+        model = shared.value
         for whole in batches:
             for batch in slices(whole):
                 texts = filled(batch.column("text"))
-                words, offsets = word_hashes(texts.cast(pa.large_binary()).to_pylist(), known)
+                words, offsets = word_hashes(texts, lower=False)
                 stats = statistics(texts, words, offsets)
                 failed = (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
                 if model is None:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +62,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z to a-z
+_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
+#: Multiplier of the words' polynomial hash, and its inverse modulo 2**64.
+_BASE = 0x9FB21C651E98DF25
+_UNBASE = pow(_BASE, -1, 1 << 64)
+#: Longer words are hashed one by one.
+_LONG = 64
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _UNBASE)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers
+
+
+def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` of all texts, and where each text's begin.
+
+    All words are hashed at once: prefix sums of a polynomial over the bytes, scaled back to each word's start.
+    """
+    data, offsets = buffers(filled(texts))
+    if lower:
+        data = _LOWER[data]
+    solid = ~_BLANK[data]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    full = np.diff(offsets) > 0
+    first[offsets[:-1][full]] = solid[offsets[:-1][full]]
+    last[offsets[1:][full] - 1] = solid[offsets[1:][full] - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    powers, inverse = _power_tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * powers[: len(data)], out=total[1:])
+    out = mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out, np.searchsorted(start, offsets)
