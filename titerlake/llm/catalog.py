@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titerlake.llm import chat, jaccard, language, lines, mixing, packing, quality, secrets, telephony
+from titerlake.llm import chat, jaccard, language, lines, mixing, packing, quality, secrets, telephony, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_token_ids": tokenids.op3_token_ids,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_quality_rules": quality.op6_quality_rules,
