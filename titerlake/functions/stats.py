@@ -50,7 +50,7 @@ def gmc(value: Column, n: Column) -> dict[str, Column]:
     x, w = F.when(ok, F.ln(value)), F.when(ok, n.cast("double"))
     k, sw, sx, sxx = F.count(x), F.sum(w), F.sum(w * x), F.sum(w * x * x)
     mean = F.try_divide(sx, sw)
-    var = F.greatest(F.try_divide(k * (sxx - sx * mean), sw * (k - 1)), F.lit(0.0))
+    var = F.when(k > 1, F.greatest(F.try_divide(k * (sxx - sx * mean), sw * (k - 1)), F.lit(0.0)))
     error = F.sqrt(F.try_divide(var, k))
     return {"gmc": F.round(F.exp(mean), 4), "ci_lower": F.round(F.exp(mean - Z * error), 4), "ci_upper": F.round(F.exp(mean + Z * error), 4), "n_values": k}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,12 @@ def reliability(n: Column, has_ci: Column, confidence: Column, grounded: Column,
 def age_label(low: Column, high: Column) -> Column:
     both = F.concat(low.cast("string"), F.lit("-"), high.cast("string"))
     return F.when(low.isNotNull() & high.isNotNull(), both).when(low.isNotNull(), F.concat(low.cast("string"), F.lit("+"))).when(high.isNotNull(), F.concat(F.lit("<="), high.cast("string")))
+
+
+def chunks(docs: DataFrame, threshold: int = 20000, size: int = 15000) -> DataFrame:
+    """``doc_id, chunk, part``: texts over the threshold in parts of ``size`` characters, others whole; null is empty."""
+    text = F.coalesce("text", F.lit(""))
+    width = F.when(F.length(text) > threshold, size).otherwise(threshold)
+    last = F.greatest(F.ceil(F.length(text) / width), F.lit(1)) - 1
+    each = docs.select("doc_id", text.alias("text"), width.alias("width"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
+    return each.select("doc_id", "chunk", F.substr("text", (F.col("chunk") * F.col("width") + 1).cast("int"), F.col("width")).alias("part"))

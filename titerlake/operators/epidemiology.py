@@ -46,4 +46,4 @@ def booster(rates: DataFrame, boost: float, target: float) -> DataFrame:
     """Coverage after a booster for the susceptible, and the booster rate that reaches the target."""
     c, t = F.col("rate") / 100, target / 100
     need = F.when(c >= t, 0.0).otherwise((t - c) / (1 - c) * 100)
-    return rates.withColumns({"effective": F.round(F.col("rate") + (1 - c) * boost, 2), "required": F.when(need <= 100, F.round(need, 2))})
+    return rates.withColumns({"effective": F.round(F.col("rate") + (1 - c) * boost, 4), "required": F.when(need <= 100, F.round(need, 2))})

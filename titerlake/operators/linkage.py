@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,21 +9,29 @@ from titerlake.functions.wording import normal_title, surname
 
 
 def title_pairs(sources: DataFrame, least: float = 0.7) -> DataFrame:
-    """Pairs of equal first-author surname and title-token Jaccard of ``least`` or more.
+    """Pairs ``a, b`` of classes with equal first-author surname and title-token Jaccard of ``least`` or more.
 
-    Token prefixes block the join: two token sets that similar share one of the first ``n - ceil(least * n) + 1``
-    tokens in rarest-first order, so no pair of all titles is formed.
+    Sources with the same surname and the same tokens are one class, named by its smallest id, so a title with many
+    copies is one row. Token prefixes block the join: two token sets that similar share one of the first
+    ``n - ceil(least * n) + 1`` tokens in rarest-first order, so no pair of all titles is formed. Titles without a token
+    and sources without a surname pair with nothing.
     """
-    rows = sources.select("source_id", surname(F.col("authors")).alias("who"), F.array_sort(F.array_distinct(F.split(normal_title(F.col("title")), " "))).alias("tokens"))
-    each = rows.select("source_id", "who", "tokens", F.explode("tokens").alias("token")).where(F.col("token") != "")
+    tokens = F.array_sort(F.array_distinct(F.filter(F.split(normal_title(F.col("title")), " "), lambda t: t != "")))
+    rows = sources.select("source_id", surname(F.col("authors")).alias("who"), tokens.alias("tokens")).where(F.size("tokens") > 0)
+    classes = rows.groupBy("who", "tokens").agg(F.min("source_id").alias("id"), F.count("*").alias("copies"))
+    each = classes.select("id", "who", F.explode("tokens").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = each.join(common, "token").groupBy("source_id", "who").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"), F.first("tokens").alias("tokens"))
+    ordered = each.join(common, "token").groupBy("id", "who").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     keep = F.size("o") - F.ceil(F.lit(least) * F.size("o")).cast("int") + 1
-    prefix = ordered.select("source_id", "who", "tokens", F.explode(F.slice("o", 1, keep)).alias("x")).select("source_id", "who", "tokens", F.col("x.token").alias("token"))
-    a, b = (prefix.select(F.col("source_id").alias(s), "who", F.col("tokens").alias(f"t{s}"), "token") for s in "ab")
+    prefix = ordered.select("id", "who", F.transform("o", lambda x: x["token"]).alias("tokens"), F.explode(F.slice("o", 1, keep)).alias("x"))
+    prefix = prefix.select("id", "who", "tokens", F.col("x.token").alias("token"))
+    a, b = (prefix.select(F.col("id").alias(s), "who", F.col("tokens").alias(f"t{s}"), "token") for s in "ab")
     found = a.join(b, ["who", "token"]).where(F.col("a") < F.col("b")).select("a", "b", "ta", "tb").distinct()
     score = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return found.select("a", "b", F.round(score, 4).alias("similarity")).where(score >= least)
+    pairs = found.select("a", "b", score.alias("score")).where(F.col("score") >= least)
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("id").alias(side), F.col("copies").alias(f"copies_{side}")), side)
+    return pairs.select("a", "b", "copies_a", "copies_b", F.round("score", 4).alias("similarity"))
 
 
 def same_text_groups(sources: DataFrame) -> DataFrame:
@@ -33,13 +39,33 @@ def same_text_groups(sources: DataFrame) -> DataFrame:
     return sources.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("source_id").alias("first_id"), F.count("*").alias("copies")).where(F.col("copies") > 1)
 
 
-def conflicts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of rows that agree on nullable keys, null and '' alike."""
-    def blank(c: Column) -> Column:
-        return F.nullif(c.cast("string"), F.lit(""))
+def conflict_groups(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys whose rows disagree on ``value``: how many rows and how many different values they have."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.countDistinct(value).alias("n_values")).where(F.col("n_values") > 1)
+
+
+def link_parents(obs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Subgroup rows with ``parent_value``, the least value of a primary row with the same keys; null where none has."""
+    parents = obs.where(F.col("estimate_type") == "primary").groupBy(*keys).agg(F.min(value).alias("parent_value"))
+    return obs.where(F.col("estimate_type") == "subgroup").join(parents, keys, "left")
 
-    a, b = left.alias("a"), right.alias("b")
-    return a.join(b, reduce(lambda x, y: x & y, [blank(F.col(f"a.{k}")).eqNullSafe(blank(F.col(f"b.{k}"))) for k in keys]))
+
+def contained_passages(docs: DataFrame, passages: DataFrame, width: int = 8) -> DataFrame:
+    """``doc_id, item_id`` where a text holds a whole passage of ``width`` words or more, blanks alike.
+
+    A passage is looked up by its first ``width`` words among all word windows of the texts, then checked in full.
+    """
+    def squeezed(c: str) -> Column:
+        return F.trim(F.regexp_replace(c, r"[\x20\x09-\x0D]+", " "))
+
+    wanted = passages.select("item_id", squeezed("text").alias("passage")).withColumn("words", F.split("passage", " ")).where(F.size("words") >= width)
+    wanted = wanted.select("item_id", "passage", F.xxhash64(F.slice("words", 1, width)).alias("key"))
+    texts = docs.select("doc_id", squeezed("text").alias("whole")).withColumn("words", F.split("whole", " "))
+    starts = F.sequence(F.lit(1), F.size("words") - width + 1)
+    windows = texts.where(F.size("words") >= width).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, width))))).alias("key"))
+    found = windows.join(wanted, "key").join(texts.select("doc_id", "whole"), "doc_id")
+    padded = F.concat(F.lit(" "), "whole", F.lit(" "))
+    return found.where(F.contains(padded, F.concat(F.lit(" "), "passage", F.lit(" ")))).select("doc_id", "item_id")
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

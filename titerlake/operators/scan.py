@@ -50,7 +50,7 @@ def base_scan(
 
 def split_provinces(obs: DataFrame) -> DataFrame:
     """A row per province of a multi-valued one; blank names are ``unknown``."""
-    names = F.filter(F.transform(F.split("province", "[;；]"), F.trim), lambda p: p != "")
+    names = F.filter(F.transform(F.split("province", "[;；]"), lambda p: F.trim(p)), lambda p: p != "")
     return obs.withColumn("province", F.explode(F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("unknown")))))
 
 

@@ -53,6 +53,13 @@ def gini(frame: DataFrame, value: str) -> DataFrame:
     )
 
 
+def goals(studies: DataFrame, target: float) -> DataFrame:
+    """By disease and year: distance of the rate to the target, and the share of provinces that meet it."""
+    per = studies.groupBy("disease", "collection_year", "province").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    met = (F.col("x") / F.col("n") * 100 >= target).cast("int")
+    return per.groupBy("disease", "collection_year").agg(F.round(target - F.sum(F.col("x") * 100) / F.sum("n"), 2).alias("gap"), F.round(F.avg(met), 4).alias("ratio"))
+
+
 def gap_counts(obs: DataFrame) -> DataFrame:
     """Approved points (grades A, B), pending points and years by disease and first province."""
     first = F.trim(F.element_at(F.split("province", ";"), 1))

@@ -1,4 +1,509 @@
 """All queries of the library by name, and the DuckDB SQL that states the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from titerlake.functions import stats, wording
+from titerlake.operators import epidemiology, linkage, meta, models, scan, spatial, summary
+from titerlake.plans import sql
+from titerlake.sources.adapters import evidence_sources, observations, table
+from titerlake.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+GOAL = 95.0
+#: Share of each age band in the standard population (a parameter of the standardisation).
+STANDARD = {"<1": 0.012, "1-4": 0.056, "5-14": 0.12, "15-59": 0.63, "60+": 0.182}
+
+
+def query(text: str | None = None):
+    """Register a query under its function's name, with its SQL if it has one."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if text:
+            ORACLE_SQL[f.__name__] = text
+        return f
+
+    return register
+
+
+def _scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Approved primary rows of grades A and B, one per province."""
+    return scan.split_provinces(scan.base_scan(observations(spark, sf)))
+
+
+def _studies(spark: SparkSession, sf: str) -> DataFrame:
+    rows = summary.sero(_scan(spark, sf))
+    return rows.where(F.col("p").isNotNull()).withColumn("x", F.col("p") * F.col("n"))
+
+
+# Rates, concentrations, maps
+
+
+@query(f"{sql.SERO} SELECT province, {sql.RATE} FROM sero GROUP BY province")
+def region_rate_ci(spark, sf):
+    return summary.rate_by(_scan(spark, sf), "province")
+
+
+@query(f"{sql.EACH} SELECT province, {sql.MAP} FROM each_ GROUP BY province")
+def province_map(spark, sf):
+    return summary.map_rate_by(_scan(spark, sf), "province")
+
+
+@query(f"{sql.EACH} SELECT province, city, {sql.MAP} FROM each_ GROUP BY province, city")
+def city_map(spark, sf):
+    return summary.map_rate_by(_scan(spark, sf), "province", "city")
+
+
+@query(f"{sql.EACH} SELECT collection_year, {sql.MAP} FROM each_ GROUP BY collection_year")
+def yearly_map(spark, sf):
+    return summary.map_rate_by(_scan(spark, sf), "collection_year")
+
+
+@query(f"{sql.SCAN} SELECT disease, {sql.MAP} FROM scan GROUP BY disease")
+def national_summary(spark, sf):
+    return summary.map_rate_by(scan.base_scan(observations(spark, sf)), "disease")
+
+
+@query(f"{sql.SCAN} SELECT DISTINCT collection_year FROM scan")
+def available_years(spark, sf):
+    return scan.base_scan(observations(spark, sf)).select("collection_year").distinct()
+
+
+@query(f"{sql.SCAN} SELECT population, count(*) AS n FROM scan GROUP BY population")
+def population_options(spark, sf):
+    return scan.base_scan(observations(spark, sf)).groupBy("population").agg(F.count("*").alias("n"))
+
+
+@query(f"{sql.SCAN} SELECT collection_year, {sql.GMC} FROM scan WHERE data_type = 'gmc' GROUP BY collection_year")
+def year_trend_gmc(spark, sf):
+    return summary.gmc_by(scan.base_scan(observations(spark, sf)), "collection_year")
+
+
+@query(f"{sql.EACH} SELECT disease, province, {sql.GMC} FROM each_ WHERE data_type = 'gmc' GROUP BY disease, province")
+def gmc_by_group(spark, sf):
+    return summary.gmc_by(_scan(spark, sf), "disease", "province")
+
+
+@query(f"{sql.SERO} SELECT disease, {sql.BAND} AS age_band, {sql.RATE} FROM sero GROUP BY disease, {sql.BAND}")
+def age_stratify(spark, sf):
+    mid = stats.age_midpoint(F.col("age_min"), F.col("age_max"))
+    return summary.rate_by(_scan(spark, sf), "disease", stats.age_band(mid).alias("age_band"))
+
+
+@query(
+    f"""{sql.SERO} SELECT birth_year, collection_year, count(*) AS n_points, round(sum(p * n) / sum(n) * 100, 2) AS rate
+FROM (SELECT *, (collection_year - round_even({sql.MID}, 0))::BIGINT AS birth_year FROM sero WHERE p IS NOT NULL)
+GROUP BY birth_year, collection_year HAVING count(*) >= 2"""
+)
+def birth_cohort_grid(spark, sf):
+    mid = stats.age_midpoint(F.col("age_min"), F.col("age_max"))
+    rows = _studies(spark, sf).withColumn("birth_year", (F.col("collection_year") - F.bround(mid, 0)).cast("long"))
+    cells = rows.groupBy("birth_year", "collection_year").agg(F.count("*").alias("n_points"), F.round(F.sum("x") / F.sum("n") * 100, 2).alias("rate"))
+    return cells.where(F.col("n_points") >= 2)
+
+
+@query(
+    f"""{sql.SERO}, strata AS (SELECT region, {sql.BAND} AS band, sum(p * n) / sum(n) AS r FROM sero WHERE p IS NOT NULL GROUP BY ALL)
+SELECT region, count(*) AS strata, CASE WHEN count(*) >= 3 THEN round(sum(r * CASE band {" ".join(f"WHEN '{b}' THEN {w}" for b, w in STANDARD.items())} END) * 100, 4) END AS asr
+FROM strata GROUP BY region"""
+)
+def asr_by_region(spark, sf):
+    mid = stats.age_midpoint(F.col("age_min"), F.col("age_max"))
+    strata = _studies(spark, sf).groupBy("region", stats.age_band(mid).alias("band")).agg((F.sum("x") / F.sum("n")).alias("r"))
+    weight = F.create_map(*[F.lit(v) for pair in STANDARD.items() for v in pair])[F.col("band")]
+    return strata.groupBy("region").agg(F.count("*").alias("strata"), F.round(F.sum(F.col("r") * weight) * 100, 4).alias("total")).select(
+        "region", "strata", F.when(F.col("strata") >= 3, F.col("total")).alias("asr")
+    )
+
+
+# Listings and searches
+
+
+@query(
+    f"{sql.OBS} SELECT source_id, disease, province, value, sample_size FROM obs WHERE review_status = 'approved' "
+    "ORDER BY value DESC, source_id, disease, province, sample_size LIMIT 50 OFFSET 50"
+)
+def approved_page(spark, sf):
+    rows = scan.base_scan(observations(spark, sf), include_subgroups=True, grades=None).select("source_id", "disease", "province", "value", "sample_size")
+    return scan.page(rows, [F.desc("value"), *map(F.col, ("source_id", "disease", "province", "sample_size"))], 50, 50)
+
+
+@query(f"{sql.SOURCES} SELECT source_id, title, language, pub_year FROM sources")
+def source_list(spark, sf):
+    return evidence_sources(spark, sf).select("source_id", "title", "language", "pub_year")
+
+
+@query(f"{sql.OBS} SELECT disease, assay, count(*) AS n FROM obs WHERE province ILIKE '%an%' OR city ILIKE '%an%' GROUP BY disease, assay")
+def fact_search(spark, sf):
+    return scan.keyword(observations(spark, sf), "an", ["province", "city"]).groupBy("disease", "assay").agg(F.count("*").alias("n"))
+
+
+@query(f"{sql.SOURCES} SELECT language, pub_year, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM sources GROUP BY language, pub_year")
+def source_counts(spark, sf):
+    return evidence_sources(spark, sf).groupBy("language", "pub_year").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# Meta-analysis and tests
+
+
+@query(
+    f"""{sql.SERO}, pts AS (SELECT disease, (collection_year - 1995)::DOUBLE AS x, sum(p * n) / sum(n) * 100 AS y, sum(n) AS w FROM sero WHERE p IS NOT NULL GROUP BY disease, collection_year),
+s AS (SELECT disease, count(*) AS k, sum(w) AS sw, sum(w*x) AS sx, sum(w*y) AS sy, sum(w*x*x) AS sxx, sum(w*x*y) AS sxy, sum(w*y*y) AS syy FROM pts GROUP BY disease),
+c AS (SELECT disease, k, sxx - sx*sx/sw AS cxx, sxy - sx*sy/sw AS cxy, syy - sy*sy/sw AS cyy FROM s),
+b AS (SELECT *, CASE WHEN k >= 2 AND abs(cxx) > 1e-9 THEN cxy/cxx WHEN k >= 2 THEN 0 END AS slope FROM c)
+SELECT disease, k, round(slope, 6) AS slope, CASE WHEN abs(cxx) > 1e-9 AND cyy > 1e-9 THEN round(cxy*cxy/(cxx*cyy), 6) END AS r2,
+CASE WHEN slope > 1e-9 THEN 'up' WHEN slope < -1e-9 THEN 'down' WHEN slope IS NOT NULL THEN 'flat' END AS direction FROM b"""
+)
+def linear_trend(spark, sf):
+    points = _studies(spark, sf).groupBy("disease", (F.col("collection_year") - 1995).cast("double").alias("x")).agg((F.sum("x") / F.sum("n") * 100).alias("y"), F.sum("n").alias("w"))
+    return meta.weighted_trend(points, ["disease"])
+
+
+@query(
+    f"""{sql.SERO}, g AS (SELECT disease, (collection_year - 1995)::DOUBLE AS score, sum(p * n) AS x, sum(n) AS n FROM sero WHERE p IS NOT NULL GROUP BY disease, collection_year),
+t AS (SELECT disease, count(*) AS k, sum(n) AS sn, sum(x) AS sx, sum(n*score) AS sns, sum(n*score*score) AS snss, sum(x*score) AS sxs FROM g GROUP BY disease)
+SELECT disease, k, CASE WHEN k >= 3 AND sx > 0 AND sx < sn THEN round((sxs - sx/sn*sns) / sqrt(sx/sn*(1 - sx/sn)*(snss - sns*sns/sn)), 4) END AS z FROM t"""
+)
+def cochran_armitage(spark, sf):
+    groups = _studies(spark, sf).groupBy("disease", (F.col("collection_year") - 1995).cast("double").alias("score")).agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return meta.cochran_armitage(groups, ["disease"])
+
+
+@query(
+    f"""{sql.SERO}, a AS (SELECT disease, round(sum(p*n) FILTER (population = 'vaccinated')) AS x1, sum(n) FILTER (population = 'vaccinated') AS n1,
+ round(sum(p*n) FILTER (population = 'unvaccinated')) AS x2, sum(n) FILTER (population = 'unvaccinated') AS n2 FROM sero WHERE p IS NOT NULL GROUP BY disease)
+SELECT disease, x1, n1, x2, n2, round((x1/n1 - x2/n2) / sqrt((x1+x2)/(n1+n2)*(1 - (x1+x2)/(n1+n2))*(1/n1 + 1/n2)), 4) AS z, round(x1/n1 - x2/n2, 4) AS rd, round((x1/n1)/(x2/n2), 4) AS rr
+FROM a WHERE x1 > 0 AND x2 > 0 AND x1 < n1 AND x2 < n2"""
+)
+def two_proportion(spark, sf):
+    mine, other = F.col("population") == "vaccinated", F.col("population") == "unvaccinated"
+    arms = _studies(spark, sf).groupBy("disease").agg(
+        F.round(F.sum(F.when(mine, F.col("x")))).alias("x1"), F.sum(F.when(mine, F.col("n"))).alias("n1"), F.round(F.sum(F.when(other, F.col("x")))).alias("x2"), F.sum(F.when(other, F.col("n"))).alias("n2")
+    )
+    return meta.two_proportions(arms.where("x1 > 0 AND x2 > 0 AND x1 < n1 AND x2 < n2"))
+
+
+@query(sql.inverse_variance("disease"))
+def inverse_variance_meta(spark, sf):
+    return meta.inverse_variance(_studies(spark, sf), ["disease"])
+
+
+@query(sql.inverse_variance("assay"))
+def assay_heterogeneity(spark, sf):
+    return meta.inverse_variance(_studies(spark, sf), ["assay"])
+
+
+@query(sql.double_arcsine("disease"))
+def ft_meta_by_group(spark, sf):
+    return meta.ft_meta(_studies(spark, sf), ["disease"])
+
+
+@query(
+    f"""{sql.SERO}, t AS (SELECT region, n + 0.5 AS w, asin(sqrt(p*n/(n+1))) + asin(sqrt((p*n+1)/(n+1))) AS t FROM sero WHERE p IS NOT NULL AND n > 0),
+s AS (SELECT region, sum(w) AS sw, sum(w*t) AS swt, sum(w*t*t) AS swtt FROM t GROUP BY region),
+q AS (SELECT sum(swtt) - sum(swt)*sum(swt)/sum(sw) AS total, sum(swtt - swt*swt/sw) AS within, count(*) - 1 AS df FROM s)
+SELECT round(total, 4) AS q_total, round(within, 4) AS q_within, round(greatest(total - within, 0), 4) AS q_between, df FROM q"""
+)
+def q_between(spark, sf):
+    return meta.q_between(_studies(spark, sf), "region")
+
+
+# Equity, goals, reviews, gaps
+
+
+@query(f"{sql.SERO}, r AS (SELECT province, {sql.RATE} FROM sero GROUP BY province) SELECT province, rate, CASE WHEN rate IS NOT NULL THEN row_number() OVER (ORDER BY rate DESC NULLS LAST, province) END AS rank FROM r")
+def equity_rank(spark, sf):
+    return summary.ranked(summary.rate_by(_scan(spark, sf), "province").select("province", "rate"), "rate", "province")
+
+
+@query(
+    f"""{sql.SERO}, r AS (SELECT province, {sql.RATE} FROM sero GROUP BY province), o AS (SELECT rate, row_number() OVER (ORDER BY rate) AS i FROM r WHERE rate >= 0)
+SELECT round(greatest(least(2*sum(i*rate)/(count(*)*sum(rate)) - (count(*)+1)/count(*), 1), 0), 6) AS gini, round(coalesce(stddev_samp(rate)/abs(avg(rate)), 0), 6) AS cv, count(*) AS n_groups FROM o"""
+)
+def gini_cv(spark, sf):
+    return summary.gini(summary.rate_by(_scan(spark, sf), "province"), "rate")
+
+
+@query(
+    f"""{sql.SERO}, r AS (SELECT disease, collection_year, province, sum(p*n)/sum(n)*100 AS rate, sum(p*n)*100 AS x, sum(n) AS n FROM sero WHERE p IS NOT NULL GROUP BY ALL)
+SELECT disease, collection_year, round({GOAL} - sum(x)/sum(n), 2) AS gap, round(avg((rate >= {GOAL})::INT), 4) AS ratio FROM r GROUP BY disease, collection_year"""
+)
+def goal_tracking(spark, sf):
+    return summary.goals(_studies(spark, sf), GOAL)
+
+
+@query(f"{sql.OBS} SELECT disease, quality_grade, count(*) AS n, count(*) FILTER (sample_size < 30) AS small FROM obs GROUP BY disease, quality_grade")
+def quality_grades(spark, sf):
+    return observations(spark, sf).groupBy("disease", "quality_grade").agg(F.count("*").alias("n"), F.count_if(F.col("sample_size") < 30).alias("small"))
+
+
+@query(
+    f"""{sql.OBS} SELECT disease, trim(string_split(province, ';')[1]) AS province, count(*) FILTER (review_status = 'approved' AND quality_grade IN ('A', 'B')) AS approved_ab,
+count(*) FILTER (review_status = 'pending') AS pending, count(DISTINCT collection_year) AS years FROM obs GROUP BY ALL"""
+)
+def coverage_review(spark, sf):
+    return summary.gap_counts(observations(spark, sf))
+
+
+@query(
+    f"""{sql.OBS}, g AS (SELECT disease, trim(string_split(province, ';')[1]) AS province, count(*) FILTER (review_status = 'approved' AND quality_grade IN ('A', 'B')) AS a,
+count(*) FILTER (review_status = 'pending') AS b FROM obs GROUP BY ALL)
+SELECT disease, province, CASE WHEN a + b > 0 THEN greatest(round(least(a/5, 1)*70 - least(2.0*b, 30), 2), 0) ELSE 0 END::DOUBLE AS score FROM g"""
+)
+def gap_completeness(spark, sf):
+    return summary.gap_counts(observations(spark, sf)).select("disease", "province", stats.completeness(F.col("approved_ab"), F.col("pending")).alias("score"))
+
+
+@query(
+    f"""{sql.EACH} SELECT d.disease, n.n_name AS province FROM (SELECT DISTINCT p_type AS disease FROM part) d, nation n
+WHERE NOT EXISTS (SELECT 1 FROM each_ e WHERE e.disease = d.disease AND e.province = n.n_name AND e.collection_year = 1998 AND e.assay LIKE '%1')"""
+)
+def missing_regions(spark, sf):
+    found = scan.split_provinces(scan.base_scan(observations(spark, sf), years=(1998, 1998))).where(F.col("assay").like("%1")).select("disease", "province").distinct()
+    diseases = table(spark, sf, "part").agg(F.collect_set("p_type").alias("types"))  # a fixed list of a few names
+    wanted = table(spark, sf, "nation").select(F.col("n_name").alias("province"), F.lit(1).alias("k")).join(diseases.withColumn("k", F.lit(1)), "k")
+    return wanted.select(F.explode("types").alias("disease"), "province").join(found, ["disease", "province"], "left_anti")
+
+
+@query(
+    f"""{sql.OBS}, d AS (SELECT *, CASE WHEN review_seconds > 0 THEN review_seconds / 60.0 END AS minutes FROM obs WHERE review_status <> 'pending')
+SELECT disease, reviewer_id, count(*) AS reviewed, round(avg((review_status = 'approved')::INT), 4) AS pass_rate, round(avg(minutes), 2) AS mean_minutes
+FROM d GROUP BY GROUPING SETS ((disease), (reviewer_id), ())"""
+)
+def review_stats(spark, sf):
+    return summary.review_times(observations(spark, sf))
+
+
+@query(f"{sql.OBS} SELECT review_status, quality_grade, estimate_type, count(*) AS n FROM obs GROUP BY ALL")
+def status_combo(spark, sf):
+    return observations(spark, sf).groupBy("review_status", "quality_grade", "estimate_type").agg(F.count("*").alias("n"))
+
+
+# Epidemiology
+
+
+@query(f"{sql.FOI} SELECT * FROM foi")
+def foi_matrix(spark, sf):
+    return epidemiology.foi_matrix(_scan(spark, sf))
+
+
+@query(
+    f"""{sql.FOI}, per AS (SELECT disease, round(sum(foi*samples)/sum(samples), 6) AS foi, round(sum(rate*samples)/sum(samples), 2) AS rate FROM foi GROUP BY disease),
+h AS (SELECT *, CASE WHEN foi > 0 THEN round(foi*75, 2) END AS r0 FROM per), i AS (SELECT *, CASE WHEN r0 > 1 THEN round((1 - 1/r0)*100, 2) ELSE 0 END AS hit FROM h)
+SELECT disease, foi, rate, r0, hit, CASE WHEN rate IS NULL THEN 'undetermined' WHEN rate >= hit THEN 'reached' WHEN rate >= hit - 10 THEN 'near' ELSE 'not_reached' END AS status FROM i"""
+)
+def barrier_by_disease(spark, sf):
+    return epidemiology.barrier(epidemiology.foi_matrix(_scan(spark, sf)))
+
+
+_VE = f"""{sql.EACH}, v AS (SELECT disease, round(sum(value*sample_size) FILTER (population = 'vaccinated') / sum(sample_size) FILTER (population = 'vaccinated'), 2) AS vaccinated,
+round(sum(value*sample_size) FILTER (population = 'unvaccinated') / sum(sample_size) FILTER (population = 'unvaccinated'), 2) AS unvaccinated
+FROM each_ WHERE data_type = 'seroprevalence' GROUP BY disease)"""
+
+
+@query(f"{_VE} SELECT *, CASE WHEN unvaccinated > 0 AND vaccinated/unvaccinated < 1 THEN round((1 - vaccinated/unvaccinated)*100, 2) END AS effect FROM v")
+def vaccine_effect(spark, sf):
+    return epidemiology.vaccine_effect(_scan(spark, sf))
+
+
+@query(
+    f"""{sql.SERO}, r AS (SELECT disease, {sql.RATE} FROM sero GROUP BY disease), c AS (SELECT disease, rate, CASE WHEN rate/100 >= 0.95 THEN 0 ELSE (0.95 - rate/100)/(1 - rate/100)*100 END AS need FROM r)
+SELECT disease, rate, round(rate + (1 - rate/100)*50, 4) AS effective, CASE WHEN need <= 100 THEN round(need, 2) END AS required FROM c"""
+)
+def booster_scenario(spark, sf):
+    return epidemiology.booster(summary.rate_by(_scan(spark, sf), "disease").select("disease", "rate"), 50.0, GOAL)
+
+
+# Scores and texts
+
+
+@query(
+    f"""{sql.OBS}, s AS (SELECT disease, CASE WHEN sample_size >= 2001 THEN 30 WHEN sample_size >= 500 THEN 24 WHEN sample_size >= 100 THEN 16 WHEN sample_size >= 1 THEN 8 ELSE 0 END
++ CASE confidence WHEN 'high' THEN 5 WHEN 'medium' THEN 3 ELSE 1 END AS score FROM obs)
+SELECT disease, score, CASE WHEN score >= 75 THEN 'A' WHEN score >= 50 THEN 'B' ELSE 'C' END AS grade, count(*) AS n FROM s GROUP BY ALL"""
+)
+def quality_score(spark, sf):
+    scores = observations(spark, sf).select("disease", (wording.score_sample_size(F.col("sample_size")) + wording.score_confidence(F.col("confidence"))).alias("score"))
+    return scores.groupBy("disease", "score").agg(F.count("*").alias("n")).select("disease", "score", wording.grade(F.col("score")).alias("grade"), "n")
+
+
+@query(f"{sql.SOURCES} SELECT source_id, {sql.NORMAL_TITLE} AS normal, {sql.SURNAME} AS surname FROM sources")
+def title_normalise(spark, sf):
+    return evidence_sources(spark, sf).select("source_id", wording.normal_title(F.col("title")).alias("normal"), wording.surname(F.col("authors")).alias("surname"))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\x{4E00}-\x{9FFF}]', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 'zh' ELSE 'en' END AS vote FROM documents"""
+)
+def language_vote(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", wording.language_vote(F.col("text")).alias("vote"))
+
+
+@query(
+    r"""SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id,
+trim(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS t FROM documents)"""
+)
+def text_clean(spark, sf):
+    clean = wording.clean(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.length(clean).cast("long").alias("n_chars"), F.md5(clean).alias("text_md5"))
+
+
+@query(
+    """SELECT doc_id, u.chunk, length(substr(text, u.chunk*width + 1, width)) AS n_chars, md5(substr(text, u.chunk*width + 1, width)) AS text_md5
+FROM (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN length(coalesce(text, '')) > 20000 THEN 15000 ELSE 20000 END AS width FROM documents) d,
+LATERAL (SELECT unnest(range(greatest((length(d.text) + d.width - 1) // d.width, 1))) AS chunk) u"""
+)
+def chunk_table(spark, sf):
+    return wording.chunks(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "chunk", F.length("part").cast("long").alias("n_chars"), F.md5("part").alias("text_md5"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages""")
+def page_titles(spark, sf):
+    return table(spark, sf, "pages").select("page_id", wording.html_title(F.col("html")).alias("title"))
+
+
+# Linkage and provenance
+
+
+@query(
+    f"""{sql.SOURCES}, t AS (SELECT source_id, {sql.SURNAME} AS who, list_sort(list_distinct(list_filter(string_split({sql.NORMAL_TITLE}, ' '), lambda x: x <> ''))) AS tokens FROM sources),
+c AS (SELECT who, tokens, min(source_id) AS id, count(*) AS copies FROM t WHERE len(tokens) > 0 GROUP BY who, tokens),
+p AS (SELECT x.id AS a, y.id AS b, x.copies AS copies_a, y.copies AS copies_b, len(list_intersect(x.tokens, y.tokens)) AS i, len(x.tokens) + len(y.tokens) AS s FROM c x JOIN c y ON x.who = y.who AND x.id < y.id)
+SELECT a, b, copies_a, copies_b, round(i / (s - i), 4) AS similarity FROM p WHERE i / (s - i) >= 0.7"""
+)
+def duplicate_pairs(spark, sf):
+    return linkage.title_pairs(evidence_sources(spark, sf))
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def duplicate_groups(spark, sf):
+    return linkage.same_text_groups(evidence_sources(spark, sf).where(F.col("text").isNotNull()))
+
+
+@query(f"{sql.OBS} SELECT source_id, disease, province, count(*) AS n_rows, count(DISTINCT value) AS n_values FROM obs WHERE data_type = 'seroprevalence' GROUP BY ALL HAVING count(DISTINCT value) > 1")
+def merge_conflicts(spark, sf):
+    return linkage.conflict_groups(observations(spark, sf).where(F.col("data_type") == "seroprevalence"), ["source_id", "disease", "province"], "value")
+
+
+@query(
+    f"""{sql.OBS}, parents AS (SELECT source_id, region, min(value) AS parent_value FROM obs WHERE estimate_type = 'primary' GROUP BY ALL)
+SELECT o.region, count(*) AS children, count(parent_value) AS linked, round(sum(parent_value), 2) AS parent_sum FROM obs o LEFT JOIN parents USING (source_id, region) WHERE estimate_type = 'subgroup' GROUP BY o.region"""
+)
+def parent_link(spark, sf):
+    obs = observations(spark, sf).select("source_id", "region", "estimate_type", "value")
+    linked = linkage.link_parents(obs, ["source_id", "region"], "value")
+    return linked.groupBy("region").agg(F.count("*").alias("children"), F.count("parent_value").alias("linked"), F.round(F.sum("parent_value"), 2).alias("parent_sum"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) || ' ' AS t FROM documents),
+b AS (SELECT item_id, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM benchmark)
+SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, ' ' || b.t || ' ') WHERE len(string_split(b.t, ' ')) >= 8"""
+)
+def exact_provenance(spark, sf):
+    return linkage.contained_passages(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+@query(
+    f"""{sql.OBS} SELECT disease, province, city, age_min, age_max, data_type, max(value) AS value, count(*) AS n FROM obs GROUP BY disease, province, city, age_min, age_max, data_type"""
+)
+def multi_pass_dedupe(spark, sf):
+    keys = ["disease", "province", "city", "age_min", "age_max", "data_type"]
+    return observations(spark, sf).groupBy(*keys).agg(F.max("value").alias("value"), F.count("*").alias("n"))
+
+
+@query(
+    f"""{sql.OBS}, c AS (SELECT disease, assay, count(*) AS n FROM obs GROUP BY ALL)
+SELECT disease, assay, n FROM c QUALIFY row_number() OVER (PARTITION BY disease ORDER BY n DESC, assay) = 1"""
+)
+def metadata_mode(spark, sf):
+    counts = observations(spark, sf).groupBy("disease", "assay").agg(F.count("*").alias("n"))
+    return linkage.first_by_key(counts, ["disease"], [F.desc("n"), F.col("assay")])
+
+
+@query(
+    f"""{sql.OBS} SELECT disease, count(*) AS n, sum(('0x' || substr(md5(source_id || '|' || review_status || '|' || sample_size), 1, 12))::BIGINT)::VARCHAR AS fingerprint FROM obs GROUP BY disease"""
+)
+def fingerprint(spark, sf):
+    text = F.concat_ws("|", F.col("source_id"), "review_status", F.col("sample_size"))
+    part = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(20,0)")
+    return observations(spark, sf).groupBy("disease").agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("fingerprint"))
+
+
+# Space, titers, models
+
+
+def _places(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Rates of nations, and edges between nations of a region (25 rows)."""
+    nation = table(spark, sf, "nation")
+    a, b = (nation.select(F.col("n_name").alias(x), "n_regionkey") for x in ("src", "dst"))
+    edges = a.join(b, "n_regionkey").where(F.col("src") != F.col("dst")).select("src", "dst")
+    rates = summary.rate_by(scan.base_scan(observations(spark, sf)), "province").join(nation.select(F.col("n_name").alias("province")), "province", "left_semi")
+    return rates.select(F.col("province").alias("place"), F.col("rate").alias("x")), edges
+
+
+@query(
+    f"""{sql.PLACES}, l AS (SELECT src, x.x AS xs, avg(y.x) AS lag FROM edges JOIN v x ON x.place = src JOIN v y ON y.place = dst GROUP BY src, x.x), m AS (SELECT avg(x) AS m, count(*) AS n FROM v)
+SELECT (SELECT n FROM m) AS n, CASE WHEN (SELECT n FROM m) >= 8 THEN round((SELECT n FROM m) * (SELECT sum((xs - m.m)*(lag - m.m)) FROM l, m) / ((SELECT count(*) FROM l) * (SELECT sum((v.x - m.m)^2) FROM v, m)), 6) END AS morans_i"""
+)
+def moran_i(spark, sf):
+    return spatial.morans_i(*_places(spark, sf))
+
+
+@query(
+    f"""{sql.PLACES}, m AS (SELECT avg(x) AS m, count(*) AS n, stddev_pop(x) AS s FROM v), near AS (SELECT src, dst FROM edges UNION SELECT place, place FROM v),
+g AS (SELECT src, sum(x) AS sx, count(*) AS w FROM near JOIN v ON place = dst GROUP BY src),
+z AS (SELECT src AS place, round((sx - m*w) / (s * sqrt((n*w - w*w) / (n - 1))), 4) AS z FROM g, m)
+SELECT place, z, CASE WHEN abs(z) >= 1.645 THEN CASE WHEN z > 0 THEN 'hot_' ELSE 'cold_' END || CASE WHEN abs(z) >= 2.576 THEN '99' WHEN abs(z) >= 1.96 THEN '95' ELSE '90' END ELSE 'none' END AS cluster FROM z"""
+)
+def gi_star(spark, sf):
+    return spatial.gi_star(*_places(spark, sf))
+
+
+def _titers(spark: SparkSession, sf: str) -> DataFrame:
+    """Titers of label (antigen) by dimension (serum), from the first eight dimensions."""
+    cells = table(spark, sf, "embeddings").select(F.col("label").alias("antigen"), F.posexplode(F.slice("embedding", 1, 8)).alias("serum", "e"))
+    return cells.groupBy("antigen", "serum").agg((10 + 1000 * F.abs(F.avg(F.col("e").cast("double")))).alias("titer"))
+
+
+@query(f"{sql.TITERS} SELECT antigen, serum, round(top - lt, 6) AS distance FROM t")
+def titer_distance(spark, sf):
+    return spatial.titer_distances(_titers(spark, sf))
+
+
+@query(f"{sql.TITERS}, d AS (SELECT antigen, serum, round(top - lt, 6) AS distance FROM t) SELECT x.antigen AS a, y.antigen AS b, round(sqrt(sum((x.distance - y.distance)^2)), 4) AS distance FROM d x JOIN d y ON x.serum = y.serum AND x.antigen < y.antigen GROUP BY x.antigen, y.antigen")
+def joint_distance(spark, sf):
+    return spatial.antigen_distances(spatial.titer_distances(_titers(spark, sf)))
+
+
+@query()
+def catalytic_fit(spark, sf):
+    mid = stats.age_midpoint(F.col("age_min"), F.col("age_max"))
+    points = _studies(spark, sf).withColumn("age", F.floor(mid) + 0.5).groupBy("disease", "age").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return models.catalytic_models(points)
+
+
+@query()
+def lowess_by_region(spark, sf):
+    points = _studies(spark, sf).groupBy(F.col("region").alias("key"), F.col("collection_year").cast("double").alias("x")).agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("y"))
+    return models.lowess(points)
+
+
+# Streams
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS n, count(*) > 5 AS limited FROM events GROUP BY ALL")
+def rate_window(spark, sf):
+    return ingest.rate_windows(table(spark, sf, "events")).withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
+
+
+@query(f"{sql.OBS} SELECT review_status, disease, count(*) AS n FROM obs GROUP BY ALL")
+def gauges(spark, sf):
+    return ingest.gauges(observations(spark, sf))
