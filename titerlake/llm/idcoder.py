@@ -16,75 +16,92 @@ import numpy as np
 
 BLOCK = 1024
 SYMBOLS = 19
-MAGIC = b"TLCM1\0"
+MAGIC = b"TLCM2\0"
 _HEAD = struct.Struct("<III")
 _BITS = np.array([0, *[k.bit_length() for k in range(1, 1 << 16)]], np.int64)
-_TOP, _BOTTOM, _MASK = 1 << 24, 1 << 16, (1 << 32) - 1
+#: The coder works on 48 bits and moves 16 at a time. A settled span leaves room for a symbol and its raw bits.
+_TOP, _MASK = 1 << 32, (1 << 48) - 1
 _SLOTS = 512
 
 
+_ADD = 24
+#: What one occurrence of each symbol adds to a row of cumulative frequencies.
+_STEPS = (np.arange(SYMBOLS + 1) > np.arange(SYMBOLS)[:, None]).astype(np.uint16) * np.uint16(_ADD)
+_WIDE_STEPS = _STEPS.view(np.uint64)
+
+
 class _Model:
-    """What the coder knows of each lane's ids so far; the decoder goes through the same states."""
+    """What the coder knows of each lane's ids so far; the decoder goes through the same states.
+
+    Tables hold cumulative frequencies, so their weighted sum is cumulative too, and the encoder needs three of its
+    entries only. Totals stay under 1024 + 24 and weights under 17, so all sums fit in 16 bits.
+    """
 
     def __init__(self, lanes: int):
         self.row = np.arange(lanes)
-        self.tables = [np.ones((lanes, contexts, SYMBOLS), np.int64) for contexts in (1, SYMBOLS, 4)]
-        self.totals = [np.full((lanes, t.shape[1]), SYMBOLS, np.int64) for t in self.tables]
-        self.weights = np.full((lanes, 3), 5, np.int64)
+        self.sizes = (1, SYMBOLS, 4)
+        start = np.arange(SYMBOLS + 1, dtype=np.uint16)
+        self.tables = [np.tile(start, (lanes * contexts, 1)) for contexts in self.sizes]
+        self.weights = [np.full(lanes, 5, np.uint16) for _ in self.sizes]
         self.after = [np.zeros((lanes, _SLOTS), np.int32) for _ in range(2)]
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
 
-    def expect(self) -> np.ndarray:
-        """Cumulative frequencies of the next symbol, ``[lanes, SYMBOLS + 1]``."""
+    def expect(self) -> None:
+        """Find the guesses and the contexts of the next symbol."""
         self.slot = [(self.one * 0x9E3779B1 >> 7) % _SLOTS, ((self.one * 0x85EBCA6B + self.two * 0xC2B2AE35) >> 9) % _SLOTS]
         first, second = (a[self.row, s].astype(np.int64) for a, s in zip(self.after, self.slot, strict=True))
         self.guess = second - 1, np.where(first == second, 0, first) - 1
-        self.context = [0, _BITS[self.one] + 2, (self.guess[0] >= 0) * 2 + (self.guess[1] >= 0)]
-        self.rows = [t[self.row, c] for t, c in zip(self.tables, self.context, strict=True)]
-        mix = self.rows[0] * self.weights[:, :1]
-        for k in (1, 2):
-            mix += self.rows[k] * self.weights[:, k : k + 1]
-        out = np.zeros((len(self.row), SYMBOLS + 1), np.int64)
-        np.cumsum(mix, axis=1, out=out[:, 1:])
-        return out
+        contexts = 0, _BITS[self.one] + 2, (self.guess[0] >= 0) * 2 + (self.guess[1] >= 0)
+        self.at = [self.row * n + c for n, c in zip(self.sizes, contexts, strict=True)]
 
     def symbol(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids == self.guess[0], 0, np.where(ids == self.guess[1], 1, 2 + _BITS[ids]))
 
+    def mixed(self) -> np.ndarray:
+        """Cumulative frequencies of the next symbol, ``[lanes, SYMBOLS + 1]``."""
+        out = self.tables[0].take(self.at[0], axis=0) * self.weights[0][:, None]
+        for k in (1, 2):
+            out += self.tables[k].take(self.at[k], axis=0) * self.weights[k][:, None]
+        return out
+
+    def bounds(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the symbol's range starts and ends, and the total."""
+        self.ends = [[t.ravel().take(at * (SYMBOLS + 1) + x).astype(np.int64) for x in (symbol, symbol + 1, SYMBOLS)] for t, at in zip(self.tables, self.at, strict=True)]
+        return tuple(sum(w * e[k] for w, e in zip(self.weights, self.ends, strict=True)) for k in range(3))
+
     def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        share = np.empty((len(self.row), 3))
-        for k in range(3):
-            table, total, context = self.tables[k], self.totals[k], self.context[k]
-            share[:, k] = self.rows[k][self.row, symbol] / total[self.row, context]
-            table[self.row, context, symbol] += 24
-            total[self.row, context] += 24
-            full = np.flatnonzero(total[self.row, context] > 1000)
+        """Count the symbol, whose ``bounds`` were asked for, and the id."""
+        step = _WIDE_STEPS.take(symbol, axis=0)
+        for table, at, ends in zip(self.tables, self.at, self.ends, strict=True):
+            wide = table.view(np.uint64)  # four frequencies at a time: none of them can carry into the next
+            if len(table) == len(at):
+                wide += step
+            else:
+                wide[at] = wide.take(at, axis=0) + step
+            full = at[ends[2] > 1000 - _ADD]
             if len(full):
-                at = context if k == 0 else context[full]
-                halved = (table[full, at] + 1) >> 1
-                table[full, at] = halved
-                total[full, at] = halved.sum(1)
-        best = share.argmax(1)
-        self.weights -= (self.weights > 2) & (np.arange(3) != best[:, None])
-        self.weights[self.row, best] = np.minimum(self.weights[self.row, best] + 2, 16)
+                table[full, 1:] = np.cumsum((np.diff(table[full]) + 1) >> 1, axis=1)
+        a, b, c = ((e[1] - e[0]) / e[2] for e in self.ends)
+        best = (a >= b) & (a >= c), (b > a) & (b >= c), (c > a) & (c > b)
+        for weight, mine in zip(self.weights, best, strict=True):
+            weight += np.where(mine, np.minimum(16 - weight, 2), np.where(weight > 2, -1, 0)).astype(np.uint16)
         for after, slot in zip(self.after, self.slot, strict=True):
             after[self.row, slot] = ids + 1
         self.two, self.one = self.one, ids
 
 
 def _settle(low: np.ndarray, span: np.ndarray, shift) -> None:
-    """Bring every lane's span back over 2**16; ``shift(lanes)`` moves one byte out or in."""
-    while True:
-        same = (low ^ ((low + span) & _MASK)) < _TOP
-        small = ~same & (span < _BOTTOM)
-        span[small] = (-low[small]) & (_BOTTOM - 1)
-        go = np.flatnonzero(same | small)
-        if not len(go):
-            return
-        shift(go)
-        low[go] = (low[go] << 8) & _MASK
-        span[go] = (span[go] << 8) & _MASK
+    """Bring every lane's span back to 2**32 or more; ``shift(lanes)`` moves 16 bits out or in."""
+    lanes = np.flatnonzero((span < _TOP) | ((low ^ ((low + span) & _MASK)) < _TOP))
+    while len(lanes):
+        a, b = low[lanes], span[lanes]
+        apart = (a ^ ((a + b) & _MASK)) >= _TOP
+        b = np.where(apart, -a & (_TOP - 1), b)
+        shift(lanes)
+        low[lanes] = a = (a << 16) & _MASK
+        span[lanes] = b = (b << 16) & _MASK
+        lanes = lanes[(b < _TOP) | ((a ^ ((a + b) & _MASK)) < _TOP)]
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -93,38 +110,37 @@ def encode(ids: np.ndarray) -> bytes:
     padded = np.zeros(lanes * BLOCK, np.int64)
     padded[: len(ids)] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    out, size = np.zeros((lanes, 5 * BLOCK + 8), np.uint8), np.zeros(lanes, np.int64)
+    out, size = np.zeros((lanes, 3 * BLOCK + 8), "<u2"), np.zeros(lanes, np.int64)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
 
     def shift(go):
-        out[go, size[go]] = low[go] >> 24
+        out[go, size[go]] = low[go] >> 32
         size[go] += 1
 
     model = _Model(lanes)
     for now in grid if lanes else ():
-        cumulative = model.expect()
+        model.expect()
         symbol = model.symbol(now)
-        start = cumulative[model.row, symbol]
-        part = span // cumulative[:, -1]
+        start, end, total = model.bounds(symbol)
+        part = span // total
         low[:] = (low + start * part) & _MASK
-        span[:] = part * (cumulative[model.row, symbol + 1] - start)
-        _settle(low, span, shift)
+        span[:] = part * (end - start)
         raw = np.flatnonzero(symbol > 3)
         if len(raw):
             bits = symbol[raw] - 3
             part = span[raw] >> bits
             low[raw] = (low[raw] + (now[raw] - (1 << bits)) * part) & _MASK
             span[raw] = part
-            _settle(low, span, shift)
+        _settle(low, span, shift)
         model.learn(symbol, now)
-    for _ in range(4):
+    for _ in range(3):
         shift(np.arange(lanes))
-        low[:] = (low << 8) & _MASK
+        low[:] = (low << 16) & _MASK
     plain = ids.astype("<u4")
     parts = [MAGIC, struct.pack("<I", lanes)]
     for i in range(lanes):
         block = plain[i * BLOCK : (i + 1) * BLOCK]
-        parts += [_HEAD.pack(len(block), size[i], zlib.crc32(block.tobytes())), out[i, : size[i]].tobytes()]
+        parts += [_HEAD.pack(len(block), 2 * size[i], zlib.crc32(block.tobytes())), out[i, : size[i]].tobytes()]
     return b"".join(parts)
 
 
@@ -138,29 +154,30 @@ def decode(data: bytes) -> np.ndarray:
         heads.append(_HEAD.unpack_from(data, at))
         codes.append(data[at + _HEAD.size : at + _HEAD.size + heads[-1][1]])
         at += _HEAD.size + heads[-1][1]
-    code = np.zeros((lanes, max((h[1] for h in heads), default=0) + 8), np.int64)
+    code = np.zeros((lanes, max((h[1] for h in heads), default=0) // 2 + 4), "<u2")
     for i, raw in enumerate(codes):
-        code[i, : len(raw)] = np.frombuffer(raw, np.uint8)
+        code[i, : len(raw) // 2] = np.frombuffer(raw, "<u2", len(raw) // 2)
     low, span, value = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64), np.zeros(lanes, np.int64)
-    place = np.full(lanes, 4, np.int64)
-    for k in range(4):
-        value = value << 8 | code[:, k]
+    place = np.full(lanes, 3, np.int64)
+    for k in range(3):
+        value = value << 16 | code[:, k]
 
     def shift(go):
-        value[go] = (value[go] << 8 & _MASK) | code[go, np.minimum(place[go], code.shape[1] - 1)]
+        value[go] = (value[go] << 16 & _MASK) | code[go, np.minimum(place[go], code.shape[1] - 1)]
         place[go] += 1
 
     model = _Model(lanes)
     grid = np.zeros((BLOCK, lanes), np.int64)
     for step in range(BLOCK if lanes else 0):
-        cumulative = model.expect()
-        part = span // cumulative[:, -1]
-        found = np.minimum(((value - low) & _MASK) // part, cumulative[:, -1] - 1)
+        model.expect()
+        cumulative = model.mixed()
+        total = cumulative[:, -1].astype(np.int64)
+        part = span // total
+        found = np.minimum(((value - low) & _MASK) // part, total - 1).astype(np.uint16)
         symbol = (cumulative[:, 1:] <= found[:, None]).sum(1)
-        start = cumulative[model.row, symbol]
+        start, end, _ = model.bounds(symbol)
         low[:] = (low + start * part) & _MASK
-        span[:] = part * (cumulative[model.row, symbol + 1] - start)
-        _settle(low, span, shift)
+        span[:] = part * (end - start)
         ids = np.where(symbol == 0, model.guess[0], np.where(symbol == 1, model.guess[1], symbol - 2))
         raw = np.flatnonzero(symbol > 3)
         if len(raw):
@@ -169,8 +186,8 @@ def decode(data: bytes) -> np.ndarray:
             rest = np.minimum(((value[raw] - low[raw]) & _MASK) // part, (1 << bits) - 1)
             low[raw] = (low[raw] + rest * part) & _MASK
             span[raw] = part
-            _settle(low, span, shift)
             ids[raw] = (1 << bits) + rest
+        _settle(low, span, shift)
         model.learn(symbol, ids)
         grid[step] = ids
     plain = np.ascontiguousarray(grid.T).astype("<u4")

@@ -14,8 +14,10 @@ text; a null doc_id comes first; an empty table writes no segments; further colu
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +29,46 @@ from titerlake.llm import idcoder
 from titerlake.llm.scratch import Scratch
 from titerlake.llm.text import filled, pick, slices, word_hashes
 
-END_ID, SEGMENT_BYTES = 1, 6 << 20
+END_ID, SEGMENT_BYTES = 1, 3 << 20
 _SHAPE = "first long, doc_ids array<long>, counts array<long>, coded binary"
 
 
+#: Distinct words whose ids a worker keeps, and words that are encoded in one call.
+KNOWN, TOGETHER = 1 << 18, 256
+
+
 class WordEncoder:
     """Ids of whole texts, by way of their distinct words."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[int, list[int]] = {}
 
+    def _learn(self, keys: list[int], words: list[str]) -> None:
+        """Encode words in joined groups and cut the ids where each word begins."""
+        groups = range(0, len(words), TOGETHER)
+        joined = self.tokenizer.encode_batch([" ".join(words[i : i + TOGETHER]) for i in groups], add_special_tokens=False)
+        for i, one in zip(groups, joined, strict=True):
+            ids = one.ids
+            starts = np.fromiter((o[0] for o in one.offsets), np.int64, len(ids))
+            begins = np.cumsum([0] + [len(w) + 1 for w in words[i : i + TOGETHER]])
+            cuts = np.searchsorted(starts, begins).tolist()
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                self.known[keys[i + k]] = ids[a:b]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id; and how many each has."""
         hashes, offsets = word_hashes(texts, lower=False)
         words = [w for raw in filled(texts).cast(pa.large_binary()).to_pylist() for w in raw.split()]
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > 1 << 20:
+        if len(self.known) > KNOWN:
             self.known.clear()
         keys = distinct.tolist()
         new = [i for i, key in enumerate(keys) if key not in self.known]
-        for i, one in zip(new, self.tokenizer.encode_batch_fast([words[first[i]].decode() for i in new], add_special_tokens=False), strict=True):
-            self.known[keys[i]] = one.ids
+        self._learn([keys[i] for i in new], [words[first[i]].decode() for i in new])
         lists = [self.known[key] for key in keys]
         lists.append([END_ID])
         sizes = np.array([len(x) for x in lists], np.int64)
@@ -64,12 +82,18 @@ class WordEncoder:
         return ids, np.diff(np.concatenate([[0], last]))
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker, with the words it knows."""
+    return WordEncoder(path)
+
+
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode and write all documents below ``path``."""
     rows = docs.select(*pick((id_col, "doc_id"), (text_col, "text"))).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for whole in batches:
             for batch in slices(whole, limit=SEGMENT_BYTES):
                 ids, counts = encoder.encode(batch.column("text"))
