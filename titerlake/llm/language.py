@@ -95,7 +95,8 @@ def train(rows: DataFrame, per_language: int = SAMPLE_PER_LANG, grams: int = GRA
     totals = rows.groupBy("lang").agg(F.count("*").alias("total"))
     # about per_language rows of each language, by hash: no ordering over a whole language is needed
     part = F.greatest(F.lit(1), F.floor(F.col("total") / per_language))
-    sample = rows.join(totals, "lang").where(F.pmod(F.xxhash64("doc_id"), part) == 0).select("lang", "text")
+    # a row per language, fewer than the model itself holds: texts are not dealt out by language
+    sample = rows.join(F.broadcast(totals), "lang").where(F.pmod(F.xxhash64("doc_id"), part) == 0).select("lang", "text")
     counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= grams)
     learned: dict[str, list[int]] = {}
