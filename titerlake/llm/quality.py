@@ -78,34 +78,34 @@ def fit(texts: list[str], labels: np.ndarray, n_train: int, steps: int = 60) ->
     """Adagrad on the first ``n_train`` rows, Platt scaling on the others; None without both kinds of labels."""
     if not 0 < labels[:n_train].sum() < len(labels[:n_train]):
         return None
-    array = pa.array(texts, pa.large_string())
-    words, offsets = word_hashes(array, lower=False)
-    families = feature_families(array, words, offsets)
     rows, cols, vals = [], [], []
-    for bucket, starts in families:
-        n = np.diff(starts)
-        pair = np.repeat(np.arange(len(n)), n) * BUCKETS + bucket
-        keys, times = np.unique(pair, return_counts=True)
-        rows.append(keys // BUCKETS)
-        cols.append(keys % BUCKETS)
-        vals.append(SCALE * times / n[rows[-1]])
+    for low in range(0, len(texts), 64):  # few texts at a time keep the driver's memory small
+        array = pa.array(texts[low : low + 64], pa.large_string())
+        for bucket, starts in feature_families(array, *word_hashes(array, lower=False)):
+            n = np.diff(starts)
+            keys, times = np.unique(np.repeat(np.arange(len(n)), n) * BUCKETS + bucket, return_counts=True)
+            at = keys // BUCKETS
+            rows.append((low + at).astype(np.int32))
+            cols.append((keys % BUCKETS).astype(np.int32))
+            vals.append((SCALE * times / n[at]).astype(np.float32))
+        if low < n_train <= low + 64:  # the texts of this group that calibrate are told apart below
+            edge = len(rows)
     row, col, val = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-    used, col = np.unique(col, return_inverse=True)
-    first = row < n_train
+    stop = sum(map(len, rows[:edge]))
+    first = row[:stop] < n_train
     y = labels[:n_train].astype(float)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    w, grown, bias, bias_grown = np.zeros(len(used)), np.full(len(used), 1e-8), 0.0, 1e-8
-    r, c, v = row[first], col[first], val[first]
+    w, grown, bias, bias_grown = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), 0.0, 1e-8
+    r, c, v = row[:stop][first], col[:stop][first], val[:stop][first]
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(r, v * w[c], n_train) + bias, -30, 30)))
         error = balance * (p - y) / n_train
-        slope = np.bincount(c, v * error[r], len(used)) + 1e-6 * w
+        slope = np.bincount(c, v * error[r], BUCKETS) + 1e-6 * w
         grown += slope * slope
         bias_grown += error.sum() ** 2
         w -= 0.2 * slope / np.sqrt(grown)
         bias -= 0.2 * error.sum() / np.sqrt(bias_grown)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = w
+    weights = w.astype(np.float32)
     s = np.bincount(row, val * w[col], len(texts)) + bias
     held, truth = (s[n_train:], labels[n_train:]) if len(set(labels[n_train:])) == 2 else (s, labels)
     a, b = 1.0, 0.0
