@@ -18,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from titerlake.llm.text import filled, pick, slices
 
 RATE, OUT_RATE = 8000, 16000
 BLOCK = 144
+#: Bytes of stored audio that are decoded at a time (one longer file is decoded alone).
+MEDIA_BYTES = 1 << 20
 #: WAV format numbers (fixed values).
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 NAMES = {ALAW: "alaw", MULAW: "mulaw", IMA: "ima"}
@@ -147,21 +149,27 @@ def features(pcm: np.ndarray, codec: int) -> str:
     )
 
 
+def expand_batches(batches: Iterator[pa.RecordBatch], media_col: str = "media") -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Small batches of rows, each with (stored bytes, PCM as a WAV file, feature) of every row, or None for null audio."""
+    for whole in batches:
+        for batch in slices(whole, media_col, MEDIA_BYTES):
+            stored = [from_wav(x) if x is not None else None for x in batch.column(media_col).to_pylist()]
+            sound = iter(decode_many([(s[0], s[2]) for s in stored if s]))
+            found = []
+            for s in stored:
+                pcm = resample(next(sound)) if s else None
+                found.append((s[2], to_wav(pcm.tobytes(), PCM, 2 * s[1]), features(pcm, s[0])) if s else None)
+            yield batch, found
+
+
 def expand_telephony(media: DataFrame, media_col: str = "media") -> DataFrame:
     """All columns of ``media``, plus ``pcm`` (16 kHz WAV, binary) and ``feature`` of the WAV column ``media_col``."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields) + ", pcm binary, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, media_col, 8 << 20):
-                stored = [from_wav(x) if x is not None else None for x in batch.column(media_col).to_pylist()]
-                sound = iter(decode_many([(s[0], s[2]) for s in stored if s]))
-                wave, text = [], []
-                for s in stored:
-                    pcm = resample(next(sound)) if s else None
-                    wave.append(to_wav(pcm.tobytes(), PCM, 2 * s[1]) if s else None)
-                    text.append(features(pcm, s[0]) if s else None)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wave, pa.binary()), pa.array(text, pa.string())], names=[*batch.schema.names, "pcm", "feature"])
+        for batch, found in expand_batches(batches, media_col):
+            more = [pa.array([x and x[1] for x in found], pa.binary()), pa.array([x and x[2] for x in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "pcm", "feature"])
 
     return media.mapInArrow(run, schema)
 
@@ -183,30 +191,25 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        stored = [from_wav(x)[2] for x in batch.column("media").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("n_bytes"),
-                pa.array([len(x) for x in stored], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in stored]),
-                pa.array([zlib.crc32(x[-32:]) for x in stored], pa.int64()),
-                batch.column("media_bytes"),
-                batch.column("media_sha256"),
-                pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("pcm").to_pylist()]),
-                batch.column("feature"),
-            ],
-            names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm_sha256", "feature"],
-        )
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the stored audio reads back as; its PCM stays in the task, a small batch at a time."""
+    for batch, found in expand_batches(batches):
+        media = batch.column("media").to_pylist()
+        values = {
+            "payload_bytes": pa.array([len(raw) for raw, *_ in found], pa.int64()),
+            "payload_sha256": pa.array([hashlib.sha256(raw).hexdigest() for raw, *_ in found], pa.string()),
+            "tail_crc32": pa.array([zlib.crc32(raw[-32:]) for raw, *_ in found], pa.int64()),
+            "media_bytes": pa.array(map(len, media), pa.int64()),
+            "media_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in media], pa.string()),
+            "pcm_sha256": pa.array([hashlib.sha256(wave).hexdigest() for _, wave, _ in found], pa.string()),
+            "feature": pa.array([text for *_, text in found], pa.string()),
+        }
+        yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), batch.column("n_bytes"), *values.values()], names=["doc_id", "n_bytes", *values])
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    sound = expand_telephony(store_texts(docs))
-    sound = sound.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    return sound.mapInArrow(
-        _read_back,
+    return store_texts(docs).mapInArrow(
+        _digest,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pcm_sha256 string, feature string",
     )
