@@ -56,7 +56,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: The classifier of the first stage and the packing have no SQL; tests/llm/test_pipeline.py checks the stages instead.
+#: The classifier of the first stage and the packing have no SQL; tests/llm/test_cases.py checks the stages instead.
 ORACLE_SQL = None
 
 
