@@ -62,18 +62,55 @@ def test_token_ids_equal_whole_text_encoding(spark, docs):
         start += len(ids)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 1023, 1024, 1025, 5000])
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 129, 1025, 5000, 300000])
 def test_id_coder_round_trip_and_damage(n):
     rng = np.random.default_rng(n)
     ids = (rng.zipf(1.3, n) % 49000).astype(np.int64)
     coded = idcoder.encode(ids)
     assert (idcoder.decode(coded) == ids).all()
     if n > 1000:
-        assert len(coded) < 4 * n
-        bad = bytearray(coded)
-        bad[len(bad) // 2] ^= 0x55
+        for at in (len(coded) // 2, len(coded) - 9, 40):
+            bad = bytearray(coded)
+            bad[at] ^= 0x55
+            with pytest.raises(ValueError):
+                idcoder.decode(bytes(bad))
+
+
+def test_id_coder_takes_any_32_bit_id_in_several_blocks(monkeypatch):
+    monkeypatch.setattr(idcoder, "BLOCK", 1 << 12)
+    ids = np.random.default_rng(5).integers(0, 1 << 32, 10000)
+    assert (idcoder.decode(idcoder.encode(ids)) == ids).all()
+    for wrong in (-1, 1 << 32):
         with pytest.raises(ValueError):
-            idcoder.decode(bytes(bad))
+            idcoder.encode(np.array([wrong]))
+
+
+def test_id_coder_beats_zlib_and_the_ids_own_entropy():
+    import public_tokenizers
+
+    from titerlake.llm.tokenids import WordEncoder
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].combine_chunks()
+    ids, _ = WordEncoder(public_tokenizers.path("word_bpe_49k.json")).encode(texts)
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    coded = 8 * len(idcoder.encode(ids)) / len(ids)
+    assert coded < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+    assert coded < -(share * np.log2(share)).sum()
+
+
+def test_words_put_together_equal_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from titerlake.llm.tokenids import WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["it's. a|b | || x. y, .z 3. ... don't, I'll. ok.,", "", None, "<|endoftext|>. é. e\u0301. \u0391\u03a3. \u03a3, |", "|", ".", " \n\t", "a.b. c,d, 'S. 'll,"]
+    ids, counts = WordEncoder(path).encode(pa.array(texts))
+    whole = Tokenizer.from_file(path)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert [p.tolist() for p in parts] == [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
 
 
 def test_jaccard_components_equal_all_pairs(spark, docs):

@@ -87,7 +87,14 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 
 def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` of all texts, and where each text's begin.
+    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` of all texts, and where each text's begin."""
+    return word_spans(texts, lower)[:2]
+
+
+def word_spans(texts: pa.Array, lower: bool, tails: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``word_hashes``, and the first byte of each word and the one after its last.
+
+    With ``tails`` a last ``.`` or ``,`` behind an ASCII letter is a word of its own.
 
     All words are hashed at once: prefix sums of a polynomial over the bytes, scaled back to each word's start.
     """
@@ -101,6 +108,11 @@ def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     full = np.diff(offsets) > 0
     first[offsets[:-1][full]] = solid[offsets[:-1][full]]
     last[offsets[1:][full] - 1] = solid[offsets[1:][full] - 1]
+    if tails:
+        tail = np.flatnonzero(last & ~first & ((data == 46) | (data == 44)))
+        before = data[tail - 1] | 32
+        tail = tail[(before >= 97) & (before <= 122)]
+        first[tail] = last[tail - 1] = True
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     powers, inverse = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
@@ -108,4 +120,4 @@ def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     out = mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
     for i in np.flatnonzero(end - start > _LONG):
         out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
-    return out, np.searchsorted(start, offsets)
+    return out, np.searchsorted(start, offsets), start, end

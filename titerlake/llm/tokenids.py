@@ -1,15 +1,15 @@
 """Token-id files: documents encoded by a public tokenizer, coded in checksummed blocks, in ascending doc_id order.
 
-A file set is a Parquet folder. Each row is a segment: the doc_ids and token counts of neighbouring documents, and
-their ids as coded by ``idcoder``. Documents are dealt by ranges of doc_id, so the part files in name order, and the
-rows within, ascend. Reading sums the counts of files, then of the segments in each, to find where a segment starts;
-no task or driver sees more than one file's counts and the list of files.
+A file set is a Parquet folder. Each row is a segment: the doc_ids and token counts of neighbouring documents, their
+ids as coded by ``idcoder``, the number of the part it is in, and how many ids stand before it in that part. Documents
+are dealt by ranges of doc_id, so parts in ascending order, and the rows within, ascend. Reading needs the sum of each
+part, one number a file, to find where a segment starts; coded bytes are never shuffled.
 
-Words between ASCII blanks are encoded once for each distinct one of a batch and put together again: the tokenizer
-never joins characters across a blank.
+Words between ASCII blanks, less a full stop or comma behind their last letter, are encoded once and put together
+again: the tokenizer never joins characters across a blank, or a letter with the stop behind it.
 
 Defined cases: null text counts as empty, so its document has the end id alone; equal doc_ids follow each other, by
-text; a null doc_id comes first; an empty table writes no segments; further columns are ignored.
+text, null first; a null doc_id comes first; an empty table writes no segments; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,20 +21,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from titerlake.llm import idcoder
 from titerlake.llm.scratch import Scratch
-from titerlake.llm.text import filled, pick, slices, word_hashes
+from titerlake.llm.text import buffers, filled, pick, slices, word_spans
 
 END_ID, SEGMENT_BYTES = 1, 3 << 20
-_SHAPE = "first long, doc_ids array<long>, counts array<long>, coded binary"
-
-
+_SHAPE = "part int, inside long, doc_ids array<long>, counts array<long>, coded binary"
 #: Distinct words whose ids a worker keeps, and words that are encoded in one call.
-KNOWN, TOGETHER = 1 << 18, 256
+KNOWN, TOGETHER = 1 << 20, 512
+#: Stands between words that are encoded in one call; it has one id of its own. Words that hold it are encoded alone.
+BETWEEN = "|"
 
 
 class WordEncoder:
@@ -45,40 +46,58 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, list[int]] = {}
-
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        """Encode words in joined groups and cut the ids where each word begins."""
-        groups = range(0, len(words), TOGETHER)
-        joined = self.tokenizer.encode_batch([" ".join(words[i : i + TOGETHER]) for i in groups], add_special_tokens=False)
-        for i, one in zip(groups, joined, strict=True):
-            ids = one.ids
-            starts = np.fromiter((o[0] for o in one.offsets), np.int64, len(ids))
-            begins = np.cumsum([0] + [len(w) + 1 for w in words[i : i + TOGETHER]])
-            cuts = np.searchsorted(starts, begins).tolist()
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                self.known[keys[i + k]] = ids[a:b]
+        (self.between,) = self._ids([BETWEEN])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words known: their hashes in order, and for each where its ids begin in ``pool`` and how many they are."""
+        self.keys, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.array([END_ID], np.uint32)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Encode words in joined groups and cut the ids at the separator."""
+        mark = BETWEEN.encode()
+        alone = [i for i, w in enumerate(words) if mark in w]
+        odd = dict(zip(alone, self._ids([words[i].decode() for i in alone]), strict=True)) if alone else {}
+        plain = [b"" if i in odd else w for i, w in enumerate(words)] if odd else words
+        glue = b" " + mark + b" "
+        joined = self._ids([glue.join(plain[i : i + TOGETHER]).decode() for i in range(0, len(plain), TOGETHER)])
+        sizes, parts = [], []
+        for ids in joined:
+            cuts = np.flatnonzero(ids == self.between)
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            parts.append(np.delete(ids, cuts))
+        size = np.concatenate(sizes)
+        begin = np.cumsum(size) - size + len(self.pool)
+        self.pool = np.concatenate([self.pool, *parts])
+        for i, ids in odd.items():
+            begin[i], size[i] = len(self.pool), len(ids)
+            self.pool = np.concatenate([self.pool, ids])
+        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
+        self.keys, self.begins, self.sizes = (np.concatenate(x)[order] for x in ((self.keys, keys), (self.begins, begin), (self.sizes, size)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id; and how many each has."""
-        hashes, offsets = word_hashes(texts, lower=False)
-        words = [w for raw in filled(texts).cast(pa.large_binary()).to_pylist() for w in raw.split()]
+        texts = filled(texts)
+        hashes, offsets, starts, ends = word_spans(texts, lower=False, tails=True)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        keys = distinct.tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.known]
-        self._learn([keys[i] for i in new], [words[first[i]].decode() for i in new])
-        lists = [self.known[key] for key in keys]
-        lists.append([END_ID])
-        sizes = np.array([len(x) for x in lists], np.int64)
-        table = np.fromiter((i for x in lists for i in x), np.uint32, sizes.sum())
-        begins = np.cumsum(sizes) - sizes
-        order = np.insert(which.astype(np.int64), offsets[1:], len(lists) - 1)  # the end id after each text's words
-        reach = sizes[order]
-        ends = np.cumsum(reach)
-        ids = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[order] - (ends - reach), reach)]
-        last = ends[offsets[1:] + np.arange(len(texts))]
+        if len(self.keys) > KNOWN:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(new):
+            raw = buffers(texts)[0].tobytes()
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        at = np.searchsorted(self.keys, distinct)
+        # the end id, at the pool's start, after each text's words
+        order = np.insert(at[which], offsets[1:], len(self.keys))
+        reach = np.append(self.sizes, 1)[order]
+        until = np.cumsum(reach)
+        ids = self.pool[np.arange(until[-1] if len(until) else 0) + np.repeat(np.append(self.begins, 0)[order] - (until - reach), reach)]
+        last = until[offsets[1:] + np.arange(len(texts))]
         return ids, np.diff(np.concatenate([[0], last]))
 
 
@@ -93,29 +112,26 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "d
     rows = docs.select(*pick((id_col, "doc_id"), (text_col, "text"))).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder, part, inside = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, limit=SEGMENT_BYTES):
                 ids, counts = encoder.encode(batch.column("text"))
-                doc_ids = batch.column("doc_id")
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids[:1], pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([idcoder.encode(ids)], pa.binary())],
-                    names=["first", "doc_ids", "counts", "coded"],
-                )
+                arrays = [pa.array([part], pa.int32()), pa.array([inside], pa.int64())]
+                arrays += [pa.array([x], pa.list_(pa.int64())) for x in (batch.column("doc_id").to_pylist(), counts)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([idcoder.encode(ids)], pa.binary())], names=["part", "inside", "doc_ids", "counts", "coded"])
+                inside += len(ids)
 
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _SHAPE).write.parquet(path)
 
 
 def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` and, if wanted, ``ids array<long>``, decoded and checked block by block."""
-    segments = spark.read.schema(_SHAPE).parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    sums = segments.select("file", "row", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    files = sums.groupBy("file").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    files = files.select("file", before.alias("base"))
-    inside = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("file", "row", inside.alias("inside")).join(files, "file").select("file", "row", (F.col("base") + F.col("inside")).alias("start"))
-    rows = segments.join(starts, ["file", "row"]).select("doc_ids", "counts", "coded", "start")
+    segments = spark.read.schema(_SHAPE).parquet(path)
+    sums = segments.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    # a row a file: no more than the driver lists anyway, so the window and the broadcast stay small
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.select("part", before.alias("base"))
+    rows = segments.join(F.broadcast(bases), "part").select("doc_ids", "counts", "coded", (F.col("base") + F.col("inside")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
