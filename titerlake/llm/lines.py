@@ -8,21 +8,25 @@ batch, a key new to the store stays in the batch's smallest doc_id only. Its new
 Defined cases: null and empty text are one empty line; a key under ``min_chars`` code points is never dropped;
 repeated rows (same doc_id and text) count as one document and keep or lose the same lines; rows that share a
 doc_id but not the text count as one document too, so they don't drop each other's lines; a null doc_id keeps all
-its lines and takes part in nothing; an empty table gives no rows; further columns pass through untouched.
+its lines and takes part in nothing; an empty table gives no rows; further columns pass through untouched, whatever their names, but for those called
+``__n_lines`` or ``__n_dropped``, whose place the counts take.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titerlake.llm.scratch import Scratch
-from titerlake.llm.text import pick
+from titerlake.llm.text import free_prefix, pick
 
 BLANK = " \t\n\x0b\x0c\r"
 _KEY = ["h1", "h2"]
+#: Documents of a batch at most, and batches at least.
+BATCH_DOCS, LEAST_BATCHES = 1 << 26, 4
 
 
 def line_key(line: Column) -> Column:
@@ -60,18 +64,21 @@ class LineRuns:
                 self.scratch.drop(run)
 
 
-def _batch_edges(rows: DataFrame, batches: int) -> list:
+def _batch_edges(rows: DataFrame, batches: int | None) -> list:
     """Inner boundaries of doc_id that deal the documents to about even batches, in ascending order."""
+    if batches is None:
+        batches = max(LEAST_BATCHES, math.ceil(rows.count() / BATCH_DOCS))
     if batches < 2:
         return []
     cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("cuts")).first()["cuts"]
     return sorted(set(cuts or []))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the text deduplicated, plus ``__n_lines`` and ``__n_dropped``.
 
-    Batches are ascending ranges of doc_id, so the first holder of a line is the smallest doc_id.
+    Batches are ascending ranges of doc_id, so the first holder of a line is the smallest doc_id. Without ``batches``
+    there are ``LEAST_BATCHES``, or as many as keep each at ``BATCH_DOCS`` documents.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -104,17 +111,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     gone = parts[0]
     for part in parts[1:]:
         gone = gone.unionByName(part)
-    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).agg(F.collect_set("pos").alias("__gone"))
+    own = free_prefix([*docs.columns, "__n"])
+    key = [own + "id", own + "version"]
+    gone = gone.groupBy(F.col("doc_id").alias(key[0]), F.col("version").alias(key[1])).agg(F.collect_set("pos").alias(own + "gone"))
 
     identity, text = pick((id_col, "id"), (text_col, "text"))
-    marked = docs.withColumns({"__id": identity, "__version": F.xxhash64(text), "__lines": F.split(F.coalesce(text, F.lit("")), "\n")})
-    joined = marked.join(gone, ["__id", "__version"], "left")
-    gone_at = F.coalesce("__gone", F.array().cast("array<int>"))
-    n = F.size("__lines")
+    marked = docs.withColumns({key[0]: identity, key[1]: F.xxhash64(text), own + "lines": F.split(F.coalesce(text, F.lit("")), "\n")})
+    joined = marked.join(gone, key, "left")
+    gone_at = F.coalesce(own + "gone", F.array().cast("array<int>"))
+    n = F.size(own + "lines")
     stay = F.array_except(F.sequence(F.lit(0), n - 1), gone_at)
-    kept = F.when(F.col("__gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
+    kept = F.when(F.col(own + "gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(own + "lines", i)), "\n"))
     counts = {"__n_lines": n.cast("long"), "__n_dropped": F.size(gone_at).cast("long")}
-    return joined.withColumns({text_col: kept} | counts).select(*[F.col(f"`{c}`") for c in docs.columns], *counts)
+    joined = joined.withColumns({text_col: kept} | counts)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in counts], *counts)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
