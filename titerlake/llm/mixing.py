@@ -8,10 +8,13 @@ most ``slots`` rows, the only broadcast) and holds for all rounds, so a block's
 are numbered in salted parts, so a source with a third of all rows isn't one task's work. Slots of a source that has
 run out stay empty; nothing is dropped or repeated.
 
-Defined cases: a null source is the source ''; a null or empty text counts one character; a null doc_id comes first
-in hash order of its part; repeated rows are kept and follow each other; weights for sources that don't occur are
-ignored, sources without a weight (or with one of zero or less) get the smallest share, one slot; an empty table gives
-no rows; further columns pass through.
+A row's hash is that of all its columns but maps, so rows of one doc_id, or of none, are dealt out too.
+
+Defined cases: a null source is the source ''; a null or empty text counts one character; a null doc_id is like any
+other; repeated rows are kept and follow each other; weights for sources that don't occur are ignored, sources without a
+weight (or with one of zero or less) get the smallest share, one slot; an empty table gives no rows; further columns
+pass through, whatever their names, but for those called ``__block``, ``__slot`` or ``__start``, whose place the
+results take.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from titerlake.llm.text import pick
+from titerlake.llm.text import free_prefix, pick
 
 SLOTS, BLOCK_CHARS, PART_ROWS, TEMPERATURE = 1000, 1 << 16, 8192, 0.7
 
@@ -80,29 +83,32 @@ def mix_sources(
     Sorted by (``__slot``, ``__start``) the rows are the mix. Without ``weights`` they are the sizes to the power 0.7.
     """
     spark = docs.sparkSession
+    own = free_prefix([*docs.columns, "__block"])
+    src, key, chars, part, k, at, quota, inside, offset = (own + c for c in ("source", "hash", "size", "part", "k", "at", "quota", "inside", "offset"))
     identity, source = pick((id_col, "id"), (source_col, "source"))
-    rows = docs.withColumns({"__source": F.coalesce(source.cast("string"), F.lit("")), "__hash": F.xxhash64(identity), "__size": F.greatest(F.coalesce(size if size is not None else F.length("text"), F.lit(1)), F.lit(1)).cast("long")})
-    per_source = rows.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()
-    sizes = {r["__source"]: r["size"] for r in per_source}
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    rows = docs.withColumns({src: F.coalesce(source.cast("string"), F.lit("")), key: whole, chars: F.greatest(F.coalesce(size if size is not None else F.length("text"), F.lit(1)), F.lit(1)).cast("long")})
+    per_source = rows.groupBy(src).agg(F.sum(chars).alias("size"), F.count("*").alias("n")).collect()  # a row a source
+    sizes = {r[src]: r["size"] for r in per_source}
     parts = max(1, math.ceil(sum(r["n"] for r in per_source) / part_rows))
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__hash", F.lit(3)), F.lit(parts)))
+    rows = rows.withColumn(part, F.pmod(F.xxhash64(key, F.lit(3)), F.lit(parts)))
     if weights is None:
         weights = tempered_weights(sizes)
     counts = slot_counts({s: weights.get(s, 0.0) for s in sizes}, slots) if sizes else {}
     round_ = pfair_round(counts)
-    plan = spark.createDataFrame([(s, k, at, counts[s]) for at, (s, k) in enumerate(round_)], "__source string, __k long, __at long, __quota long")
-
-    before = W.partitionBy("__source").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = rows.groupBy("__source", "__part").agg(F.sum("__size").alias("__sum"))
-    offsets = offsets.withColumn("__offset", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
-    inside = W.partitionBy("__source", "__part").orderBy("__hash", identity, "__size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("__inside", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(offsets, ["__source", "__part"])
-    rows = rows.withColumn("__start", F.col("__offset") + F.col("__inside")).withColumn("__block", F.floor(F.col("__start") / block_chars))
-    quota = plan.select("__source", "__quota").distinct()
-    rows = rows.join(F.broadcast(quota), "__source").withColumn("__k", F.col("__block") % F.col("__quota"))
-    rows = rows.join(F.broadcast(plan.drop("__quota")), ["__source", "__k"])
-    rows = rows.withColumn("__slot", F.floor(F.col("__block") / F.col("__quota")) * len(round_) + F.col("__at"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__block", "__slot", "__start")
+    plan = spark.createDataFrame([(s, n, i, counts[s]) for i, (s, n) in enumerate(round_)], f"{src} string, {k} long, {at} long, {quota} long")
+
+    before = W.partitionBy(src).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = rows.groupBy(src, part).agg(F.sum(chars).alias("sum"))
+    offsets = offsets.select(src, part, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias(offset))
+    within = W.partitionBy(src, part).orderBy(key, identity, chars).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn(inside, F.coalesce(F.sum(chars).over(within), F.lit(0))).join(offsets, [src, part])
+    rows = rows.withColumn("__start", F.col(offset) + F.col(inside)).withColumn("__block", F.floor(F.col("__start") / block_chars))
+    rows = rows.join(F.broadcast(plan.select(src, quota).distinct()), src).withColumn(k, F.col("__block") % F.col(quota))
+    rows = rows.join(F.broadcast(plan.drop(quota)), [src, k])
+    rows = rows.withColumn("__slot", F.floor(F.col("__block") / F.col(quota)) * len(round_) + F.col(at))
+    out = ["__block", "__slot", "__start"]
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in out], *out)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
