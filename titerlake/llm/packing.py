@@ -6,9 +6,10 @@ clusters. For a piece, the search starts at the tightest residual that fits and
 without one of the piece's bits is found, else a new bin is opened: no bin holds two documents of a source, or two
 copies of a text.
 
-Windows come from the hash of doc_id, or (``in_file_order``) are runs of neighbouring rows of the Parquet files
-read, so that an order written before, such as a mix of sources, decides which documents can share a bin. Sizes and
-keys alone are shuffled, never texts.
+Windows come from a hash of the row and its place in the input, so rows that share a doc_id, or have none, are dealt
+out like others; or (``in_file_order``) they are runs of neighbouring rows of the Parquet files that ``docs`` must be read
+from, so that an order written before, such as a mix of sources, decides which documents can share a bin. A bin belongs
+to one window, so copies in different windows can't meet in a bin either. Sizes and keys alone are shuffled, never texts.
 
 Defined cases: a size is the words of the text plus one for the end mark, so null and empty texts have size 1; a
 document longer than ``capacity`` fills whole bins of its own and its rest is packed like others; a null source is
@@ -22,7 +23,6 @@ import math
 from bisect import bisect_left, insort
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,16 +88,13 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, window_rows: int =
     """``doc_id, file, window, piece, bin, bin_offset, length``: one row per piece; (file, window, bin) is a sequence."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
     columns = [*pick(("doc_id", "doc_id"), ("source", "source")), F.xxhash64("text").alias("cluster"), size.alias("size")]
-    rows = None
     if in_file_order:
         part = F.try_to_number(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1), F.lit("999999999")).cast("long")
-        try:
-            rows = docs.select(*columns, F.coalesce(part, F.lit(0)).alias("file"), F.floor(F.col("_metadata.row_index") / window_rows).alias("window"))
-        except AnalysisException:
-            rows = None  # not read from files: there is no order to keep
-    if rows is None:
+        rows = docs.select(*columns, F.coalesce(part, F.lit(0)).alias("file"), F.floor(F.col("_metadata.row_index") / window_rows).alias("window"))
+    else:
         windows = max(1, math.ceil(docs.count() / window_rows))
-        rows = docs.select(*columns, F.lit(0).cast("long").alias("file"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(windows)).alias("window"))
+        rows = docs.select(*columns, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))
+        rows = rows.withColumn("window", F.pmod(F.xxhash64("doc_id", "source", "cluster", "place"), F.lit(windows))).drop("place")
     shape = "doc_id long, file long, window long, piece long, bin long, bin_offset long, length long"
     return rows.groupBy("file", "window").applyInArrow(_window_packer(capacity), shape)
 
