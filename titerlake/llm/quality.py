@@ -1,13 +1,14 @@
 """Quality rules: base statistics, and a calibrated logistic regression on hashed n-grams.
 
-Features are hashed into ``BUCKETS`` weights: word unigrams and bigrams, and byte 3- and 5-grams (character n-grams
-of the UTF-8 form, case kept). A text's score is the bias plus, for each of these families, the mean weight of its
+Features are hashed into ``BUCKETS`` weights: word unigrams and bigrams, and 3- and 5-grams of characters (code
+points, case kept). A text's score is the bias plus, for each of these families, the mean weight of its
 n-grams. The weights are fitted by full-batch gradient steps on at most ``TRAIN_ROWS`` labelled rows (those with the
 smallest hash of doc_id), the probabilities calibrated by Platt scaling on further ``CALIBRATE_ROWS``. Scoring runs
 in Arrow batches over whole texts; the verdict compares the probability with the fixed ``THRESHOLD``.
 
 Defined cases: null text counts as empty; an empty text has the bias as its score; without labels of both kinds the
-verdict is to keep; of repeated labels of a document the smallest counts; repeated rows give repeated results; an
+verdict is to keep; of repeated labels of a document the smallest counts, of repeated
+rows of a labelled doc_id the least text; repeated rows give repeated results; an
 empty table gives no rows; further columns are ignored.
 """
 
@@ -38,24 +39,28 @@ def _windows(values: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nd
     return at, starts
 
 
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, and where each text's begin."""
+    data, ends = buffers(filled(texts))
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return points, before[ends]
+
+
 def feature_families(texts: pa.Array, words: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Buckets of each n-gram family, and where each text's begin."""
     shift = np.uint64(64 - 18)
     out = [((words * np.uint64(0x9E3779B97F4A7C15)) >> shift, offsets)]
     at, starts = _windows(words, offsets, 2)
     out.append((((words[at] * np.uint64(3) + words[np.minimum(at + 1, max(len(words) - 1, 0))]) * np.uint64(0xD6E8FEB86659FD93)) >> shift, starts))
-    data, ends = buffers(filled(texts))
-    rolled = data.astype(np.uint64)
+    points, ends = code_points(texts)
     for width, salt in ((3, 0xA0761D6478BD642F), (5, 0xE7037ED1A0B428DB)):
-        if len(rolled) >= width:
-            key = np.zeros(len(rolled) - width + 1, np.uint64)
-            for k in range(width):
-                key = (key << np.uint64(8)) | rolled[k : len(rolled) - width + 1 + k]
-            at, starts = _windows(rolled, ends, width)
-            bucket = (key * np.uint64(salt)) >> shift
-            out.append((bucket[at], starts))
-        else:
-            out.append((np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)))
+        at, starts = _windows(points, ends, width)
+        n = max(len(points) - width + 1, 0)
+        key = np.zeros(n, np.uint64)
+        for k in range(width):
+            key = key * np.uint64(0x9FB21C651E98DF25) + points[k : n + k]
+        out.append((((key ^ (key >> np.uint64(32))) * np.uint64(salt) >> shift)[at], starts))
     return [(b.astype(np.int64), s) for b, s in out]
 
 
@@ -125,8 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cali
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows + calibrate_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the two parameters
-    found = rows.select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h")).toPandas()
-    found = found.sort_values(["h", "doc_id", "text"]).head(train_rows + calibrate_rows)
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(F.coalesce("text", F.lit(""))).alias("text"))  # one text an id
+    found = rows.select("*", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
     if found.empty:
         return None
     n_train = max(1, round(len(found) * train_rows / (train_rows + calibrate_rows)))
