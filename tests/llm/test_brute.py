@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from titerlake.llm import idcoder, language, mixing, packing, secrets, telephony
+from titerlake.llm import idcoder, jaccard, language, mixing, packing, quality, secrets, telephony
 from titerlake.llm.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -248,19 +248,135 @@ def test_telephony_reads_back_what_was_stored(spark, docs):
         assert tuple(got[i][c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")) == want
 
 
+def plain_ima(block):
+    """One ADPCM block, sample by sample."""
+    if len(block) < 4:
+        return []
+    value, index = int(block[:2].copy().view("<i2")[0]), min(int(block[2]), 88)
+    out = [value]
+    for byte in block[4:].tolist():
+        for nibble in (byte & 15, byte >> 4):
+            step = int(telephony.STEP[index])
+            change = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
+            value = max(-32768, min(32767, value - change if nibble & 8 else value + change))
+            index = max(0, min(88, index + int(telephony.INDEX_STEP[nibble])))
+            out.append(value)
+    return out
+
+
+def plain_pcm(payload, codec, block=144):
+    if codec == telephony.IMA:
+        raw = np.frombuffer(payload, np.uint8)
+        samples = [s for i in range(0, len(raw), block) for s in plain_ima(raw[i : i + block])]
+    else:
+        samples = telephony.TABLES[codec][np.frombuffer(payload, np.uint8)].tolist()
+    return [x for i, s in enumerate(samples) for x in (s, (s + samples[min(i + 1, len(samples) - 1)]) >> 1)]
+
+
+def test_telephony_pcm_and_feature_equal_plain_decoding(spark, docs):
+    got, _ = rows_of(spark, "op10_telephony")
+    for i in sorted(docs, key=lambda i: len(docs[i]["text"] or ""))[:60]:
+        raw = (docs[i]["text"] or "").encode()
+        payload = raw.ljust(-(-max(len(raw), 1) // 576) * 576, b"\xff")
+        codec = (telephony.MULAW, telephony.ALAW, telephony.IMA)[zlib.crc32(payload) % 3]
+        want = np.array(plain_pcm(payload, codec), "<i2")
+        r = got[i]
+        assert bytes(r["pcm"])[44:] == want.tobytes() and r["pcm_sha256"] == hashlib.sha256(r["pcm"]).hexdigest()
+        assert r["media_bytes"] >= len(payload) + 44 and struct.unpack_from("<I", r["pcm"], 24)[0] == 16000
+        wide = want.astype(int)
+        assert r["feature"] == (
+            f"codec={telephony.NAMES[codec]};seconds={len(wide) / 16000:.3f};rms={np.sqrt((wide**2).sum() / len(wide)):.2f};peak={abs(wide).max()};"
+            f"crossings={sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:]))};mean={wide.sum() / len(wide):.2f}"
+        )
+
+
+def test_telephony_honours_the_header():
+    blocks = np.random.default_rng(2).integers(0, 256, 600).astype(np.uint8).tobytes()
+    form = struct.pack("<HHIIHHHH", 17, 1, 11025, 5600, 256, 4, 2, 505)
+    wave = telephony.from_wav(b"RIFF" + struct.pack("<I", 0) + b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"LIST\x01\0\0\0x\0" + b"data" + struct.pack("<I", 600) + blocks)
+    (pcm,) = telephony.decode_many([wave])
+    assert telephony.resample(pcm).tolist() == plain_pcm(blocks, telephony.IMA, 256) and wave.rate == 11025
+    two = telephony.Wave(telephony.MULAW, 2, 8000, 2, 8, bytes([0, 0x80, 1, 1, 9]))
+    assert telephony.decode_many([two])[0].tolist() == [0, telephony.TABLES[telephony.MULAW][1]]
+    again = telephony.from_wav(telephony.to_wav(pcm.tobytes(), telephony.PCM, 16000))
+    assert (telephony.decode_many([again])[0] == pcm).all()
+
+
+def test_telephony_bad_audio(spark):
+    good = telephony.to_wav(b"abc", telephony.ALAW)
+    stereo = telephony.to_wav(b"x" * 144, telephony.IMA).replace(b"\x11\0\x01\0", b"\x11\0\x02\0", 1)
+    rows = [(1, None), (2, b""), (3, b"RIFFxxxxWAVE"), (4, good), (5, good[:30]), (6, stereo), (7, telephony.to_wav(b"", telephony.MULAW))]
+    frame = spark.createDataFrame([(i, m, "kept", "lost") for i, m in rows], "id int, media binary, __pcm string, pcm string")
+    got = {r["id"]: r for r in telephony.expand_telephony(frame).collect()}
+    assert got[1]["pcm"] is None and got[1]["feature"] is None and all(r["__pcm"] == "kept" for r in got.values())
+    assert all(got[i]["pcm"] is None and got[i]["feature"].startswith("error=") for i in (2, 3, 5, 6))
+    assert len(got[4]["pcm"]) == 44 + 12 and len(got[7]["pcm"]) == 44
+
+
 def test_telephony_tables_and_block_decoder():
     mulaw, alaw = telephony.TABLES[telephony.MULAW], telephony.TABLES[telephony.ALAW]
     assert (mulaw[0], mulaw[0x80], mulaw[0xFF], mulaw[0x7F]) == (-32124, 32124, 0, 0)
     assert (alaw[0xD5], alaw[0x55], alaw[0xAA], alaw[0x2A]) == (8, -8, 32256, -32256)
     blocks = np.random.default_rng(1).integers(0, 256, (5, 144)).astype(np.uint8)
     for row, samples in zip(blocks, telephony.ima_decode(blocks), strict=True):
-        value, index = int(row[:2].copy().view("<i2")[0]), min(int(row[2]), 88)
-        want = [value]
-        for byte in row[4:].tolist():
-            for nibble in (byte & 15, byte >> 4):
-                step = int(telephony.STEP[index])
-                change = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
-                value = max(-32768, min(32767, value - change if nibble & 8 else value + change))
-                index = max(0, min(88, index + int(telephony.INDEX_STEP[nibble])))
-                want.append(value)
-        assert samples.tolist() == want
+        assert samples.tolist() == plain_ima(row)
+
+
+def test_jaccard_large_clusters_equal_all_pairs(spark, monkeypatch):
+    """A cluster of many blocks, of near copies around the threshold, and one of texts that share most of a passage."""
+    for name, value in (("BLOCK", 16), ("PIVOTS", 4), ("HEAVY", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(8)
+    texts = []
+    for base in range(2):
+        words = [f"b{base}w{j}" for j in range(60)]
+        for i in range(90):
+            mine = list(words)
+            for at in rng.integers(0, 60, rng.integers(0, 5)):
+                mine[at] = f"x{rng.integers(0, 6)}"
+            texts.append(" ".join(mine[: 60 - int(rng.integers(0, 12))]))
+    for i in range(60):
+        texts.append(" ".join([f"p{j}" for j in range(40)] + [f"own{i}-{j}" for j in range(int(rng.integers(2, 14)))]))
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(frame, 4, 85).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert len(set(got.values())) > 10
+
+
+def test_quality_model_on_held_out_labels(spark):
+    """Accuracy and calibration on labelled documents that the model has not seen."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels.where("doc_id % 3 > 0"))
+    scored = quality.score_quality(docs.join(labels.where("doc_id % 3 = 0").select("doc_id", "quality"), "doc_id"), model)
+    rows = scored.join(labels.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id").toPandas()
+    share = rows["quality"].mean()
+    right = ((rows["probability"] >= quality.THRESHOLD) == (rows["quality"] == 1)).mean()
+    brier = ((rows["probability"] - rows["quality"]) ** 2).mean()
+    print("held out", len(rows), "share", share, "accuracy", right, "brier", brier, "mean", rows["probability"].mean())
+    assert right > max(share, 1 - share) + 0.1
+    assert brier < 0.7 * share * (1 - share)
+    assert abs(rows["probability"].mean() - share) < 0.05
+    assert (rows["kept"] == (~rows["base_failed"] & (rows["probability"] >= quality.THRESHOLD))).all()
+
+
+def test_quality_n_grams_are_of_characters():
+    import pyarrow as pa
+
+    points, starts = quality.code_points(pa.array(["aé\u4e2d\U0001f600", None, "", "é"]))
+    assert points.tolist() == [97, 0xE9, 0x4E2D, 0x1F600, 0xE9] and starts.tolist() == [0, 4, 4, 4, 5]

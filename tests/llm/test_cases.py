@@ -61,6 +61,69 @@ def test_lines_keep_the_first_document(spark):
     assert (1, TEXTS[0][1]) in got and (2, "other") in got and (3, "") in got and (None, TEXTS[7][1]) in got
 
 
+CLASH = [f"__{c}" for c in ("id", "version", "lines", "gone", "n_lines", "source", "hash", "size", "part", "k", "at", "quota", "inside", "offset", "slot", "block", "start")]
+
+
+@pytest.mark.parametrize("name", ["lines", "mixing"])
+def test_columns_of_internal_names_keep_their_values(spark, name):
+    docs = frame(spark, [(i, t) for i, t in TEXTS if i != 5]).select("doc_id", "text", "source")
+    for k, c in enumerate(CLASH):
+        docs = docs.selectExpr("*", f"{k} + coalesce(doc_id, 0) * 100 AS `{c}`")
+    out = per_row(name, spark, docs)
+    taken = {"__n_lines", "__n_dropped"} if name == "lines" else {"__slot", "__block", "__start"}
+    assert len(out.columns) == len(set(out.columns)) and taken <= set(out.columns)
+    for r in out.collect():
+        assert all(r[c] == k + (r["doc_id"] or 0) * 100 for k, c in enumerate(CLASH) if c not in taken)
+
+
+def test_secret_values(spark):
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in secrets.scan_secrets(frame(spark)).collect()}
+    assert got[None] == [("assign", 0, 19)] and all(got[i] == [] for i in (1, 2, 3, 4, 5, 6, 7, 8))
+
+
+def test_quality_values(spark):
+    rows = per_row("quality", spark, frame(spark)).collect()
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_dup_lines"], r["base_failed"]) for r in rows}
+    assert got[3] == got[4] == got[7] == (0, 0, 0, True) and got[8] == (1, 1, 0, True) and got[5] == got[6] and got[5][0] == 150000
+    one_kind = spark.createDataFrame([(1, 1), (5, 1)], "doc_id long, quality int")
+    kept = quality.score_quality(frame(spark, [(9, " ".join(f"w{i}" for i in range(60)))]), quality.train(frame(spark), one_kind)).first()
+    assert kept["kept"] and kept["probability"] is None
+
+
+def test_language_values(spark):
+    got = {r["doc_id"]: r for r in per_row("language", spark, frame(spark)).collect()}
+    assert all(got[i]["lang_pred"] == "und" and 0 <= got[i]["score"] <= 1 for i in (3, 4, 7)) and got[5]["lang_pred"] == got[6]["lang_pred"]
+
+
+def test_token_values(spark):
+    rows = per_row("tokens", spark, frame(spark)).collect()
+    at = 0
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert r["start"] == at and r["n_tokens"] == len(r["ids"]) and r["ids"][-1] == tokenids.END_ID
+        at += r["n_tokens"]
+    by = {r["doc_id"]: r for r in rows}
+    assert by[None]["start"] == 0 and by[3]["ids"] == by[4]["ids"] == by[7]["ids"] == [1] and by[5]["ids"] == by[6]["ids"]
+
+
+def test_mixing_keeps_repeated_and_null_ids_in_small_parts(spark):
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN NULL ELSE 7 END AS doc_id", "repeat('x', int(id % 50)) || id AS text", "IF(id % 10 = 0, NULL, 's') AS source")
+    out = mixing.mix_sources(docs, part_rows=100, block_chars=500)
+    rows = sorted(out.collect(), key=lambda r: (r["source"] or "", r["__start"]))
+    assert len(rows) == 3000 and len({r["text"] for r in rows}) == 3000
+    at = {}
+    for r in rows:
+        assert r["__start"] == at.get(r["source"], 0)
+        at[r["source"]] = r["__start"] + len(r["text"])
+    weights = mixing.slot_counts({"a": 0.0, "b": -1.0, "c": 3.0}, 10)
+    assert weights == {"a": 1, "b": 1, "c": 8}
+
+
+def test_packing_windows_hold_repeated_ids(spark):
+    docs = spark.range(2000).selectExpr("NULL AS doc_id", "'same words' AS text", "'s' AS source").selectExpr("CAST(doc_id AS long) AS doc_id", "text", "source")
+    rows = packing.pack_documents(docs, window_rows=100).groupBy("window").count().collect()
+    assert sum(r["count"] for r in rows) == 2000 and max(r["count"] for r in rows) < 200
+
+
 def test_jaccard_cases(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark)).collect()}
     assert got[3] == (0, 3) and got[4] == (0, 4) and got[7] == (0, 7) and got[8] == (1, 8)

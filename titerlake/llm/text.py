@@ -20,6 +20,14 @@ def pick(*columns: tuple[str, str]) -> list[Column]:
     return [F.col("`" + source.replace("`", "``") + "`").alias(alias) for source, alias in columns]
 
 
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no column name starts with, for columns that an operator needs meanwhile."""
+    out = "__"
+    while any(c.startswith(out) for c in columns):
+        out += "_"
+    return out
+
+
 def filled(array: pa.Array) -> pa.Array:
     """A string array as large_string, null as empty."""
     return pc.fill_null(array.cast(pa.large_string()), "")
