@@ -9,22 +9,33 @@ shingles of all texts by hash; a coarse table makes the orders worse, never wron
 Steps, each a Spark job over all documents:
 1. per text: set size, 128-bit fingerprint of the set, and the frequency table, summed over all texts;
 2. equal sets become one class, represented by its smallest doc_id;
-3. prefix tokens of the representatives under the first order; pairs that share one are intersected with the
-   filters of the other orders (a token with very many holders ties each to the least one instead), and the
-   components of these ties are *clusters*: no two documents of different clusters can be linked;
-4. clusters are cut into blocks, and each pair of blocks is one task: candidates are the pairs that share prefix
-   tokens under every order, the filters intersected; survivors are verified by exact overlap. A task returns a
-   spanning forest of its links, so large groups don't emit all their pairs;
-5. components of these links, and of the classes, give ``component_id``.
+3. prefix tokens of the representatives under the first order, somewhat more than needed for one common token: so long
+   documents must share several. Documents that may be linked by these are tied, and the components of the ties are
+   *clusters*: no two documents of different clusters can be linked;
+4. the sets of clustered documents, and of no others, go to tasks of one cluster each, or, of a large cluster, of one
+   block of a size class and the class's pivots. A task takes the pairs that share prefix tokens under every order, the
+   filters intersected, verifies them by exact overlap and returns a star for each group of linked documents, so large
+   groups don't emit all their pairs;
+5. in large clusters, documents that are not in the cluster's largest component yet (the rest) are compared in the
+   same way with all blocks of their own and the neighbouring size classes. Two documents in one component need no
+   comparison, so what is left grows with the rest times the cluster, not with the cluster's square;
+6. components of all links, and of the classes, give ``component_id``.
+
+Linked sets differ in size by a factor of at most ``100 / percent``; size classes are powers of that factor, so linked
+sets are in the same class or in neighbours.
 
 Defined cases: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; with fewer than ``k`` words the whole sequence is
 the one shingle; null text, or one without words, has an empty set, links with nothing and is its own component;
-rows that share a doc_id count as one document in links and keep their own set sizes; a null doc_id has no component
-(null); an empty table gives no rows; further columns are ignored.
+rows that share a doc_id are compared each with its own set and share a component where that id represents both; a
+null doc_id has no component (null); an empty table gives no rows; further columns are ignored.
+
+The result reads the tables ``profile``, ``classes`` and the last one of the components; all others are dropped when
+the last step that reads them is done.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -46,10 +57,14 @@ WIDTH = 1 << BITS
 PIECE = 1 << 16
 #: Tokens that a task holds before it counts them.
 HELD = 1 << 21
-#: Holders of a prefix token up to which its pairs are formed; beyond, the block tasks alone compare them.
+#: The ties' prefixes have a token more for every so many of the set, and linked sets share as many more.
+MORE = 32
+#: Holders of a prefix token up to which its pairs are formed; beyond, they are tied to the least one of a size class.
 HEAVY = 64
-#: Documents of one block of a cluster.
-BLOCK = 1024
+#: Documents of a cluster that is one task, of one block of a larger one, and pivots that all blocks of a class get.
+BLOCK, PIVOTS = 256, 32
+#: Bits of the filter that keeps unclustered documents out of the shuffle of sets: a fixed size, false hits do no harm.
+FILTER_BITS, FILTER_HASHES = 1 << 25, 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -93,14 +108,17 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def prefixes_of(tokens: np.ndarray, offsets: np.ndarray, order: int, levels: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The first tokens of each set under an order: frequency level, then a hash of its own. Sorted for order 0 only."""
+def prefixes_of(tokens: np.ndarray, offsets: np.ndarray, order: int, levels: np.ndarray, percent: int, least: int = 0) -> list[np.ndarray]:
+    """The first tokens of each set under an order: frequency level, then a hash of its own. Not sorted.
+
+    With ``least``, a set of n gets ``n // least`` tokens more, so linked sets share that many tokens more.
+    """
     spread = (tokens ^ (tokens >> np.uint64(29))) * np.uint64(_SPREAD[order])
     key = (levels[_bucket(tokens)].astype(np.uint64) << np.uint64(56)) | (spread >> np.uint64(8))
     out = []
     for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        n = prefix_length(high - low, percent)
-        at = np.argsort(key[low:high])[:n] if order == 0 or n < 2 else np.argpartition(key[low:high], n - 1)[:n]
+        n = min(prefix_length(high - low, percent) + ((high - low) // least if least else 0), high - low)
+        at = np.argpartition(key[low:high], n - 1)[:n] if n else slice(0)
         out.append(tokens[low:high][at])
     return out
 
@@ -155,37 +173,53 @@ def _prefix_rows(k: int, percent: int, shared):
         for whole in batches:
             for batch in slices(whole):
                 flat, offsets = shingle_sets(batch.column("text"), k)
-                found = [prefixes_of(flat, offsets, o, levels, percent) for o in range(ORDERS)]
-                first, *more = [pa.array([x.astype(np.int32 if o else np.int64) for x in found[o]], pa.list_(pa.int32() if o else pa.int64())) for o in range(ORDERS)]
-                n = pa.array(np.diff(offsets), pa.int32())
-                yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), n, first, *more], names=["doc_id", "n", "tokens", *[f"p{o}" for o in range(1, ORDERS)]])
+                tokens = pa.array([x.view(np.int64) for x in prefixes_of(flat, offsets, 0, levels, percent, MORE)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), pa.array(np.diff(offsets), pa.int32()), tokens], names=["doc_id", "n", "tokens"])
 
     return run
 
 
+def _size_class(n: str, percent: int):
+    return F.floor(F.log(F.col(n).cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col(n).cast("int")
+
+
 def _ties(prefixes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Edges ``a, b`` between documents that may be linked; the ends of every link are joined by a path of them.
 
-    A token held by at most ``HEAVY`` prefixes gives its pairs, less those that size, position or another order rules
-    out: the first token that two linked sets share leaves enough tokens behind it in both for the overlap needed.
-    A token held by more gives one edge from each holder to the least one instead of the pairs.
+    Prefixes are ``n // MORE`` tokens longer than needed for one common token, so linked sets of x and y tokens share
+    ``1 + min(x, y) // MORE``. A document is *dense* if at least ``1 + n // MORE`` of its prefix tokens have more than
+    ``HEAVY`` holders. Linked documents that aren't both dense must share other tokens, which have few holders: those
+    give pairs, of which the ones with too few common tokens or sizes too far apart go. Two dense documents may share
+    heavy tokens alone: each of these ties its dense holders to the least one of their size class, and those of
+    neighbouring classes to each other.
     """
-    postings = prefixes.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
-    heads = postings.groupBy("token").agg(F.min("doc_id").alias("head"), F.count("*").alias("holders")).where(F.col("holders") > 1)
-    held = scratch.save(postings.join(heads, "token"), "held")
-    heavy = held.where((F.col("holders") > HEAVY) & (F.col("doc_id") > F.col("head"))).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    light = held.where(F.col("holders") <= HEAVY).select("token", "doc_id", "n", "pos")
-    x, y = (light.select("token", *[F.col(c).alias(side + c) for c in ("doc_id", "n", "pos")]) for side in "xy")
-    need = F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / (100 + percent))
-    fits = (F.col("xdoc_id") < F.col("ydoc_id")) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
-    fits = fits & (F.col("xn") - F.col("xpos") >= need) & (F.col("yn") - F.col("ypos") >= need)
-    pairs = x.join(y, "token").where(fits).select(F.col("xdoc_id").alias("a"), F.col("ydoc_id").alias("b")).distinct()
-    orders = [f"p{o}" for o in range(1, ORDERS)]
+    postings = prefixes.select("doc_id", "n", F.explode("tokens").alias("token"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("holders")).where(F.col("holders") > 1)
+    held = scratch.save(postings.join(shared, "token"), "held")
+
+    weight = held.where(F.col("holders") > HEAVY).groupBy("doc_id").agg(F.count("*").alias("heavy"), F.min("n").alias("least"))
+    weight = scratch.save(weight, "weight")
+    dense = weight.where(F.col("heavy") > F.floor(F.col("least") / MORE)).select("doc_id")
+    heavy = held.where(F.col("holders") > HEAVY).join(dense, "doc_id").select("token", "doc_id", _size_class("n", percent).alias("cls"))
+    heavy = scratch.save(heavy, "heavy")
+    heads = scratch.save(heavy.groupBy("token", "cls").agg(F.min("doc_id").alias("head")), "heads")
+    inside = heavy.join(heads, ["token", "cls"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    above = heads.select("token", (F.col("cls") - 1).alias("cls"), F.col("head").alias("a"))
+    across = above.join(heads, ["token", "cls"]).select("a", F.col("head").alias("b"))
+
+    light = held.where(F.col("holders") <= HEAVY).select("token", "doc_id", "n")
+    x, y = (light.select("token", F.col("doc_id").alias(s), F.col("n").alias("n" + s)) for s in "ab")
+    fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = x.join(y, "token").where(fits).groupBy("a", "b").agg(F.count("*").alias("common"), F.min(F.least("na", "nb")).alias("n"))
     for side in "ab":
-        pairs = pairs.join(prefixes.select(F.col("doc_id").alias(side), *[F.col(o).alias(side + o) for o in orders]), side)
-    for order in orders:
-        pairs = pairs.where(F.arrays_overlap("a" + order, "b" + order))
-    return pairs.select("a", "b").unionByName(heavy)
+        pairs = pairs.join(weight.select(F.col("doc_id").alias(side), F.col("heavy").alias("h" + side)), side, "left")
+    least = 1 + F.floor(F.col("n") / MORE) - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    pairs = pairs.where(F.col("common") >= least).select("a", "b")
+
+    ties = scratch.save(pairs.unionByName(inside).unionByName(across).where(F.col("a") != F.col("b")).distinct(), "ties")
+    for frame in (held, weight, heavy, heads):
+        scratch.drop(frame)
+    return ties
 
 
 class _Forest:
@@ -220,16 +254,22 @@ def _owners(index: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndar
     return index[1][np.arange(count.sum()) + np.repeat(low - starts, count)]
 
 
-def link_block_pair(ids: list[int], flat: np.ndarray, offsets: np.ndarray, left: np.ndarray, levels: np.ndarray, percent: int, cross: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside a block, or (``cross``) between its left and right part."""
+def link_sets(flat: np.ndarray, offsets: np.ndarray, comps: np.ndarray, left: np.ndarray | None, levels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different components, as a spanning forest: of all sets, or of ``left`` with the others.
+
+    Sets whose component (``comps``) is already the same are not compared.
+    """
     prefixes = [prefixes_of(flat, offsets, o, levels, percent) for o in range(ORDERS)]
     sets = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     indexes = [_inverted(p) for p in prefixes]
     whole = _inverted(sets)
     sizes = np.diff(offsets)
     forest, out = _Forest(len(sets)), []
-    for x in np.flatnonzero(left):
-        mask = ~left if cross else np.arange(len(sets)) > x
+    first: dict[int, int] = {}
+    for i, comp in enumerate(comps.tolist()):
+        forest.join(i, first.setdefault(comp, i))
+    for x in range(len(sets)) if left is None else np.flatnonzero(left):
+        mask = ~left if left is not None else np.arange(len(sets)) > x
         for order in range(ORDERS):  # the filters of all orders, intersected
             shared = np.zeros(len(sets), bool)
             shared[_owners(indexes[order], prefixes[order][x])] = True
@@ -247,22 +287,94 @@ def link_block_pair(ids: list[int], flat: np.ndarray, offsets: np.ndarray, left:
             common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in near])
         for y in near[100 * common >= percent * (sizes[near] + sizes[x] - common)]:
             if forest.join(int(x), int(y)):
-                out.append((ids[x], ids[y]))
+                out.append((int(x), int(y)))
     return out
 
 
-def _verify(k: int, percent: int, shared):
+def _link_tasks(percent: int, shared, cross: bool):
+    """For a group of ``doc_id, comp, side, packed`` rows: its links; with ``cross``, of side 1 with side 0 alone."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, one, two = (x.as_py() for x in key)
         ids = table.column("doc_id").to_pylist()
-        flat, offsets = shingle_sets(table.column("text").combine_chunks(), k)
-        left = np.array(table.column("block").to_pylist()) == one
-        links = link_block_pair(ids, flat, offsets, left, shared.value, percent, one != two)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        packed = table.column("packed").to_pylist()
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 8 for x in packed])]).astype(np.int64)
+        flat = np.frombuffer(b"".join(packed), np.uint64)
+        comps = np.asarray(table.column("comp"), np.int64)
+        left = np.asarray(table.column("side"), np.int64) == 1 if cross else None
+        links = link_sets(flat, offsets, comps, left, shared.value, percent) if left is None or left.any() else []
+        return pa.table({"a": pa.array([ids[a] for a, _ in links], pa.int64()), "b": pa.array([ids[b] for _, b in links], pa.int64())})
 
     return run
 
 
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``doc_id``; the driver gets its words, at most ``FILTER_BITS / 64`` whatever the input."""
+    spots = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)])).alias("spot"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 64).cast("int"))
+    words = spots.groupBy(F.floor(F.col("spot") / 64).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[np.asarray(words.column("word"), np.int64)] = np.asarray(words.column("bits"), np.int64)
+    return out
+
+
+def _packed_sets(k: int, filter_):
+    """Sets of the documents that pass the filter, as bytes. ``spots`` holds a document's bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = filter_.value
+        for whole in batches:
+            spots = whole.column("spots").flatten().to_numpy().reshape(-1, FILTER_HASHES)
+            pass_ = ((words[spots >> 6] >> (spots & 63)) & 1).all(axis=1)
+            for batch in slices(whole.filter(pa.array(pass_)).drop_columns(["spots"])):
+                flat, offsets = shingle_sets(batch.column("text"), k)
+                raw = flat.tobytes()
+                packed = [raw[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), pa.array(np.diff(offsets), pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "packed"])
+
+    return run
+
+
+def _verified(sets: DataFrame, percent: int, shared, scratch: Scratch) -> DataFrame:
+    """Links ``a, b`` between documents of ``root, doc_id, n, packed`` that join every group of linked ones."""
+    here = sets.select("root", "doc_id", "n", "packed", _size_class("n", percent).alias("cls"))
+    many = sets.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
+    classes = here.select("root", "cls").join(many, "root").groupBy("root", "cls").agg(F.count("*").alias("size"))
+    classes = scratch.save(classes.select("root", "cls", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "size-classes")
+    links = _link_tasks(percent, shared, cross=False)
+    keys = ["root", "cls", "block"]
+    task = [*keys, "doc_id", F.col("doc_id").alias("comp"), F.lit(0).alias("side"), "packed"]
+    if classes.isEmpty():  # no large cluster: each is one task
+        return scratch.save(here.withColumns({"block": F.lit(0), "cls": F.lit(0)}).select(*task).groupBy(*keys).applyInArrow(links, "a long, b long"), "links")
+    dealt = here.join(classes, ["root", "cls"], "left")
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    pivot = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.floor(F.col("size") / PIVOTS), F.lit(1))) == 0
+    others = F.when(pivot & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    large = F.col("blocks").isNotNull()
+    dealt = dealt.withColumns({"block": F.when(large, block).otherwise(0), "cls": F.when(large, F.col("cls")).otherwise(-1)})
+    first = scratch.save(dealt.withColumn("block", F.explode(others)).select(*task).groupBy(*keys).applyInArrow(links, "a long, b long"), "links")
+
+    known = connected_components(first, scratch)
+    placed = dealt.where(large).join(known.withColumnRenamed("node", "doc_id").withColumnRenamed("root", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    placed = scratch.save(placed.select(*keys, "doc_id", "comp", "packed"), "placed")
+    counts = placed.groupBy("root", "comp").agg(F.count("*").alias("size"))
+    largest = counts.groupBy("root").agg(F.max_by("comp", F.struct("size", -F.col("comp"))).alias("largest"))
+    rest = placed.join(largest, "root").where(F.col("comp") != F.col("largest")).drop("largest")
+    chunks = rest.groupBy("root", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    rest = rest.join(chunks, ["root", "cls"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("chunks")).cast("int"))
+    near = F.explode(F.array(*[F.col("cls") + d for d in (-1, 0, 1)]))
+    blocks = classes.select("root", "cls", "blocks")
+    # each chunk of the rest meets each block of its class and of the two beside it
+    right = rest.select("root", F.col("cls").alias("own"), "chunk", near.alias("cls"), "doc_id", "comp", "packed").join(blocks, ["root", "cls"])
+    right = right.select("root", "own", "chunk", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", "comp", F.lit(1).alias("side"), "packed")
+    wanted = chunks.select("root", F.col("cls").alias("own"), near.alias("cls"), "chunks")
+    left = placed.join(wanted, ["root", "cls"]).select("root", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cls", "block", "doc_id", "comp", F.lit(0).alias("side"), "packed")
+    second = left.unionByName(right).groupBy("root", "own", "chunk", "cls", "block").applyInArrow(_link_tasks(percent, shared, cross=True), "a long, b long")
+    second = scratch.save(second, "rest-links")
+    scratch.drop(placed)
+    scratch.drop(classes)
+    return first.unionByName(second)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; links need ``100 * intersection >= percent * union``."""
     spark = docs.sparkSession
@@ -282,20 +394,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     classes = scratch.save(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
-    shape = "doc_id long, n int, tokens array<long>, " + ", ".join(f"p{o} array<int>" for o in range(1, ORDERS))
-    prefixes = scratch.save(rows.mapInArrow(_prefix_rows(k, percent, shared), shape).join(reps, "doc_id", "left_semi"), "prefixes")
+    prefixes = rows.mapInArrow(_prefix_rows(k, percent, shared), "doc_id long, n int, tokens array<long>")
+    prefixes = scratch.save(prefixes.join(reps, "doc_id", "left_semi"), "prefixes")
     ties = _ties(prefixes, percent, scratch)
-    roots = connected_components(ties, scratch)
     scratch.drop(prefixes)
-    roots = scratch.save(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "clusters")
-
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = roots.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    texts = rows.join(members, "doc_id").select("root", "block", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = texts.select("root", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc_id", "text")
-    links = scratch.save(tasks.groupBy("root", "one", "two").applyInArrow(_verify(k, percent, shared), "a long, b long"), "links")
-    scratch.drop(roots)
+    roots = connected_components(ties, scratch)
+    scratch.drop(ties)
+    clusters = scratch.save(roots.select(F.col("node").alias("doc_id"), "root").unionByName(roots.select(F.col("root").alias("doc_id"), "root").distinct()), "clusters")
+
+    filter_ = spark.sparkContext.broadcast(_id_filter(clusters))
+    spots = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)]).alias("spots")
+    packed = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text", spots).mapInArrow(_packed_sets(k, filter_), "doc_id long, n int, packed binary")
+    members = scratch.save(packed.where(F.col("n") > 0).join(clusters, "doc_id"), "members")
+    scratch.drop(clusters)
+    links = _verified(members, percent, shared, scratch)
     joined = connected_components(links, scratch)
+    scratch.drop(members)
 
     named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"))
     known = sets.where(F.col("n") > 0).join(named, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
