@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from titerlake.functions.distributions import T_CRITICAL
+
 Z = 1.96
 
 
@@ -55,6 +57,24 @@ def gmc(value: Column, n: Column) -> dict[str, Column]:
     return {"gmc": F.round(F.exp(mean), 4), "ci_lower": F.round(F.exp(mean - Z * error), 4), "ci_upper": F.round(F.exp(mean + Z * error), 4), "n_values": k}
 
 
+def gmc_t(value: Column) -> dict[str, Column]:
+    """Geometric mean with the t interval of the logs; the normal one from 31 degrees of freedom on."""
+    x = F.when(value > 0, F.ln(value))
+    n, mean, error = F.count(x), F.avg(x), F.coalesce(F.stddev_samp(x), F.lit(0.0)) / F.sqrt(F.count(x))
+    t = F.coalesce(F.try_element_at(F.array(*map(F.lit, T_CRITICAL.values())), F.when(n > 1, (n - 1).cast("int")).otherwise(1)), F.lit(Z))
+    return {"gmc": F.round(F.exp(mean), 4), "ci_lower": F.round(F.exp(mean - t * error), 4), "ci_upper": F.round(F.exp(mean + t * error), 4), "n": n}
+
+
+def status_label(approved: Column, pending: Column, enough: int = 5) -> Column:
+    """What a group of facts lacks: more of them, reviews, both, or nothing."""
+    few = F.when(approved < enough, F.when((approved > 0) & (pending > 0), "need_both").when(pending > 0, "need_review").otherwise("need_supplement"))
+    return F.coalesce(few, F.when(pending > 0, "need_review").otherwise("well_covered"))
+
+
+def decade(year: Column) -> Column:
+    return F.concat((F.floor(year / 10) * 10).cast("string"), F.lit("s"))
+
+
 def wilson(p: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     d = 1 + z * z / n
     mid, half = (p + z * z / (2 * n)) / d, z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titerlake.functions.parsing import split_multi
+
 
 def normal_title(title: Column) -> Column:
     t = F.regexp_replace(F.lower(title), r"[-_–—]+", " ")
@@ -34,6 +36,37 @@ def score_sample_size(n: Column) -> Column:
     return F.when(n >= 2001, 30).when(n >= 500, 24).when(n >= 100, 16).when(n >= 1, 8).otherwise(0)
 
 
+#: Words of a sampling design and of a population that count for its score (fixed values; case counts).
+SAMPLED_WELL = r"随机|多阶段|分层整群|分层抽樣|probability\s*sampling|multi[- ]stage|stratified|cluster\s*sampling"
+SAMPLED_POORLY = "便利|convenience"
+PEOPLE_AT_LARGE = "general|全人群|一般人群|社区|school[- ]based|在校|学生"
+PEOPLE_IN_CARE = "门诊|医院|hospital|患者|病例"
+
+
+def score_sampling(text: Column) -> Column:
+    return F.when(text.rlike(SAMPLED_WELL), 25).when(text.rlike(SAMPLED_POORLY), 6).otherwise(12)
+
+
+def score_method(method: Column, known: list[str]) -> Column:
+    """15 for a known method (in any case), 8 for another, 0 for none."""
+    m = F.trim(method)
+    return F.when(F.coalesce(m, F.lit("")) == "", 0).when(F.upper(m).isin(*[k.upper() for k in known]), 15).otherwise(8)
+
+
+def score_population(population: Column) -> Column:
+    return F.when(population.rlike(PEOPLE_AT_LARGE), 15).when(population.rlike(PEOPLE_IN_CARE), 5).otherwise(8)
+
+
+def survey_level(province: Column, city: Column, n: Column) -> Column:
+    """national with ten provinces or more; provincial with one of several cities, or of a large sample; else local."""
+    provinces, cities = F.size(split_multi(province)), F.size(split_multi(city))
+    return F.when(provinces >= 10, "national").when((provinces == 1) & (cities >= 2), "provincial").when((provinces >= 1) & (n >= 2000), "provincial").otherwise("local")
+
+
+def score_level(level: Column) -> Column:
+    return F.when(level == "national", 10).when(level == "provincial", 8).otherwise(5)
+
+
 def score_confidence(c: Column) -> Column:
     return F.when(c == "high", 5).when(c == "medium", 3).otherwise(1)
 

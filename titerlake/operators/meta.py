@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titerlake.functions import stats
+from titerlake.functions.distributions import t_p_value
 
 
 def ft_meta(studies: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,6 +86,31 @@ def weighted_trend(points: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, "k", F.round(slope, 6).alias("slope"), F.round(r2, 6).alias("r2"), way.alias("direction"))
 
 
+def trend_p_value(trends: DataFrame) -> DataFrame:
+    """``p`` of the slopes of ``weighted_trend``: t of k - 2 degrees of freedom from r2; null without any."""
+    df = (F.col("k") - 2).cast("double")
+    t = F.when((df > 0) & (F.col("r2") < 1), F.sqrt(F.col("r2") * df / (1 - F.col("r2"))))
+    return trends.withColumn("p", F.round(t_p_value(t, df), 6))
+
+
+def pooled_wilson(studies: DataFrame, keys: list[str]) -> DataFrame:
+    """Inverse-variance pool of proportions ``p`` among ``n`` (0 and 1 with half a case more) and its Wilson interval over all people."""
+    edge = F.col("p").isin(0.0, 1.0)
+    p = F.when(edge, (F.col("p") * F.col("n") + 0.5) / (F.col("n") + 1)).otherwise(F.col("p"))
+    n = F.when(edge, F.col("n") + 1).otherwise(F.col("n"))
+    rows = studies.where((F.col("n") > 0) & F.col("p").isNotNull()).withColumns({"w": n / (p * (1 - p)), "wp": n / (1 - p), "m": F.col("n")})
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n_studies"), F.sum("m").alias("total"), (F.sum("wp") / F.sum("w")).alias("pool"))
+    low, high = stats.wilson(F.col("pool"), F.col("total"))
+    return sums.select(*keys, "n_studies", F.round("pool", 6).alias("pooled"), F.round(low, 6).alias("ci_lower"), F.round(high, 6).alias("ci_upper"))
+
+
+def study_weights(studies: DataFrame, keys: list[str]) -> DataFrame:
+    """Each study's share of its group's inverse-variance weight, in percent."""
+    rows = studies.where((F.col("n") > 0) & (F.col("p") > 0) & (F.col("p") < 1)).withColumn("w", F.col("n") / (F.col("p") * (1 - F.col("p"))))
+    total = rows.groupBy(*keys).agg(F.sum("w").alias("all"))
+    return rows.join(total, keys).withColumn("weight", F.round(F.col("w") / F.col("all") * 100, 6))
+
+
 def cochran_armitage(groups: DataFrame, keys: list[str]) -> DataFrame:
     """Trend statistic over ``score`` groups with ``x`` of ``n``; null under three groups or without variation."""
     n, x, s = F.col("n"), F.col("x"), F.col("score")
@@ -96,12 +122,19 @@ def cochran_armitage(groups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def two_proportions(pairs: DataFrame) -> DataFrame:
-    """Pooled z, risk difference and ratio of ``x1/n1`` and ``x2/n2``; an arm at 0 or full gets half a case more."""
+    """Pooled z, risk difference and ratio of ``x1/n1`` and ``x2/n2`` with 95 percent intervals.
+
+    An arm at 0 or full gets half a case and one person more.
+    """
     def arm(x, n):
         edge = (x == 0) | (x == n)
         return F.when(edge, x + 0.5).otherwise(x), F.when(edge, n + 1).otherwise(n)
 
     (x1, n1), (x2, n2) = arm(F.col("x1"), F.col("n1")), arm(F.col("x2"), F.col("n2"))
-    p = (x1 + x2) / (n1 + n2)
-    z = (x1 / n1 - x2 / n2) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
-    return pairs.withColumns({"z": F.round(z, 4), "rd": F.round(x1 / n1 - x2 / n2, 4), "rr": F.round((x1 / n1) / (x2 / n2), 4)})
+    p1, p2, p = x1 / n1, x2 / n2, (x1 + x2) / (n1 + n2)
+    z = (p1 - p2) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
+    apart, ratio = stats.Z * F.sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2), stats.Z * F.sqrt(1 / x1 - 1 / n1 + 1 / x2 - 1 / n2)
+    return pairs.withColumns({
+        "z": F.round(z, 4), "rd": F.round(p1 - p2, 4), "rd_lower": F.round(F.greatest(p1 - p2 - apart, F.lit(-1.0)), 4), "rd_upper": F.round(F.least(p1 - p2 + apart, F.lit(1.0)), 4),
+        "rr": F.round(p1 / p2, 4), "rr_lower": F.round(F.exp(F.ln(p1 / p2) - ratio), 4), "rr_upper": F.round(F.exp(F.ln(p1 / p2) + ratio), 4),
+    })

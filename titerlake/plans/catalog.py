@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from titerlake.functions import stats, wording
-from titerlake.operators import epidemiology, linkage, meta, models, scan, spatial, summary
+from titerlake.functions import parsing, stats, wording
+from titerlake.operators import epidemiology, linkage, listing, meta, models, scan, spatial, summary
 from titerlake.plans import sql
-from titerlake.sources.adapters import evidence_sources, observations, table
+from titerlake.sources.adapters import catalogued_sources, evidence_sources, observations, table
 from titerlake.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,9 +141,9 @@ def source_list(spark, sf):
     return evidence_sources(spark, sf).select("source_id", "title", "language", "pub_year")
 
 
-@query(f"{sql.OBS} SELECT disease, assay, count(*) AS n FROM obs WHERE province ILIKE '%an%' OR city ILIKE '%an%' GROUP BY disease, assay")
+@query(f"{sql.OBS} SELECT disease, assay, count(*) AS n FROM obs WHERE province ILIKE '%build%' OR city ILIKE '%build%' GROUP BY disease, assay")
 def fact_search(spark, sf):
-    return scan.keyword(observations(spark, sf), "an", ["province", "city"]).groupBy("disease", "assay").agg(F.count("*").alias("n"))
+    return scan.keyword(observations(spark, sf), "build", ["province", "city"]).groupBy("disease", "assay").agg(F.count("*").alias("n"))
 
 
 @query(f"{sql.SOURCES} SELECT language, pub_year, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM sources GROUP BY language, pub_year")
@@ -177,16 +178,23 @@ def cochran_armitage(spark, sf):
 
 
 @query(
-    f"""{sql.SERO}, a AS (SELECT disease, round(sum(p*n) FILTER (population = 'vaccinated')) AS x1, sum(n) FILTER (population = 'vaccinated') AS n1,
- round(sum(p*n) FILTER (population = 'unvaccinated')) AS x2, sum(n) FILTER (population = 'unvaccinated') AS n2 FROM sero WHERE p IS NOT NULL GROUP BY disease)
-SELECT disease, x1, n1, x2, n2, round((x1/n1 - x2/n2) / sqrt((x1+x2)/(n1+n2)*(1 - (x1+x2)/(n1+n2))*(1/n1 + 1/n2)), 4) AS z, round(x1/n1 - x2/n2, 4) AS rd, round((x1/n1)/(x2/n2), 4) AS rr
+    f"""{sql.SERO}, c AS (SELECT disease, population, n, round(CASE WHEN value > 1 THEN value ELSE value * 100 END * n, 3) AS hundred FROM sero WHERE p IS NOT NULL),
+a AS (SELECT disease, round(sum(hundred) FILTER (population = 'vaccinated') / 100) AS x1, sum(n) FILTER (population = 'vaccinated') AS n1,
+ round(sum(hundred) FILTER (population = 'unvaccinated') / 100) AS x2, sum(n) FILTER (population = 'unvaccinated') AS n2 FROM c GROUP BY disease)
+SELECT disease, x1, n1, x2, n2, round((x1/n1 - x2/n2) / sqrt((x1+x2)/(n1+n2)*(1 - (x1+x2)/(n1+n2))*(1/n1 + 1/n2)), 4) AS z, round(x1/n1 - x2/n2, 4) AS rd, round((x1/n1)/(x2/n2), 4) AS rr,
+round(greatest(x1/n1 - x2/n2 - 1.96*sqrt(x1/n1*(1 - x1/n1)/n1 + x2/n2*(1 - x2/n2)/n2), -1), 4) AS rd_lower, round(least(x1/n1 - x2/n2 + 1.96*sqrt(x1/n1*(1 - x1/n1)/n1 + x2/n2*(1 - x2/n2)/n2), 1), 4) AS rd_upper,
+round(exp(ln((x1/n1)/(x2/n2)) - 1.96*sqrt(1/x1 - 1/n1 + 1/x2 - 1/n2)), 4) AS rr_lower, round(exp(ln((x1/n1)/(x2/n2)) + 1.96*sqrt(1/x1 - 1/n1 + 1/x2 - 1/n2)), 4) AS rr_upper
 FROM a WHERE x1 > 0 AND x2 > 0 AND x1 < n1 AND x2 < n2"""
 )
 def two_proportion(spark, sf):
     mine, other = F.col("population") == "vaccinated", F.col("population") == "unvaccinated"
-    arms = _studies(spark, sf).groupBy("disease").agg(
-        F.round(F.sum(F.when(mine, F.col("x")))).alias("x1"), F.sum(F.when(mine, F.col("n"))).alias("n1"), F.round(F.sum(F.when(other, F.col("x")))).alias("x2"), F.sum(F.when(other, F.col("n"))).alias("n2")
-    )
+    # percent times n is whole here, so its sum is exact in any order and one division rounds alike everywhere
+    rows = _studies(spark, sf).withColumn("hundred", F.round(F.when(F.col("value") > 1, F.col("value")).otherwise(F.col("value") * 100) * F.col("n"), 3))
+
+    def cases(arm: Column) -> Column:
+        return F.round(F.sum(F.when(arm, F.col("hundred"))) / 100)
+
+    arms = rows.groupBy("disease").agg(cases(mine).alias("x1"), F.sum(F.when(mine, F.col("n"))).alias("n1"), cases(other).alias("x2"), F.sum(F.when(other, F.col("n"))).alias("n2"))
     return meta.two_proportions(arms.where("x1 > 0 AND x2 > 0 AND x1 < n1 AND x2 < n2"))
 
 
@@ -507,3 +515,204 @@ def rate_window(spark, sf):
 @query(f"{sql.OBS} SELECT review_status, disease, count(*) AS n FROM obs GROUP BY ALL")
 def gauges(spark, sf):
     return ingest.gauges(observations(spark, sf))
+
+
+# Listings of sources with every predicate
+
+
+def _catalogued(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.with_counters(catalogued_sources(spark, sf), observations(spark, sf))
+
+
+@query(f"{sql.CATALOGUED} SELECT source_id, title, pub_year, form, state, (SELECT count(*) FROM cat WHERE deleted_at IS NULL) AS total FROM cat WHERE deleted_at IS NULL ORDER BY pub_year DESC NULLS LAST, created_at DESC, source_id LIMIT 20 OFFSET 20")
+def source_page(spark, sf):
+    rows = listing.list_sources(_catalogued(spark, sf))
+    page = listing.paged(rows, [listing.sort_key("pub_year", True), F.desc("created_at"), F.col("source_id")], 2, 20)
+    return page.select("source_id", "title", "pub_year", parsing.file_format(F.col("file_path")).alias("form"), parsing.review_state(F.col("extracted"), F.col("approved")).alias("state"), "total")
+
+
+@query(
+    f"""{sql.CATALOGUED} SELECT source_id, extracted, approved, form, total FROM (SELECT *, count(*) OVER () AS total FROM cat WHERE deleted_at IS NULL AND extracted > 0)
+ORDER BY approved / extracted DESC NULLS LAST, form NULLS LAST, source_id LIMIT 30"""
+)
+def source_progress_page(spark, sf):
+    rows = listing.list_sources(_catalogued(spark, sf)).where(F.col("extracted") > 0)
+    page = listing.paged(rows, [listing.sort_key("progress", True), listing.sort_key("format"), F.col("source_id")], 1, 30)
+    return page.select("source_id", "extracted", "approved", parsing.file_format(F.col("file_path")).alias("form"), "total")
+
+
+@query(
+    f"""{sql.CATALOGUED} SELECT source_id, 'keyword' AS test FROM cat WHERE deleted_at IS NULL AND (title ILIKE '%the%' OR authors ILIKE '%the%' OR abstract ILIKE '%the%' OR array_to_string(keywords, ' ') ILIKE '%the%')
+UNION ALL SELECT source_id, 'text' FROM cat WHERE deleted_at IS NULL AND title ILIKE '%on%' AND authors ILIKE '%e%' AND language = 'en'
+UNION ALL SELECT source_id, 'years' FROM cat WHERE deleted_at IS NULL AND pub_year BETWEEN 1995 AND 2005
+UNION ALL SELECT source_id, 'created' FROM cat WHERE deleted_at IS NULL AND created_at >= DATE '2020-03-01' AND created_at < DATE '2020-04-16'
+UNION ALL SELECT source_id, state FROM cat WHERE deleted_at IS NULL
+UNION ALL SELECT source_id, coalesce(form, '?') FROM cat WHERE deleted_at IS NULL AND (form IS NOT NULL OR file_path IS NULL)
+UNION ALL SELECT source_id, CASE WHEN coalesce(abstract, '') <> '' THEN 'abstract' ELSE 'no abstract' END FROM cat WHERE deleted_at IS NULL
+UNION ALL SELECT source_id, 'tagged' FROM cat WHERE deleted_at IS NULL AND source_id IN (SELECT doc_id FROM labels WHERE quality = 0)
+UNION ALL SELECT source_id, 'disease' FROM cat WHERE deleted_at IS NULL AND source_id IN (SELECT source_id FROM obs WHERE disease = 'PROMO')
+UNION ALL SELECT source_id, 'bin' FROM cat WHERE deleted_at IS NOT NULL"""
+)
+def source_predicates(spark, sf):
+    """Each predicate of the listing on its own."""
+    rows, facts = _catalogued(spark, sf), observations(spark, sf)
+    tags = table(spark, sf, "labels").where(F.col("quality") == 0).select(F.col("doc_id").alias("source_id"))
+    tests = {
+        "keyword": {"keyword": "the"}, "text": {"title": "on", "authors": "e", "language": "en"}, "years": {"years": (1995, 2005)}, "created": {"created": ("2020-03-01", "2020-04-15")},
+        **{s: {"state": s} for s in ("none", "pending", "partial", "approved")}, **{f: {"form": f} for f in ("PDF", "DOCX", "TXT", "HTML", "URL")}, "?": {"form": listing.WITHOUT_FORMAT},
+        "abstract": {"has_abstract": True}, "no abstract": {"has_abstract": False}, "tagged": {"tags": tags}, "disease": {"with_facts": facts.where(F.col("disease") == "PROMO")}, "bin": {"deleted": True},
+    }
+    out = None
+    for name, test in tests.items():
+        part = listing.list_sources(rows, **test).select("source_id", F.lit(name).alias("test"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    f"""{sql.CATALOGUED} SELECT o.source_id, s.title, o.disease, o.value, (SELECT count(*) FROM obs WHERE review_status = 'pending') AS total FROM obs o LEFT JOIN sources s USING (source_id)
+WHERE review_status = 'pending' ORDER BY o.source_id, o.value DESC NULLS LAST, o.disease, o.province LIMIT 50"""
+)
+def titled_facts(spark, sf):
+    facts = observations(spark, sf).where(F.col("review_status") == "pending")
+    page = listing.paged(facts, [F.col("source_id"), F.col("value").desc_nulls_last(), F.col("disease"), F.col("province")], 1, 50)
+    return listing.titled(page, evidence_sources(spark, sf)).select("source_id", "title", "disease", "value", "total")
+
+
+@query(f"{sql.CATALOGUED} SELECT source_id, file_path IS NULL AND coalesce(abstract, '') = '' AS empty, coalesce(deleted_at < DATE '2021-07-20' - 30, false) AS expired FROM cat WHERE (file_path IS NULL AND coalesce(abstract, '') = '') OR deleted_at < DATE '2021-07-20' - 30")
+def maintenance_lists(spark, sf):
+    rows = catalogued_sources(spark, sf)
+    empty = listing.empty_sources(rows).select("source_id", F.lit(True).alias("empty"))
+    gone = listing.expired(rows, "2021-07-20").select("source_id", F.lit(True).alias("expired"))
+    return empty.join(gone, "source_id", "full").select("source_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("empty", "expired")])
+
+
+# Scores, statuses, summaries
+
+_METHODS = ["brand#1", "brand#2", "Brand#3", "Brand#4", "Brand#5"]
+
+
+@query(
+    f"""{sql.OBS}, f AS (SELECT o.*, d.text FROM obs o LEFT JOIN documents d ON d.doc_id = o.source_id),
+s AS (SELECT disease, CASE WHEN sample_size >= 2001 THEN 30 WHEN sample_size >= 500 THEN 24 WHEN sample_size >= 100 THEN 16 WHEN sample_size >= 1 THEN 8 ELSE 0 END AS size,
+CASE WHEN regexp_matches(design, '{wording.SAMPLED_WELL}') THEN 25 WHEN regexp_matches(design, '{wording.SAMPLED_POORLY}') THEN 6 ELSE 12 END AS sampling,
+CASE WHEN coalesce(trim(assay), '') = '' THEN 0 WHEN upper(trim(assay)) IN ('BRAND#1', 'BRAND#2', 'BRAND#3', 'BRAND#4', 'BRAND#5') THEN 15 ELSE 8 END AS method,
+CASE WHEN regexp_matches(people, '{wording.PEOPLE_AT_LARGE}') THEN 15 WHEN regexp_matches(people, '{wording.PEOPLE_IN_CARE}') THEN 5 ELSE 8 END AS population,
+CASE WHEN level = 'national' THEN 10 WHEN level = 'provincial' THEN 8 ELSE 5 END AS survey, CASE confidence WHEN 'high' THEN 5 WHEN 'medium' THEN 3 ELSE 1 END AS sure
+FROM (SELECT *, CASE source_id % 3 WHEN 0 THEN 'A stratified design' WHEN 1 THEN 'convenience sample' ELSE text END AS design, CASE WHEN population = 'vaccinated' THEN 'hospital staff' ELSE population END AS people,
+ CASE WHEN len(string_split(province, ';')) = 1 AND source_id % 4 = 0 THEN 'provincial' WHEN size0 >= 2000 THEN 'provincial' ELSE 'local' END AS level,
+ FROM (SELECT * REPLACE (size0 AS sample_size) FROM (SELECT *, sample_size * (1 + source_id % 60) AS size0 FROM f))))
+SELECT disease, grade, count(*) AS n, min(total) AS least, max(total) AS most FROM (SELECT disease, total, CASE WHEN total >= 75 THEN 'A' WHEN total >= 50 THEN 'B' ELSE 'C' END AS grade
+FROM (SELECT disease, size + sampling + method + population + survey + sure AS total FROM s)) GROUP BY disease, grade"""
+)
+def quality_score_full(spark, sf):
+    """All six parts of the score; design, people and number of cities vary by source so that every grade occurs."""
+    rows = observations(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text"), "source_id", "left")
+    i = F.col("source_id")
+    rows = rows.withColumns({
+        "sample_size": (F.col("sample_size") * (1 + i % 60)).cast("long"),
+        "design": F.when(i % 3 == 0, "A stratified design").when(i % 3 == 1, "convenience sample").otherwise(F.col("text")),
+        "people": F.when(F.col("population") == "vaccinated", "hospital staff").otherwise(F.col("population")),
+        "cities": F.when(i % 4 == 0, F.concat_ws("、", "city", F.lit("other"))).otherwise(F.col("city")),
+    })
+    level = wording.survey_level(F.col("province"), F.col("cities"), F.col("sample_size"))
+    parts = [
+        wording.score_sample_size(F.col("sample_size")), wording.score_sampling(F.col("design")), wording.score_method(F.col("assay"), _METHODS),
+        wording.score_population(F.col("people")), wording.score_level(level), wording.score_confidence(F.col("confidence")),
+    ]
+    total = parts[0]
+    for part in parts[1:]:
+        total = total + part
+    scored = rows.select("disease", total.alias("total"))
+    return scored.groupBy("disease", wording.grade(F.col("total")).alias("grade")).agg(F.count("*").alias("n"), F.min("total").alias("least"), F.max("total").alias("most"))
+
+
+@query(
+    f"""{sql.OBS}, g AS (SELECT disease, trim(string_split(province, ';')[1]) AS province, count(*) FILTER (review_status = 'approved' AND quality_grade IN ('A', 'B')) AS a, count(*) FILTER (review_status = 'pending') AS b FROM obs
+WHERE collection_year = 1995 AND assay LIKE '%1' GROUP BY ALL)
+SELECT disease, province, a, b, CASE WHEN a = 0 AND b = 0 THEN 'need_supplement' WHEN a = 0 THEN 'need_review' WHEN a < 5 AND b > 0 THEN 'need_both' WHEN a < 5 THEN 'need_supplement' WHEN b > 0 THEN 'need_review' ELSE 'well_covered' END AS status FROM g"""
+)
+def gap_status(spark, sf):
+    counts = summary.gap_counts(observations(spark, sf).where((F.col("collection_year") == 1995) & F.col("assay").like("%1")))
+    return counts.select("disease", "province", F.col("approved_ab").alias("a"), F.col("pending").alias("b"), stats.status_label(F.col("approved_ab"), F.col("pending")).alias("status"))
+
+
+@query(f"{sql.OBS} SELECT disease, count(*) FILTER (review_status = 'approved') AS approved, count(*) FILTER (review_status = 'pending') AS pending, count(*) FILTER (review_status = 'rejected') AS rejected, coalesce(sum(sample_size) FILTER (review_status = 'approved'), 0)::BIGINT AS approved_samples, sum(sample_size)::BIGINT AS samples FROM obs GROUP BY disease")
+def review_coverage(spark, sf):
+    status = F.col("review_status")
+    return observations(spark, sf).groupBy("disease").agg(
+        *[F.count_if(status == s).alias(s) for s in ("approved", "pending", "rejected")],
+        F.coalesce(F.sum(F.when(status == "approved", F.col("sample_size"))), F.lit(0)).alias("approved_samples"), F.sum("sample_size").alias("samples"),
+    )
+
+
+@query(
+    f"""{sql.SERO}, r AS (SELECT disease, {sql.RATE}, count(DISTINCT source_id) AS n_sources, round(min(p) * 100, 2) AS least, round(max(p) * 100, 2) AS most FROM sero GROUP BY disease) SELECT * FROM r"""
+)
+def disease_summary(spark, sf):
+    rows = summary.sero(_scan(spark, sf))
+    rate = stats.weighted_rate(F.col("p"), F.col("n"))
+    return rows.groupBy("disease").agg(
+        *[c.alias(k) for k, c in rate.items()], F.count("*").alias("n_points"), F.countDistinct("source_id").alias("n_sources"), F.round(F.min("p") * 100, 2).alias("least"), F.round(F.max("p") * 100, 2).alias("most")
+    )
+
+
+@query(f"{sql.SERO}, a AS (SELECT province, n, CASE WHEN p IN (0, 1) THEN (p*n + 0.5)/(n + 1) ELSE p END AS p, CASE WHEN p IN (0, 1) THEN n + 1 ELSE n END AS m FROM sero WHERE p IS NOT NULL AND n > 0), s AS (SELECT province, count(*) AS n_studies, sum(n) AS t, sum(m/(1 - p))/sum(m/(p*(1 - p))) AS q FROM a GROUP BY province) SELECT province, n_studies, round(q, 6) AS pooled, round(greatest((q + 1.96*1.96/(2*t) - 1.96*sqrt(q*(1 - q)/t + 1.96*1.96/(4*t*t)))/(1 + 1.96*1.96/t), 0), 6) AS ci_lower, round(least((q + 1.96*1.96/(2*t) + 1.96*sqrt(q*(1 - q)/t + 1.96*1.96/(4*t*t)))/(1 + 1.96*1.96/t), 1), 6) AS ci_upper FROM s")
+def pooled_proportion(spark, sf):
+    return meta.pooled_wilson(_studies(spark, sf), ["province"])
+
+
+@query(f"{sql.SERO}, s AS (SELECT disease, source_id, n/(p*(1 - p)) AS w FROM sero WHERE n > 0 AND p > 0 AND p < 1 AND collection_year = 1998), t AS (SELECT disease, round(100*w/sum(w) OVER (PARTITION BY disease), 6) AS weight FROM s) SELECT disease, count(*) AS k, round(max(weight), 5) AS largest FROM t GROUP BY disease")
+def largest_study_weight(spark, sf):
+    rows = meta.study_weights(_studies(spark, sf).where(F.col("collection_year") == 1998), ["disease"])
+    return rows.groupBy("disease").agg(F.count("*").alias("k"), F.round(F.max("weight"), 5).alias("largest"))
+
+
+@query(f"{sql.SERO}, r AS (SELECT province, {sql.RATE} FROM sero GROUP BY province), k AS (SELECT province, rate, row_number() OVER (ORDER BY rate DESC NULLS LAST, province) AS up, row_number() OVER (ORDER BY rate NULLS LAST, province) AS down FROM r) SELECT province, rate, up <= 5 AS top, down <= 5 AS bottom FROM k WHERE up <= 5 OR down <= 5")
+def top_and_bottom(spark, sf):
+    rates = summary.rate_by(_scan(spark, sf), "province").select("province", "rate")
+    up, down = (rates.orderBy(o, "province").limit(5).select("province", F.lit(True).alias(n)) for o, n in ((F.desc_nulls_last("rate"), "top"), (F.asc_nulls_last("rate"), "bottom")))
+    ends = up.join(down, "province", "full")
+    return rates.join(ends, "province").select("province", "rate", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("top", "bottom")])
+
+
+@query(
+    f"""{sql.SERO}, a AS (SELECT DISTINCT disease, {sql.MID} AS age FROM sero WHERE p IS NOT NULL AND assay = 'Brand#1'), g AS (SELECT disease, age - lag(age) OVER (PARTITION BY disease ORDER BY age) AS gap FROM a)
+SELECT disease, max(gap) AS gap, coalesce(max(gap) > 10, false) AS sparse FROM g GROUP BY disease"""
+)
+def age_gaps(spark, sf):
+    ages = _studies(spark, sf).where(F.col("assay") == "Brand#1").select("disease", stats.age_midpoint(F.col("age_min"), F.col("age_max")).alias("age")).distinct()
+    gaps = ages.withColumn("gap", F.col("age") - F.lag("age").over(W.partitionBy("disease").orderBy("age")))
+    return gaps.groupBy("disease").agg(F.max("gap").alias("gap"), F.coalesce(F.max("gap") > 10, F.lit(False)).alias("sparse"))
+
+
+@query(f"{sql.SERO} SELECT (floor((collection_year - round_even({sql.MID}, 0)) / 10) * 10)::BIGINT || 's' AS decade, count(*) AS n FROM sero GROUP BY ALL")
+def birth_decades(spark, sf):
+    mid = stats.age_midpoint(F.col("age_min"), F.col("age_max"))
+    year = (F.col("collection_year") - F.bround(mid, 0)).cast("long")
+    return summary.sero(_scan(spark, sf)).groupBy(stats.decade(year).alias("decade")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""{sql.OBS} SELECT disease, sum(value_or_null IS NULL)::BIGINT AS blank, count(*) AS n FROM (SELECT disease, CASE WHEN value <> 0 THEN value END AS value_or_null FROM obs) GROUP BY disease"""
+)
+def falsy_values(spark, sf):
+    return observations(spark, sf).groupBy("disease").agg(F.count_if(F.nullif(F.col("value"), F.lit(0.0)).isNull()).alias("blank"), F.count("*").alias("n"))
+
+
+@query(f"{sql.OBS} SELECT assay, count(*) AS n, CASE WHEN assay = 'Brand#1' THEN 'one' WHEN contains(lower(assay), 'brand#2') THEN 'two' WHEN contains(lower(assay), 'brand#1') THEN 'one' ELSE assay END AS standard FROM obs GROUP BY assay")
+def assay_aliases(spark, sf):
+    standard = parsing.alias_by_longest(F.col("assay"), {"Brand#1": "one", "brand#2": "two", "b": "short"})
+    return observations(spark, sf).groupBy("assay").agg(F.count("*").alias("n")).withColumn("standard", standard)
+
+
+@query()
+def trend_with_p(spark, sf):
+    points = _studies(spark, sf).groupBy("disease", (F.col("collection_year") - 1995).cast("double").alias("x")).agg((F.sum("x") / F.sum("n") * 100).alias("y"), F.sum("n").alias("w"))
+    return meta.trend_p_value(meta.weighted_trend(points, ["disease"]))
+
+
+@query()
+def gmc_t_interval(spark, sf):
+    rows = scan.base_scan(observations(spark, sf)).where(F.col("data_type") == "gmc")
+    return rows.groupBy("disease", "collection_year", "assay").agg(*[c.alias(k) for k, c in stats.gmc_t(F.col("value")).items()])

@@ -87,3 +87,16 @@ z AS (SELECT *, CASE WHEN apart THEN srwt/srw ELSE fixed END AS m, CASE WHEN apa
 b AS (SELECT *, m - 1.96*se AS lo, m + 1.96*se AS hi FROM z)
 SELECT {key}, k, round(q, 4) AS q, round(i2, 2) AS i2, round(tau2, 6) AS tau2, CASE WHEN apart THEN 'random' ELSE 'fixed' END AS model,
 {_back("m")} AS rate, {_back("lo")} AS ci_lower, {_back("hi")} AS ci_upper FROM b"""
+
+
+CATALOGUED = OBS + """, sources AS (SELECT doc_id AS source_id, array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:8], ' ') AS title, source AS authors,
+ lang AS language, 1990 + doc_id % 30 AS pub_year, text FROM documents),
+counts AS (SELECT source_id, count(*) AS extracted, count(*) FILTER (review_status = 'approved') AS approved FROM obs GROUP BY source_id),
+cat0 AS (SELECT s.*, CASE WHEN s.source_id % 7 = 0 THEN NULL WHEN s.source_id % 11 = 0 THEN 'https://host/' || s.source_id
+   ELSE 'store/' || s.source_id || ['.PDF', '.docx', '.html', '.htm', '.txt'][s.source_id % 5 + 1] END AS file_path,
+ CASE s.source_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE substr(text, 1, 80) END AS abstract, [language, 'year ' || pub_year] AS keywords,
+ DATE '2020-01-01' + (s.source_id % 400)::INT AS created_at, CASE WHEN s.source_id % 13 = 0 THEN DATE '2021-06-01' + (s.source_id % 60)::INT END AS deleted_at,
+ coalesce(extracted, 0) AS extracted, coalesce(approved, 0) AS approved FROM sources s LEFT JOIN counts USING (source_id)),
+cat AS (SELECT *, CASE WHEN lower(file_path) LIKE '%.pdf' THEN 'PDF' WHEN lower(file_path) LIKE '%.docx' THEN 'DOCX' WHEN lower(file_path) LIKE '%.txt' THEN 'TXT'
+ WHEN lower(file_path) LIKE '%.htm' THEN 'HTML' WHEN file_path LIKE 'https://%' THEN 'URL' END AS form,
+ CASE WHEN extracted = 0 THEN 'none' WHEN approved = 0 THEN 'pending' WHEN approved < extracted THEN 'partial' ELSE 'approved' END AS state FROM cat0)"""

@@ -54,3 +54,16 @@ def evidence_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_chars").alias("n_chars"),
         F.col("text").alias("text"),
     )
+
+
+def catalogued_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with file, abstract, keywords, and the days they were created and deleted on."""
+    i = F.col("source_id")
+    ending = F.element_at(F.array(*map(F.lit, (".PDF", ".docx", ".html", ".htm", ".txt"))), (i % 5 + 1).cast("int"))
+    return evidence_sources(spark, sf_dir).withColumns({
+        "file_path": F.when(i % 7 == 0, None).when(i % 11 == 0, F.concat(F.lit("https://host/"), i)).otherwise(F.concat(F.lit("store/"), i, ending)),
+        "abstract": F.when(i % 3 == 0, None).when(i % 3 == 1, "").otherwise(F.substr("text", F.lit(1), F.lit(80))),
+        "keywords": F.array(F.col("language"), F.concat(F.lit("year "), F.col("pub_year"))),
+        "created_at": F.date_add(F.lit("2020-01-01").cast("date"), (i % 400).cast("int")),
+        "deleted_at": F.when(i % 13 == 0, F.date_add(F.lit("2021-06-01").cast("date"), (i % 60).cast("int"))),
+    })

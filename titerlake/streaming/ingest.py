@@ -13,7 +13,8 @@ def ingest_folder(spark: SparkSession, folder: str, ledger: str, checkpoint: str
 
     The checkpoint knows the paths seen; the ledger (Parquet) knows the contents.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    shape = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.schema(shape).format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     named = files.select("path", "length", F.sha2("content", 256).alias("content_hash"))
 
     def append(batch: DataFrame, number: int) -> None:
