@@ -302,7 +302,13 @@ def _link_tasks(percent: int, shared, cross: bool):
         comps = np.asarray(table.column("comp"), np.int64)
         left = np.asarray(table.column("side"), np.int64) == 1 if cross else None
         links = link_sets(flat, offsets, comps, left, shared.value, percent) if left is None or left.any() else []
-        return pa.table({"a": pa.array([ids[a] for a, _ in links], pa.int64()), "b": pa.array([ids[b] for _, b in links], pa.int64())})
+        forest, least = _Forest(len(ids)), {}
+        for a, b in links:
+            forest.join(a, b)
+        touched = sorted({x for link in links for x in link}, key=lambda x: ids[x])
+        stars = [(ids[x], least.setdefault(forest.find(x), ids[x])) for x in touched]  # each to the least of its group
+        stars = [(a, b) for a, b in stars if a != b]
+        return pa.table({"a": pa.array([a for a, _ in stars], pa.int64()), "b": pa.array([b for _, b in stars], pa.int64())})
 
     return run
 
@@ -335,7 +341,7 @@ def _packed_sets(k: int, filter_):
 
 
 def _verified(sets: DataFrame, percent: int, shared, scratch: Scratch) -> DataFrame:
-    """Links ``a, b`` between documents of ``root, doc_id, n, packed`` that join every group of linked ones."""
+    """``node, root`` of the components of linked documents of ``root, doc_id, n, packed``."""
     here = sets.select("root", "doc_id", "n", "packed", _size_class("n", percent).alias("cls"))
     many = sets.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
     classes = here.select("root", "cls").join(many, "root").groupBy("root", "cls").agg(F.count("*").alias("size"))
@@ -344,7 +350,8 @@ def _verified(sets: DataFrame, percent: int, shared, scratch: Scratch) -> DataFr
     keys = ["root", "cls", "block"]
     task = [*keys, "doc_id", F.col("doc_id").alias("comp"), F.lit(0).alias("side"), "packed"]
     if classes.isEmpty():  # no large cluster: each is one task
-        return scratch.save(here.withColumns({"block": F.lit(0), "cls": F.lit(0)}).select(*task).groupBy(*keys).applyInArrow(links, "a long, b long"), "links")
+        only = here.withColumns({"block": F.lit(0), "cls": F.lit(0)}).select(*task).groupBy(*keys).applyInArrow(links, "a long, b long")
+        return connected_components(only, scratch)
     dealt = here.join(classes, ["root", "cls"], "left")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     pivot = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.floor(F.col("size") / PIVOTS), F.lit(1))) == 0
@@ -354,6 +361,7 @@ def _verified(sets: DataFrame, percent: int, shared, scratch: Scratch) -> DataFr
     first = scratch.save(dealt.withColumn("block", F.explode(others)).select(*task).groupBy(*keys).applyInArrow(links, "a long, b long"), "links")
 
     known = connected_components(first, scratch)
+    scratch.drop(first)
     placed = dealt.where(large).join(known.withColumnRenamed("node", "doc_id").withColumnRenamed("root", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     placed = scratch.save(placed.select(*keys, "doc_id", "comp", "packed"), "placed")
     counts = placed.groupBy("root", "comp").agg(F.count("*").alias("size"))
@@ -372,7 +380,9 @@ def _verified(sets: DataFrame, percent: int, shared, scratch: Scratch) -> DataFr
     second = scratch.save(second, "rest-links")
     scratch.drop(placed)
     scratch.drop(classes)
-    return first.unionByName(second)
+    if second.isEmpty():
+        return known
+    return connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second), scratch)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -407,8 +417,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     packed = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text", spots).mapInArrow(_packed_sets(k, filter_), "doc_id long, n int, packed binary")
     members = scratch.save(packed.where(F.col("n") > 0).join(clusters, "doc_id"), "members")
     scratch.drop(clusters)
-    links = _verified(members, percent, shared, scratch)
-    joined = connected_components(links, scratch)
+    joined = _verified(members, percent, shared, scratch)
     scratch.drop(members)
 
     named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"))
