@@ -127,3 +127,20 @@ def barrier_status(rate: Column, target: Column) -> Column:
 
 def completeness(approved: Column, pending: Column) -> Column:
     return F.when(approved + pending > 0, F.greatest(F.round(F.least(approved / 5, F.lit(1.0)) * 70 - F.least(2.0 * pending, F.lit(30.0)), 2), F.lit(0.0))).otherwise(0.0)
+
+
+def in_range(value: Column, data_type: Column) -> Column:
+    """Whether a value can be of its type: a rate in 0..100, a concentration of 0 or more; null and other types can."""
+    return F.coalesce(F.when(data_type == "seroprevalence", value.between(0, 100)).when(data_type == "gmc", value >= 0), F.lit(True))
+
+
+def extraction_issues(value: Column, data_type: Column, known_place: Column, grounded: Column) -> Column:
+    """What is wrong with an extracted fact, as a list of names."""
+    checks = {"province_not_in_enum": ~known_place, "value_out_of_range": ~in_range(value, data_type), "not_grounded": ~grounded}
+    return F.filter(F.array(*[F.when(bad, name) for name, bad in checks.items()]), lambda x: x.isNotNull())
+
+
+def extraction_confidence(issues: Column) -> Column:
+    """low for a wrong place, a wrong range, or two issues; else medium."""
+    wrong = F.array_contains(issues, "province_not_in_enum") | F.array_contains(issues, "value_out_of_range")
+    return F.when(wrong | (F.size(issues) >= 2), "low").otherwise("medium")

@@ -47,3 +47,23 @@ def booster(rates: DataFrame, boost: float, target: float) -> DataFrame:
     c, t = F.col("rate") / 100, target / 100
     need = F.when(c >= t, 0.0).otherwise((t - c) / (1 - c) * 100)
     return rates.withColumns({"effective": F.round(F.col("rate") + (1 - c) * boost, 4), "required": F.when(need <= 100, F.round(need, 2))})
+
+
+def barrier_levels(rows: DataFrame) -> DataFrame:
+    """The barrier of each disease over all its rows, by year and by province, from one pass over grouping sets.
+
+    ``level`` says which; force and rate are means weighted by sample size over the rows themselves.
+    """
+    mid = stats.age_midpoint(F.col("age_min"), F.col("age_max"))
+    w = F.col("sample_size").cast("double")
+    each = rows.where((F.col("data_type") == "seroprevalence") & (w > 0)).select("disease", "collection_year", "province", "value", w.alias("w"), stats.naive_foi(F.col("value"), mid).alias("f"))
+    d, year, place = F.col("disease"), F.col("collection_year"), F.col("province")
+    level = F.when(F.grouping("collection_year") == 0, "year").when(F.grouping("province") == 0, "province").otherwise("overall")
+    sets = each.groupingSets([[d], [d, year], [d, place]], d, year, place).agg(
+        level.alias("level"),
+        F.round(F.sum(F.col("f") * F.col("w")) / F.sum(F.when(F.col("f").isNotNull(), F.col("w"))), 6).alias("foi"),
+        F.round(F.sum(F.col("value") * F.col("w")) / F.sum("w"), 2).alias("rate"),
+    )
+    r0 = F.when(F.col("foi") > 0, F.round(F.col("foi") * LIFE_EXPECTANCY, 2))
+    sets = sets.withColumn("r0", r0).withColumn("hit", stats.herd_threshold(F.col("r0")))
+    return sets.withColumn("status", stats.barrier_status(F.col("rate"), F.col("hit")))

@@ -77,3 +77,29 @@ def first_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
     from pyspark.sql import Window as W
 
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") == 1).drop("_n")
+
+
+def merge_preview(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Facts of sources ``a`` and ``b`` (rows of ``pairs``) that state the same thing: equal disease, province, year and type.
+
+    Empty text and year 0 count as null, and null equals null. Every pair of facts is a row. The sources join first, so
+    the null-safe keys only split the few facts of two sources.
+    """
+    keys = {"disease": "", "province": "", "collection_year": 0, "data_type": ""}
+    same = [F.nullif(F.col(k), F.lit(empty)).alias(k) for k, empty in keys.items()]
+    x, y = (facts.select(F.col("source_id").alias(s), *same, F.col("value").alias(f"value_{s}"), F.col("sample_size").alias(f"size_{s}")).alias(s) for s in "ab")
+    both = pairs.select("a", "b").distinct().join(x, "a").alias("p").join(y, (F.col("p.b") == F.col("b.b")) & F.expr(" AND ".join(f"p.{k} <=> b.{k}" for k in keys)))
+    return both.select("p.a", "p.b", *[f"p.{k}" for k in keys], "p.value_a", "p.size_a", "b.value_b", "b.size_b")
+
+
+def first_of_passes(passes: list[DataFrame], keys: list[str], id_col: str) -> DataFrame:
+    """Union of passes with one row a key (null equals null): the first pass and its least id that hold it, and how many rows did.
+
+    The least (pass, id) is an aggregate, so rows are combined before the shuffle.
+    """
+    ranked = [rows.select(*keys, F.struct(F.lit(i).alias("pass"), F.col(id_col).alias(id_col)).alias("first")) for i, rows in enumerate(passes, 1)]
+    whole = ranked[0]
+    for rows in ranked[1:]:
+        whole = whole.unionByName(rows)
+    least = whole.groupBy(*keys).agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    return least.select(*keys, "first.pass", f"first.{id_col}", "n")

@@ -138,3 +138,25 @@ def two_proportions(pairs: DataFrame) -> DataFrame:
         "z": F.round(z, 4), "rd": F.round(p1 - p2, 4), "rd_lower": F.round(F.greatest(p1 - p2 - apart, F.lit(-1.0)), 4), "rd_upper": F.round(F.least(p1 - p2 + apart, F.lit(1.0)), 4),
         "rr": F.round(p1 / p2, 4), "rr_lower": F.round(F.exp(F.ln(p1 / p2) - ratio), 4), "rr_upper": F.round(F.exp(F.ln(p1 / p2) + ratio), 4),
     })
+
+
+def egger(studies: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
+    """Intercept test of small-study effects: double-arcsine values on the root of n, weighted by 1/se.
+
+    One pass of weighted moments. Under ``least`` studies there is no test; under three, or without spread, no p.
+    """
+    t, s = stats.ft_transform(F.col("x"), F.col("n")), F.sqrt("n")
+    rows = studies.where((F.col("n") > 0) & F.col("x").isNotNull()).select(*keys, t.alias("t"), s.alias("s"), F.sqrt(F.col("n") + 0.5).alias("w"))
+    w, t, s = F.col("w"), F.col("t"), F.col("s")
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("k"), F.sum(w).alias("sw"), (F.sum(w * t) / F.sum(w)).alias("mt"), (F.sum(w * s) / F.sum(w)).alias("ms"),
+        F.sum(w * t * s).alias("wts"), F.sum(w * s * s).alias("wss"), F.sum(w * t * t).alias("wtt"),
+    )
+    sums = sums.withColumns({"cov": F.col("wts") / F.col("sw") - F.col("mt") * F.col("ms"), "var": F.col("wss") / F.col("sw") - F.col("ms") * F.col("ms"), "spread": F.col("wtt") / F.col("sw") - F.col("mt") * F.col("mt")})
+    tested = (F.col("k") >= least) & (F.col("var") > 1e-12)
+    sums = sums.withColumn("slope", F.when(tested, F.try_divide("cov", "var"))).withColumn("a", F.col("mt") - F.col("slope") * F.col("ms"))
+    mse = F.try_divide(F.col("sw") * (F.col("spread") - F.col("slope") * F.col("cov")), F.when(F.col("k") > 2, F.col("k") - 2))
+    error = F.when(mse > 0, F.sqrt(mse * (1 / F.col("sw") + F.try_divide(F.col("ms") * F.col("ms"), F.col("sw") * F.col("var")))))
+    sums = sums.withColumn("e", error).withColumn("ratio", F.when(F.col("e") >= 1e-12, F.col("a") / F.col("e")))
+    p = t_p_value(F.col("ratio"), (F.col("k") - 2).cast("double"))
+    return sums.select(*keys, "k", F.round("a", 4).alias("intercept"), F.round("slope", 6).alias("slope"), F.round("e", 6).alias("error"), F.round("ratio", 4).alias("t"), F.round(p, 6).alias("p_value"))

@@ -716,3 +716,64 @@ def trend_with_p(spark, sf):
 def gmc_t_interval(spark, sf):
     rows = scan.base_scan(observations(spark, sf)).where(F.col("data_type") == "gmc")
     return rows.groupBy("disease", "collection_year", "assay").agg(*[c.alias(k) for k, c in stats.gmc_t(F.col("value")).items()])
+
+
+# Small-study effects, merges, passes, levels, checks
+
+
+@query(
+    f"""{sql.SERO}, s AS (SELECT disease, sqrt(n) AS s, sqrt(n + 0.5) AS w, asin(sqrt(p*n/(n + 1))) + asin(sqrt((p*n + 1)/(n + 1))) AS t FROM sero WHERE p IS NOT NULL AND n > 0),
+m AS (SELECT disease, count(*) AS k, sum(w) AS sw, sum(w*t)/sum(w) AS mt, sum(w*s)/sum(w) AS ms, sum(w*t*s) AS wts, sum(w*s*s) AS wss, sum(w*t*t) AS wtt FROM s GROUP BY disease),
+c AS (SELECT *, wts/sw - mt*ms AS cov, wss/sw - ms*ms AS var, wtt/sw - mt*mt AS spread FROM m),
+b AS (SELECT *, cov/var AS slope, mt - cov/var*ms AS a, sqrt(sw*(spread - cov/var*cov)/(k - 2)*(1/sw + ms*ms/(sw*var))) AS e FROM c WHERE k >= 10)
+SELECT disease, k, round(a, 4) AS intercept, round(slope, 6) AS slope, round(e, 6) AS error, round(a/e, 4) AS t FROM b"""
+)
+def egger_intercept(spark, sf):
+    return meta.egger(_studies(spark, sf), ["disease"]).drop("p_value")
+
+
+@query(
+    f"""{sql.OBS} SELECT x.source_id AS a, y.source_id AS b, x.disease, x.province, x.collection_year, x.data_type, x.value AS value_a, x.sample_size AS size_a, y.value AS value_b, y.sample_size AS size_b
+FROM obs x JOIN obs y ON y.source_id = x.source_id + 1 AND x.source_id % 2 = 0 AND x.disease IS NOT DISTINCT FROM y.disease AND x.province IS NOT DISTINCT FROM y.province
+ AND x.collection_year IS NOT DISTINCT FROM y.collection_year AND x.data_type IS NOT DISTINCT FROM y.data_type"""
+)
+def merge_preview(spark, sf):
+    facts = observations(spark, sf)
+    targets = facts.select("source_id").distinct().where(F.col("source_id") % 2 == 0)  # each even source and the next one
+    return linkage.merge_preview(facts, targets.select(F.col("source_id").alias("a"), (F.col("source_id") + 1).alias("b")))
+
+
+@query(
+    f"""{sql.OBS}, r AS (SELECT *, CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS pass FROM obs)
+SELECT disease, province, city, age_min, age_max, data_type, value, pass, source_id, n FROM (SELECT *, count(*) OVER k AS n, row_number() OVER (k ORDER BY pass, source_id) AS i FROM r
+ WINDOW k AS (PARTITION BY disease, province, city, age_min, age_max, data_type, value)) WHERE i = 1"""
+)
+def first_of_passes(spark, sf):
+    rows = observations(spark, sf)
+    passes = [rows.where(F.col("confidence") == c) for c in ("high", "medium", "low")]
+    return linkage.first_of_passes(passes, ["disease", "province", "city", "age_min", "age_max", "data_type", "value"], "source_id")
+
+
+@query(
+    f"""{sql.EACH}, f AS (SELECT disease, collection_year, province, value, sample_size::DOUBLE AS w, CASE WHEN {sql.MID} <= 0 THEN NULL WHEN value <= 0 THEN 0 ELSE -ln(1 - least(value, 99.99) / 100) / {sql.MID} END AS f
+ FROM each_ WHERE data_type = 'seroprevalence' AND sample_size > 0),
+g AS (SELECT disease, collection_year, province, CASE WHEN grouping(collection_year) = 0 THEN 'year' WHEN grouping(province) = 0 THEN 'province' ELSE 'overall' END AS level,
+ round(sum(f*w) / sum(w) FILTER (f IS NOT NULL), 6) AS foi, round(sum(value*w) / sum(w), 2) AS rate FROM f GROUP BY GROUPING SETS ((disease), (disease, collection_year), (disease, province))),
+h AS (SELECT *, CASE WHEN foi > 0 THEN round(foi*75, 2) END AS r0 FROM g), i AS (SELECT *, CASE WHEN r0 > 1 THEN round((1 - 1/r0)*100, 2) ELSE 0 END AS hit FROM h)
+SELECT *, CASE WHEN rate IS NULL THEN 'undetermined' WHEN rate >= hit THEN 'reached' WHEN rate >= hit - 10 THEN 'near' ELSE 'not_reached' END AS status FROM i"""
+)
+def barrier_levels(spark, sf):
+    return epidemiology.barrier_levels(_scan(spark, sf))
+
+
+@query(
+    f"""{sql.OBS}, c AS (SELECT disease, province NOT IN (SELECT n_name FROM nation) AS place, NOT (CASE WHEN data_type = 'gmc' THEN value >= 0 ELSE value BETWEEN 0 AND 100 END) AS off, review_seconds IS NULL AS loose FROM obs)
+SELECT disease, concat_ws(',', CASE WHEN place THEN 'province_not_in_enum' END, CASE WHEN off THEN 'value_out_of_range' END, CASE WHEN loose THEN 'not_grounded' END) AS issues,
+ CASE WHEN place OR off THEN 'low' ELSE 'medium' END AS confidence, count(*) AS n FROM c GROUP BY ALL"""
+)
+def extraction_checks(spark, sf):
+    places = F.broadcast(table(spark, sf, "nation").select(F.col("n_name").alias("province"), F.lit(True).alias("known")))  # 25 rows, a fixed dimension
+    rows = observations(spark, sf).select("disease", "province", "value", "data_type", "review_seconds").join(places, "province", "left")
+    issues = stats.extraction_issues(F.col("value"), F.col("data_type"), F.coalesce("known", F.lit(False)), F.col("review_seconds").isNotNull())
+    rows = rows.select("disease", issues.alias("found"))
+    return rows.groupBy("disease", F.array_join("found", ",").alias("issues"), stats.extraction_confidence(F.col("found")).alias("confidence")).agg(F.count("*").alias("n"))
