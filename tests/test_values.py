@@ -98,3 +98,54 @@ def test_folder_ingestion(spark, tmp_path):
         (folder / name).write_text(text)
     ingest.ingest_folder(spark, str(folder), ledger, state)
     assert sorted(r["path"][-1] for r in spark.read.parquet(ledger).collect()) == ["a", "c", "e"]
+
+
+def test_egger_against_weighted_least_squares(spark):
+    from titerlake.operators import meta
+
+    rng = np.random.default_rng(3)
+    n = rng.integers(20, 900, 14).astype(float)
+    x = np.round(n * rng.uniform(0.2, 0.9, 14))
+    rows = [("a", float(i), float(j)) for i, j in zip(x, n, strict=True)] + [("few", 3.0, 10.0)] * 9 + [("flat", float(i), 100.0) for i in range(12)]
+    got = {r["g"]: r for r in meta.egger(spark.createDataFrame(rows, "g string, x double, n double"), ["g"]).collect()}
+    t, w = np.arcsin(np.sqrt(x / (n + 1))) + np.arcsin(np.sqrt((x + 1) / (n + 1))), np.sqrt(n + 0.5)
+    design = np.column_stack([np.ones(14), np.sqrt(n)])
+    inverse = np.linalg.inv(design.T @ (design * w[:, None]))
+    beta = inverse @ design.T @ (w * t)
+    error = math.sqrt((w * (t - design @ beta) ** 2).sum() / 12 * inverse[0, 0])
+    assert got["a"]["intercept"] == pytest.approx(beta[0], abs=1e-4)
+    assert got["a"]["error"] == pytest.approx(error, abs=1e-5)
+    assert got["a"]["p_value"] == pytest.approx(float(distributions.t_two_sided(beta[0] / error, 12)), abs=1e-5)
+    assert got["few"]["k"] == 9 and got["few"]["intercept"] is None and got["few"]["p_value"] is None
+    assert got["flat"]["intercept"] is None
+
+
+def test_merge_preview_and_passes_with_nulls(spark):
+    from titerlake.operators import linkage
+
+    shape = "source_id long, disease string, province string, collection_year int, data_type string, value double, sample_size int"
+    facts = [(1, "d", "", 0, None, 5.0, 10), (2, "d", None, None, None, 6.0, 20), (2, "e", None, None, None, 7.0, 30), (3, "d", "", 0, None, 8.0, 40)]
+    rows = spark.createDataFrame(facts, shape)
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 9)], "a long, b long")
+    assert [tuple(r) for r in linkage.merge_preview(rows, pairs).collect()] == [(1, 2, "d", None, None, None, 5.0, 10, 6.0, 20)]
+    assert linkage.merge_preview(rows.limit(0), pairs).count() == 0
+
+    first = spark.createDataFrame([("k", 7), (None, 5)], "key string, id long")
+    second = spark.createDataFrame([("k", 1), (None, 2), ("m", 4), ("m", 3)], "key string, id long")
+    got = {tuple(r) for r in linkage.first_of_passes([first, second], ["key"], "id").collect()}
+    assert got == {("k", 1, 7, 2), (None, 1, 5, 2), ("m", 2, 3, 2)}
+
+
+def test_extraction_checks_of_all_kinds(spark):
+    cases = [
+        (50.0, "seroprevalence", True, True, [], "medium"),
+        (101.0, "seroprevalence", True, True, ["value_out_of_range"], "low"),
+        (-1.0, "gmc", False, True, ["province_not_in_enum", "value_out_of_range"], "low"),
+        (None, "gmc", True, False, ["not_grounded"], "medium"),
+        (-5.0, None, True, True, [], "medium"),
+        (0.0, "gmc", False, False, ["province_not_in_enum", "not_grounded"], "low"),
+    ]
+    rows = spark.createDataFrame(cases, "v double, t string, place boolean, found boolean, issues array<string>, confidence string")
+    got = rows.withColumn("i", stats.extraction_issues(F.col("v"), F.col("t"), F.col("place"), F.col("found"))).withColumn("c", stats.extraction_confidence(F.col("i")))
+    for r in got.collect():
+        assert (r["i"], r["c"]) == (r["issues"], r["confidence"])
