@@ -95,3 +95,47 @@ def chunks(docs: DataFrame, threshold: int = 20000, size: int = 15000) -> DataFr
     last = F.greatest(F.ceil(F.length(text) / width), F.lit(1)) - 1
     each = docs.select("doc_id", text.alias("text"), width.alias("width"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
     return each.select("doc_id", "chunk", F.substr("text", (F.col("chunk") * F.col("width") + 1).cast("int"), F.col("width")).alias("part"))
+
+
+def truncated(text: Column, most: int = 60000) -> Column:
+    """At most so many characters, cut at the last line end if that lies in the last 30 percent."""
+    head = F.substr(text, F.lit(1), F.lit(most))
+    last = F.length(head) - F.instr(F.reverse(head), "\n")
+    at_line = F.contains(head, F.lit("\n")) & (last > 0.7 * most)
+    return F.when(F.length(text) <= most, text).when(at_line, F.substr(head, F.lit(1), last)).otherwise(head)
+
+
+def reference_list(text: Column) -> Column:
+    """The numbered lines after the heading of the references, trimmed; none without a heading."""
+    after = F.regexp_extract(text, r"(?is)(?:参考文献|References)\s*\n(.*)", 1)
+    return F.filter(F.transform(F.split(after, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[\[(]?\d+[\]).]"))
+
+
+def focused(text: Column, words: list[str], most_chars: int = 5000, least_lines: int = 80, opening: int = 20) -> Column:
+    """The two thirds of a long text's lines (or ``least_lines``) that hold most of the words, in their order.
+
+    Each of the ``opening`` lines scores one more; of equal scores the earlier line stays.
+    """
+    lines = F.split(text, "\n")
+    hits = lambda x: sum((F.contains(F.lower(x), F.lit(w.lower())).cast("int") for w in words), F.lit(0))
+    scored = F.transform(lines, lambda x, i: F.struct((-hits(x) - F.when(i < opening, 1).otherwise(0)).alias("s"), i.alias("i"), x.alias("x")))
+    keep = F.greatest(F.lit(least_lines), F.floor(F.size(lines) * 2 / 3).cast("int"))
+    kept = F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, keep), lambda r: F.struct(r["i"], r["x"])))
+    return F.when(F.length(text) <= most_chars, text).otherwise(F.array_join(F.transform(kept, lambda r: r["x"]), "\n"))
+
+
+def table_rows(markdown: Column) -> Column:
+    """Data rows of the tables in a Markdown text: lines that start with a bar, less two for each line of dashes."""
+    bars = F.filter(F.transform(F.split(F.coalesce(markdown, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("|")))
+    rules = F.filter(bars, lambda x: x.rlike(r"^\|[\s\-:|]+\|?\s*$"))
+    return F.greatest(F.size(bars) - 2 * F.size(rules), F.lit(0))
+
+
+def listed_price(name: Column, prices: dict[str, tuple[float, float]]) -> Column:
+    """Prices (in, out) a million of the first entry whose key a name holds; null for an unknown one."""
+    out = None
+    for key, (inward, outward) in prices.items():
+        price = F.struct(F.lit(inward).alias("inward"), F.lit(outward).alias("outward"))
+        held = F.contains(F.lower(name), F.lit(key))
+        out = F.when(held, price) if out is None else out.when(held, price)
+    return out

@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from titerlake.functions.wording import normal_title, surname
 
 
+def title_tokens(sources: DataFrame) -> DataFrame:
+    """``source_id, title, who, tokens`` of titles with a token: normal title, surname (null is empty), sorted tokens."""
+    title = normal_title(F.col("title"))
+    tokens = F.array_sort(F.array_distinct(F.filter(F.split(title, " "), lambda t: t != "")))
+    who = F.coalesce(surname(F.col("authors")), F.lit(""))
+    return sources.select("source_id", title.alias("title"), who.alias("who"), tokens.alias("tokens")).where(F.size("tokens") > 0)
+
+
 def title_pairs(sources: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs ``a, b`` of classes with equal first-author surname and title-token Jaccard of ``least`` or more.
 
     Sources with the same surname and the same tokens are one class, named by its smallest id, so a title with many
     copies is one row. Token prefixes block the join: two token sets that similar share one of the first
     ``n - ceil(least * n) + 1`` tokens in rarest-first order, so no pair of all titles is formed. Titles without a token
-    and sources without a surname pair with nothing.
+    pair with nothing; sources without a surname share an empty one.
     """
-    tokens = F.array_sort(F.array_distinct(F.filter(F.split(normal_title(F.col("title")), " "), lambda t: t != "")))
-    rows = sources.select("source_id", surname(F.col("authors")).alias("who"), tokens.alias("tokens")).where(F.size("tokens") > 0)
+    rows = title_tokens(sources)
     classes = rows.groupBy("who", "tokens").agg(F.min("source_id").alias("id"), F.count("*").alias("copies"))
     each = classes.select("id", "who", F.explode("tokens").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("df"))

@@ -1 +1,3 @@
 """Named queries over the driver's tables."""
+
+from titerlake.plans import catalog, passages  # noqa: F401

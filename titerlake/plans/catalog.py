@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,29 +9,15 @@ from pyspark.sql import functions as F
 from titerlake.functions import parsing, stats, wording
 from titerlake.operators import epidemiology, linkage, listing, meta, models, scan, spatial, summary
 from titerlake.plans import sql
+from titerlake.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from titerlake.sources.adapters import catalogued_sources, evidence_sources, observations, table
 from titerlake.streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 GOAL = 95.0
 #: Share of each age band in the standard population (a parameter of the standardisation).
 STANDARD = {"<1": 0.012, "1-4": 0.056, "5-14": 0.12, "15-59": 0.63, "60+": 0.182}
 
 
-def query(text: str | None = None):
-    """Register a query under its function's name, with its SQL if it has one."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if text:
-            ORACLE_SQL[f.__name__] = text
-        return f
-
-    return register
-
-
 def _scan(spark: SparkSession, sf: str) -> DataFrame:
     """Approved primary rows of grades A and B, one per province."""
     return scan.split_provinces(scan.base_scan(observations(spark, sf)))
@@ -381,7 +365,7 @@ def page_titles(spark, sf):
 
 
 @query(
-    f"""{sql.SOURCES}, t AS (SELECT source_id, {sql.SURNAME} AS who, list_sort(list_distinct(list_filter(string_split({sql.NORMAL_TITLE}, ' '), lambda x: x <> ''))) AS tokens FROM sources),
+    f"""{sql.SOURCES}, t AS (SELECT source_id, coalesce({sql.SURNAME}, '') AS who, list_sort(list_distinct(list_filter(string_split({sql.NORMAL_TITLE}, ' '), lambda x: x <> ''))) AS tokens FROM sources),
 c AS (SELECT who, tokens, min(source_id) AS id, count(*) AS copies FROM t WHERE len(tokens) > 0 GROUP BY who, tokens),
 p AS (SELECT x.id AS a, y.id AS b, x.copies AS copies_a, y.copies AS copies_b, len(list_intersect(x.tokens, y.tokens)) AS i, len(x.tokens) + len(y.tokens) AS s FROM c x JOIN c y ON x.who = y.who AND x.id < y.id)
 SELECT a, b, copies_a, copies_b, round(i / (s - i), 4) AS similarity FROM p WHERE i / (s - i) >= 0.7"""
