@@ -132,10 +132,10 @@ def table_rows(markdown: Column) -> Column:
 
 
 def listed_price(name: Column, prices: dict[str, tuple[float, float]]) -> Column:
-    """Prices (in, out) a million of the first entry whose key a name holds; null for an unknown one."""
+    """Prices (in, out) a million, as decimals, of the first entry whose key a name holds; null for an unknown one."""
     out = None
     for key, (inward, outward) in prices.items():
-        price = F.struct(F.lit(inward).alias("inward"), F.lit(outward).alias("outward"))
+        price = F.struct(*[F.lit(str(v)).cast("decimal(10,4)").alias(k) for k, v in (("inward", inward), ("outward", outward))])
         held = F.contains(F.lower(name), F.lit(key))
         out = F.when(held, price) if out is None else out.when(held, price)
     return out

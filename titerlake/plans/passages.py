@@ -121,14 +121,13 @@ def focused_texts(spark, sf):
 
 
 @query(
-    """WITH u AS (SELECT lower(p_brand) AS model, count(*) AS calls, sum(p_partkey) AS inward, sum(p_size) AS outward FROM part GROUP BY ALL)
-SELECT model, calls, CASE WHEN contains(model, 'brand#1') THEN round(inward/1e6*0.15 + outward/1e6*0.6, 6) WHEN contains(model, '#2') THEN round(inward/1e6*2.5 + outward/1e6*10, 6)
- ELSE 0 END AS cost FROM u"""
+    """WITH u AS (SELECT lower(p_brand) AS model, count(*) AS calls, sum(p_partkey)::BIGINT AS inward, sum(p_size)::BIGINT AS outward FROM part GROUP BY ALL)
+SELECT model, calls, CASE WHEN contains(model, 'brand#1') THEN round(inward*0.15 + outward*0.6)/1e6 WHEN contains(model, '#2') THEN round(inward*2.5 + outward*10.0)/1e6 ELSE 0 END AS cost FROM u"""
 )
 def usage_cost(spark, sf):
     used = table(spark, sf, "part").groupBy(F.lower("p_brand").alias("model")).agg(F.count("*").alias("calls"), F.sum("p_partkey").alias("inward"), F.sum("p_size").alias("outward"))
     price = wording.listed_price(F.col("model"), {"brand#1": (0.15, 0.6), "#2": (2.5, 10.0)})
-    cost = F.round(F.col("inward") / 1e6 * price["inward"] + F.col("outward") / 1e6 * price["outward"], 6)
+    cost = F.round(F.col("inward") * price["inward"] + F.col("outward") * price["outward"], 0).cast("double") / 1e6
     return used.select("model", "calls", F.coalesce(cost, F.lit(0.0)).alias("cost"))
 
 
