@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titerlake.llm import chat, jaccard, language, lines, mixing, packing, quality, secrets, telephony, tokenids
+from titerlake.llm import audit, chat, graph, jaccard, language, lines, mixing, negatives, packing, quality, secrets, telephony, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_language_id": language.op9_language_id,
     "op10_telephony": telephony.op10_telephony,
+    "op11_graph_neighbours": graph.op11_graph_neighbours,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {**chat.ORACLE_SQL, **lines.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**chat.ORACLE_SQL, **lines.ORACLE_SQL, **negatives.ORACLE_SQL, **audit.ORACLE_SQL}
