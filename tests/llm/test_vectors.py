@@ -136,7 +136,7 @@ def test_buckets_are_skipped_by_norm_and_large_numbers_stay_exact():
     big = np.array([[2.0**40, 3.0], [2.0**40, 5.0]])
     assert negatives.Buckets(np.arange(2), np.zeros(2, int), big).scores(big[:1], 0).tolist() == [[2**63 - 1, 2**63 - 1]]
     mean = np.array([[2.0**28, 3.0], [2.0**28, 5.0]])
-    assert negatives.Buckets(np.arange(2), np.zeros(2, int), mean).scores(np.array([[1.0, 2.0**27]]), 0).tolist() == [[2**28 + 3 * 2**27, 2**28 + 5 * 2**27]]
+    assert negatives.Buckets(np.arange(2), np.zeros(2, int), mean).scores(np.array([[1.0, 2.0**27]]), 0).tolist() == [[2**28 + 5 * 2**27, 2**28 + 3 * 2**27]]  # longest first
 
 
 def test_one_row_for_each_id_and_padded_vectors():
