@@ -10,6 +10,7 @@ from tests.test_values import each
 from titerlake.functions import wording
 from titerlake.operators import duplicates, grounding, spans
 from titerlake.plans.catalog import QUERIES
+from titerlake.sources.shared import Tables
 
 
 def table_lcs(a, b):
@@ -63,9 +64,9 @@ def test_grounding_over_documents(spark):
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(7, i) for i in range(8, 60)]
-    got = {r["node"]: r["root"] for r in duplicates.components(spark.createDataFrame(chain + star + [(5, 2), (2, 9)], "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in duplicates.components(spark.createDataFrame(chain + star + [(5, 2), (2, 9)], "a long, b long"), Tables(spark, "test")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 2 for i in [2, 5, *range(7, 60)]) and len(got) == 116
-    assert duplicates.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert duplicates.components(spark.createDataFrame([], "a long, b long"), Tables(spark, "test")).count() == 0
 
 
 def test_duplicate_reasons(spark):

@@ -72,10 +72,11 @@ def alias_by_longest(name: Column, aliases: dict[str, str]) -> Column:
     return F.when(F.length(name) > 0, F.coalesce(F.try_element_at(table(aliases), n), F.try_element_at(table(folded), low), F.try_element_at(table(aliases), F.get(held, 0)), n))
 
 
-def alias_by_first(name: Column, aliases: dict[str, str]) -> Column:
-    """Standard name: exact, else that of the first alias that holds the name or is held by it; an unknown name stays."""
+def alias_by_first(name: Column, aliases: dict[str, str], fold: bool = False) -> Column:
+    """Standard name: exact, else that of the first alias that holds the name or is held by it, in any case if ``fold``; an unknown name stays."""
     n = F.trim(name)
     keys = F.array(*[F.lit(k) for k in aliases])
     table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    near = F.filter(keys, lambda k: F.contains(n, k) | F.contains(k, n))
+    seen = F.lower(n) if fold else n
+    near = F.filter(keys, lambda k: F.contains(seen, F.lower(k) if fold else k) | F.contains(F.lower(k) if fold else k, seen))
     return F.when(F.length(name) > 0, F.coalesce(F.try_element_at(table, n), F.try_element_at(table, F.get(near, 0)), n))

@@ -68,7 +68,8 @@ def score_level(level: Column) -> Column:
 
 
 def score_confidence(c: Column) -> Column:
-    return F.when(c == "high", 5).when(c == "medium", 3).otherwise(1)
+    level = F.lower(F.trim(c))
+    return F.when(level == "high", 5).when(level == "medium", 3).otherwise(1)
 
 
 def grade(score: Column) -> Column:

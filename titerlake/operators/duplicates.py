@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,13 +9,7 @@ from pyspark.sql import functions as F
 
 from titerlake.functions.wording import normal_title
 from titerlake.operators.linkage import title_pairs, title_tokens
-
-
-def _shared_checkpoints(frame: DataFrame) -> None:
-    """The session's checkpoint folder; one of our own only where none is set, as in tests."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+from titerlake.sources.shared import Tables
 
 
 def links(sources: DataFrame, least: float = 0.7) -> DataFrame:
@@ -37,32 +30,31 @@ def links(sources: DataFrame, least: float = 0.7) -> DataFrame:
     return reduce(DataFrame.unionByName, stars).where(F.col("a") != F.col("b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """``node, root``: the least node reachable from each node of ``edges(a, b)``.
 
     Each round takes the least root among a node's neighbours, then the root of that root, so long chains take few
-    rounds. Rounds are checkpointed; only the number of changes comes to the driver.
+    rounds. Rounds are written tables, of which the last two stay; only the number of changes comes to the driver.
     """
-    _shared_checkpoints(edges)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    roots = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node").checkpoint()
+    both = tables.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = tables.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
     while True:
         seen = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
         lower = roots.join(seen, F.col("node") == F.col("a")).select("node", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
         jump = roots.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        after = lower.join(jump, "mid", "left").select("node", "was", F.least("mid", "far").alias("root")).checkpoint()
-        changed = after.where(F.col("was") != F.col("root")).count()
-        roots = after.select("node", "root")
-        if not changed:
-            return roots
+        after = tables.write(lower.join(jump, "mid", "left").select("node", "was", F.least("mid", "far").alias("root")))
+        tables.drop(roots)
+        roots = after
+        if not after.where(F.col("was") != F.col("root")).count():
+            tables.drop(both)
+            return after.select("node", "root")
 
 
 def duplicate_components(sources: DataFrame, least: float = 0.7) -> DataFrame:
     """``group_id`` (least id), its number of sources, all reasons, and the source created first, of each group of two or more."""
-    edges = links(sources, least)
-    _shared_checkpoints(edges)
-    edges = edges.checkpoint()
-    roots = components(edges)
+    tables = Tables(sources.sparkSession, "duplicates")
+    edges = tables.write(links(sources, least))
+    roots = components(edges, tables)
     reasons = edges.join(roots, F.col("a") == F.col("node")).groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
     members = roots.join(sources.select("source_id", "created_at"), F.col("node") == F.col("source_id"))
     groups = members.groupBy("root").agg(F.count("*").alias("n_sources"), F.min(F.struct("created_at", "source_id"))["source_id"].alias("representative_id"))

@@ -84,8 +84,13 @@ def by_phrases(text: Column, phrases: Column) -> Column:
 
 
 def numbers_found(text: Column, passage: Column, numbers: Column) -> Column:
-    """Whether every number that isn't null is written in the text or the passage, whole ones without a decimal point."""
-    written = F.transform(F.filter(numbers, lambda v: v.isNotNull()), lambda v: F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string")))
+    """Whether every number that isn't null is written in the text or the passage, whole ones without a decimal point.
+
+    Numbers are looked up as people write them, never with an exponent.
+    """
+    plain = lambda v: F.regexp_replace(v.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    whole = lambda v: v.cast("decimal(38,0)").cast("string")
+    written = F.transform(F.filter(numbers, lambda v: v.isNotNull()), lambda v: F.when(v == F.rint(v), whole(v)).otherwise(plain(v)))
     return F.forall(written, lambda s: F.contains(F.coalesce(text, F.lit("")), s) | F.contains(F.coalesce(passage, F.lit("")), s))
 
 

@@ -57,22 +57,40 @@ def link_parents(obs: DataFrame, keys: list[str], value: str) -> DataFrame:
     return obs.where(F.col("estimate_type") == "subgroup").join(parents, keys, "left")
 
 
+#: Passages up to this number are looked up inside the texts' rows; more are joined by key.
+FEW_PASSAGES = 20000
+
+
 def contained_passages(docs: DataFrame, passages: DataFrame, width: int = 8) -> DataFrame:
-    """``doc_id, item_id`` where a text holds a whole passage of ``width`` words or more, blanks alike.
+    """``doc_id, item_id`` where a text holds a whole passage, blanks alike. A passage without a word is in no text.
 
-    A passage is looked up by its first ``width`` words among all word windows of the texts, then checked in full.
+    A passage is looked up by its first ``width`` words (all of a shorter one) among all word windows of that length, then
+    checked in full. Where the passages are few, a text's windows are matched in its own row, so that texts are
+    never shuffled; else windows and passages join by key, and only texts with a hit come back.
     """
     def squeezed(c: str) -> Column:
         return F.trim(F.regexp_replace(c, r"[\x20\x09-\x0D]+", " "))
 
-    wanted = passages.select("item_id", squeezed("text").alias("passage")).withColumn("words", F.split("passage", " ")).where(F.size("words") >= width)
-    wanted = wanted.select("item_id", "passage", F.xxhash64(F.slice("words", 1, width)).alias("key"))
-    texts = docs.select("doc_id", squeezed("text").alias("whole")).withColumn("words", F.split("whole", " "))
-    starts = F.sequence(F.lit(1), F.size("words") - width + 1)
-    windows = texts.where(F.size("words") >= width).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, width))))).alias("key"))
-    found = windows.join(wanted, "key").join(texts.select("doc_id", "whole"), "doc_id")
-    padded = F.concat(F.lit(" "), "whole", F.lit(" "))
-    return found.where(F.contains(padded, F.concat(F.lit(" "), "passage", F.lit(" ")))).select("doc_id", "item_id")
+    def holds(whole: str, passage: str) -> Column:
+        return F.contains(F.concat(F.lit(" "), whole, F.lit(" ")), F.concat(F.lit(" "), passage, F.lit(" ")))
+
+    wanted = passages.select("item_id", squeezed("text").alias("passage")).where(F.length("passage") > 0).withColumn("words", F.split("passage", " "))
+    wanted = wanted.select("item_id", "passage", F.least(F.size("words"), F.lit(width)).alias("n"), F.xxhash64(F.slice("words", 1, width)).alias("key"))
+    lengths = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # at most ``width``
+    texts = docs.select("doc_id", squeezed("text").alias("whole")).where(F.length("whole") > 0).withColumn("words", F.split("whole", " "))
+
+    def windows(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("words") - n + 1)
+        return F.when(F.size("words") >= n, F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+    keys = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[windows(n) for n in lengths]))
+    known = [r["key"] for r in wanted.select("key").distinct().limit(FEW_PASSAGES + 1).collect()]
+    if len(known) <= FEW_PASSAGES:
+        hits = texts.select("doc_id", "whole", F.explode(F.array_intersect(keys, F.array(*map(F.lit, known)).cast("array<bigint>"))).alias("key"))
+        found = hits.join(F.broadcast(wanted), "key")  # as many passages as were just counted
+    else:
+        found = texts.select("doc_id", F.explode(keys).alias("key")).join(wanted, "key").join(texts.select("doc_id", "whole"), "doc_id")
+    return found.where(holds("whole", "passage")).select("doc_id", "item_id")
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

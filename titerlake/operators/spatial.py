@@ -32,12 +32,16 @@ def gi_star(values: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("cluster", F.when(a >= 2.576, F.concat(side, F.lit("_99"))).when(a >= 1.96, F.concat(side, F.lit("_95"))).when(a >= 1.645, F.concat(side, F.lit("_90"))).otherwise("none"))
 
 
-def titer_distances(cells: DataFrame) -> DataFrame:
-    """Table distance of ``antigen, serum, titer``: the serum's largest log2(titer / 10) less the cell's."""
-    bad = cells.where(F.col("titer").isNull() | (F.col("titer") <= 0)).select("antigen").distinct()
-    logs = cells.join(bad, "antigen", "left_anti").withColumn("lt", F.log2(F.col("titer") / 10))
-    top = logs.groupBy("serum").agg(F.max("lt").alias("top"))
-    return logs.join(top, "serum").select("antigen", "serum", F.round(F.col("top") - F.col("lt"), 6).alias("distance"))
+def titer_distances(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Table distance of ``keys, antigen, serum, titer``: the serum's largest log2(titer / 10) less the cell's.
+
+    Antigens with a titer that is missing or at the limit of detection are left out.
+    """
+    keys = keys or []
+    bad = cells.where(F.col("titer").isNull() | (F.col("titer") <= 0)).select(*keys, "antigen").distinct()
+    logs = cells.join(bad, [*keys, "antigen"], "left_anti").withColumn("lt", F.log2(F.col("titer") / 10))
+    top = logs.groupBy(*keys, "serum").agg(F.max("lt").alias("top"))
+    return logs.join(top, [*keys, "serum"]).select(*keys, "antigen", "serum", F.round(F.col("top") - F.col("lt"), 6).alias("distance"))
 
 
 def antigen_distances(distances: DataFrame) -> DataFrame:

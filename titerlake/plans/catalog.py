@@ -163,12 +163,14 @@ def cochran_armitage(spark, sf):
 
 @query(
     f"""{sql.SERO}, c AS (SELECT disease, population, n, round(CASE WHEN value > 1 THEN value ELSE value * 100 END * n, 3) AS hundred FROM sero WHERE p IS NOT NULL),
-a AS (SELECT disease, round(sum(hundred) FILTER (population = 'vaccinated') / 100) AS x1, sum(n) FILTER (population = 'vaccinated') AS n1,
- round(sum(hundred) FILTER (population = 'unvaccinated') / 100) AS x2, sum(n) FILTER (population = 'unvaccinated') AS n2 FROM c GROUP BY disease)
-SELECT disease, x1, n1, x2, n2, round((x1/n1 - x2/n2) / sqrt((x1+x2)/(n1+n2)*(1 - (x1+x2)/(n1+n2))*(1/n1 + 1/n2)), 4) AS z, round(x1/n1 - x2/n2, 4) AS rd, round((x1/n1)/(x2/n2), 4) AS rr,
+r AS (SELECT disease, round(sum(hundred) FILTER (population = 'vaccinated') / 100) AS r1, sum(n) FILTER (population = 'vaccinated') AS m1,
+ round(sum(hundred) FILTER (population = 'unvaccinated') / 100) AS r2, sum(n) FILTER (population = 'unvaccinated') AS m2 FROM c GROUP BY disease),
+a AS (SELECT *, CASE WHEN r1 = 0 OR r1 = m1 THEN r1 + 0.5 ELSE r1 END AS x1, CASE WHEN r1 = 0 OR r1 = m1 THEN m1 + 1 ELSE m1 END AS n1,
+ CASE WHEN r2 = 0 OR r2 = m2 THEN r2 + 0.5 ELSE r2 END AS x2, CASE WHEN r2 = 0 OR r2 = m2 THEN m2 + 1 ELSE m2 END AS n2 FROM r)
+SELECT disease, r1 AS x1, m1 AS n1, r2 AS x2, m2 AS n2, round((x1/n1 - x2/n2) / sqrt((x1+x2)/(n1+n2)*(1 - (x1+x2)/(n1+n2))*(1/n1 + 1/n2)), 4) AS z, round(x1/n1 - x2/n2, 4) AS rd, round((x1/n1)/(x2/n2), 4) AS rr,
 round(greatest(x1/n1 - x2/n2 - 1.96*sqrt(x1/n1*(1 - x1/n1)/n1 + x2/n2*(1 - x2/n2)/n2), -1), 4) AS rd_lower, round(least(x1/n1 - x2/n2 + 1.96*sqrt(x1/n1*(1 - x1/n1)/n1 + x2/n2*(1 - x2/n2)/n2), 1), 4) AS rd_upper,
 round(exp(ln((x1/n1)/(x2/n2)) - 1.96*sqrt(1/x1 - 1/n1 + 1/x2 - 1/n2)), 4) AS rr_lower, round(exp(ln((x1/n1)/(x2/n2)) + 1.96*sqrt(1/x1 - 1/n1 + 1/x2 - 1/n2)), 4) AS rr_upper
-FROM a WHERE x1 > 0 AND x2 > 0 AND x1 < n1 AND x2 < n2"""
+FROM a"""
 )
 def two_proportion(spark, sf):
     mine, other = F.col("population") == "vaccinated", F.col("population") == "unvaccinated"
@@ -179,7 +181,7 @@ def two_proportion(spark, sf):
         return F.round(F.sum(F.when(arm, F.col("hundred"))) / 100)
 
     arms = rows.groupBy("disease").agg(cases(mine).alias("x1"), F.sum(F.when(mine, F.col("n"))).alias("n1"), cases(other).alias("x2"), F.sum(F.when(other, F.col("n"))).alias("n2"))
-    return meta.two_proportions(arms.where("x1 > 0 AND x2 > 0 AND x1 < n1 AND x2 < n2"))
+    return meta.two_proportions(arms)
 
 
 @query(sql.inverse_variance("disease"))
@@ -254,14 +256,15 @@ def gap_completeness(spark, sf):
 
 
 @query(
-    f"""{sql.EACH} SELECT d.disease, n.n_name AS province FROM (SELECT DISTINCT p_type AS disease FROM part) d, nation n
-WHERE NOT EXISTS (SELECT 1 FROM each_ e WHERE e.disease = d.disease AND e.province = n.n_name AND e.collection_year = 1998 AND e.assay LIKE '%1')"""
+    f"""{sql.EACH} SELECT d.disease, d.assay, n.n_name AS province FROM (SELECT DISTINCT disease, assay FROM each_) d, nation n
+WHERE NOT EXISTS (SELECT 1 FROM each_ e WHERE e.disease = d.disease AND e.assay = d.assay AND e.province = n.n_name)"""
 )
 def missing_regions(spark, sf):
-    found = scan.split_provinces(scan.base_scan(observations(spark, sf), years=(1998, 1998))).where(F.col("assay").like("%1")).select("disease", "province").distinct()
-    diseases = table(spark, sf, "part").agg(F.collect_set("p_type").alias("types"))  # a fixed list of a few names
-    wanted = table(spark, sf, "nation").select(F.col("n_name").alias("province"), F.lit(1).alias("k")).join(diseases.withColumn("k", F.lit(1)), "k")
-    return wanted.select(F.explode("types").alias("disease"), "province").join(found, ["disease", "province"], "left_anti")
+    """Nations without a fact, for every disease and assay that has any."""
+    found = _scan(spark, sf).select("disease", "assay", "province").distinct()
+    names = F.array_sort(F.collect_set("n_name"))  # 25 fixed names in one row
+    wanted = found.select("disease", "assay").distinct().withColumn("k", F.lit(1)).join(F.broadcast(table(spark, sf, "nation").agg(names.alias("names")).withColumn("k", F.lit(1))), "k")
+    return wanted.select("disease", "assay", F.explode("names").alias("province")).join(found, ["disease", "assay", "province"], "left_anti")
 
 
 @query(
@@ -397,7 +400,7 @@ def parent_link(spark, sf):
 @query(
     r"""WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) || ' ' AS t FROM documents),
 b AS (SELECT item_id, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM benchmark)
-SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, ' ' || b.t || ' ') WHERE len(string_split(b.t, ' ')) >= 8"""
+SELECT doc_id, item_id FROM d JOIN b ON b.t <> '' AND contains(d.t, ' ' || b.t || ' ')"""
 )
 def exact_provenance(spark, sf):
     return linkage.contained_passages(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", "text"))
@@ -460,8 +463,8 @@ def gi_star(spark, sf):
 
 
 def _titers(spark: SparkSession, sf: str) -> DataFrame:
-    """Titers of label (antigen) by dimension (serum), from the first eight dimensions."""
-    cells = table(spark, sf, "embeddings").select(F.col("label").alias("antigen"), F.posexplode(F.slice("embedding", 1, 8)).alias("serum", "e"))
+    """Titers of label (antigen) by dimension (serum), over all dimensions."""
+    cells = table(spark, sf, "embeddings").select(F.col("label").alias("antigen"), F.posexplode("embedding").alias("serum", "e"))
     return cells.groupBy("antigen", "serum").agg((10 + 1000 * F.abs(F.avg(F.col("e").cast("double")))).alias("titer"))
 
 
@@ -612,12 +615,11 @@ def quality_score_full(spark, sf):
 
 
 @query(
-    f"""{sql.OBS}, g AS (SELECT disease, trim(string_split(province, ';')[1]) AS province, count(*) FILTER (review_status = 'approved' AND quality_grade IN ('A', 'B')) AS a, count(*) FILTER (review_status = 'pending') AS b FROM obs
-WHERE collection_year = 1995 AND assay LIKE '%1' GROUP BY ALL)
+    f"""{sql.OBS}, g AS (SELECT disease, trim(string_split(province, ';')[1]) AS province, count(*) FILTER (review_status = 'approved' AND quality_grade IN ('A', 'B')) AS a, count(*) FILTER (review_status = 'pending') AS b FROM obs GROUP BY ALL)
 SELECT disease, province, a, b, CASE WHEN a = 0 AND b = 0 THEN 'need_supplement' WHEN a = 0 THEN 'need_review' WHEN a < 5 AND b > 0 THEN 'need_both' WHEN a < 5 THEN 'need_supplement' WHEN b > 0 THEN 'need_review' ELSE 'well_covered' END AS status FROM g"""
 )
 def gap_status(spark, sf):
-    counts = summary.gap_counts(observations(spark, sf).where((F.col("collection_year") == 1995) & F.col("assay").like("%1")))
+    counts = summary.gap_counts(observations(spark, sf))
     return counts.select("disease", "province", F.col("approved_ab").alias("a"), F.col("pending").alias("b"), stats.status_label(F.col("approved_ab"), F.col("pending")).alias("status"))
 
 
@@ -646,9 +648,9 @@ def pooled_proportion(spark, sf):
     return meta.pooled_wilson(_studies(spark, sf), ["province"])
 
 
-@query(f"{sql.SERO}, s AS (SELECT disease, source_id, n/(p*(1 - p)) AS w FROM sero WHERE n > 0 AND p > 0 AND p < 1 AND collection_year = 1998), t AS (SELECT disease, round(100*w/sum(w) OVER (PARTITION BY disease), 6) AS weight FROM s) SELECT disease, count(*) AS k, round(max(weight), 5) AS largest FROM t GROUP BY disease")
+@query(f"{sql.SERO}, s AS (SELECT disease, source_id, n/(p*(1 - p)) AS w FROM sero WHERE n > 0 AND p > 0 AND p < 1), t AS (SELECT disease, round(100*w/sum(w) OVER (PARTITION BY disease), 6) AS weight FROM s) SELECT disease, count(*) AS k, round(max(weight), 5) AS largest FROM t GROUP BY disease")
 def largest_study_weight(spark, sf):
-    rows = meta.study_weights(_studies(spark, sf).where(F.col("collection_year") == 1998), ["disease"])
+    rows = meta.study_weights(_studies(spark, sf), ["disease"])
     return rows.groupBy("disease").agg(F.count("*").alias("k"), F.round(F.max("weight"), 5).alias("largest"))
 
 
@@ -661,11 +663,11 @@ def top_and_bottom(spark, sf):
 
 
 @query(
-    f"""{sql.SERO}, a AS (SELECT DISTINCT disease, {sql.MID} AS age FROM sero WHERE p IS NOT NULL AND assay = 'Brand#1'), g AS (SELECT disease, age - lag(age) OVER (PARTITION BY disease ORDER BY age) AS gap FROM a)
+    f"""{sql.SERO}, a AS (SELECT DISTINCT disease, {sql.MID} AS age FROM sero WHERE p IS NOT NULL), g AS (SELECT disease, age - lag(age) OVER (PARTITION BY disease ORDER BY age) AS gap FROM a)
 SELECT disease, max(gap) AS gap, coalesce(max(gap) > 10, false) AS sparse FROM g GROUP BY disease"""
 )
 def age_gaps(spark, sf):
-    ages = _studies(spark, sf).where(F.col("assay") == "Brand#1").select("disease", stats.age_midpoint(F.col("age_min"), F.col("age_max")).alias("age")).distinct()
+    ages = _studies(spark, sf).select("disease", stats.age_midpoint(F.col("age_min"), F.col("age_max")).alias("age")).distinct()
     gaps = ages.withColumn("gap", F.col("age") - F.lag("age").over(W.partitionBy("disease").orderBy("age")))
     return gaps.groupBy("disease").agg(F.max("gap").alias("gap"), F.coalesce(F.max("gap") > 10, F.lit(False)).alias("sparse"))
 

@@ -41,8 +41,9 @@ def passage_grounding(spark, sf):
     i = F.col("source_id")
     part = F.substr("text", F.lit(31), F.lit(60))
     passage = F.when(i % 3 == 0, part).when(i % 3 == 1, F.translate(part, "eo", "%%")).otherwise(F.lit("quite another passage, 0123456789"))
-    number = F.when(i % 5 == 0, F.lit(987654321.25)).otherwise(F.lit(None).cast("double"))
-    rows = evidence_sources(spark, sf).select("source_id", "text", "title", passage.alias("passage"), number.alias("number"))
+    # a number the text lacks, or one written in it: 0.0005 is only found without an exponent
+    number = F.when(i % 5 == 0, F.lit(987654321.25)).when(i % 5 == 1, F.lit(0.0005))
+    rows = evidence_sources(spark, sf).select("source_id", F.concat(F.col("text"), F.when(i % 5 == 1, " at a rate of 0.0005 a year").otherwise("")).alias("text"), "title", passage.alias("passage"), number.alias("number"))
     found = grounding.ground(rows, "text", "passage", F.split("title", " "), F.array("number"))
     return found.select("source_id", "method", "start", "end", "grounded")
 

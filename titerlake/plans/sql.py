@@ -54,7 +54,7 @@ PLACES = SERO + (
  WHERE province IN (SELECT n_name FROM nation) GROUP BY province),
 edges AS (SELECT a.n_name AS src, b.n_name AS dst FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name)"""
 )
-TITERS = """WITH cells AS (SELECT label AS antigen, (u.i - 1)::INT AS serum, 10 + 1000 * abs(avg(embedding[u.i]::DOUBLE)) AS titer FROM embeddings, LATERAL (SELECT unnest(range(1, 9)) AS i) u GROUP BY ALL),
+TITERS = """WITH cells AS (SELECT label AS antigen, (u.i - 1)::INT AS serum, 10 + 1000 * abs(avg(embedding[u.i]::DOUBLE)) AS titer FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) u GROUP BY ALL),
 t AS (SELECT antigen, serum, log2(titer / 10) AS lt, max(log2(titer / 10)) OVER (PARTITION BY serum) AS top FROM cells)"""
 
 
