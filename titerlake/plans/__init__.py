@@ -1,3 +1,3 @@
 """Named queries over the driver's tables."""
 
-from titerlake.plans import catalog, inference, passages  # noqa: F401
+from titerlake.plans import catalog, curation, inference, passages  # noqa: F401

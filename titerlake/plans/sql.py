@@ -12,7 +12,8 @@ SELECT l_orderkey AS source_id, p_type AS disease, CASE WHEN l_linenumber = 7 TH
  CASE WHEN l_linenumber <= 2 THEN 'high' WHEN l_linenumber <= 4 THEN 'medium' ELSE 'low' END AS confidence,
  CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'A' WHEN o_orderpriority[1] = '3' THEN 'B' ELSE 'C' END AS quality_grade,
  CASE WHEN l_shipdate > o_orderdate THEN (epoch(l_shipdate) - epoch(o_orderdate))::BIGINT END AS review_seconds, l_suppkey AS reviewer_id,
- CASE WHEN l_tax < 0.03 THEN 'vaccinated' WHEN l_tax < 0.06 THEN 'unvaccinated' ELSE 'general' END AS population
+ CASE WHEN l_tax < 0.03 THEN 'vaccinated' WHEN l_tax < 0.06 THEN 'unvaccinated' ELSE 'general' END AS population,
+ ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey % 100000) * 10000 + l_suppkey % 10000 AS fact_id
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
  JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey)"""
 SCAN = OBS + ", scan AS (SELECT * FROM obs WHERE review_status = 'approved' AND estimate_type = 'primary' AND quality_grade IN ('A', 'B'))"

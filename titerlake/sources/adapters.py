@@ -38,6 +38,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_shipdate") > F.col("o_orderdate"), F.unix_timestamp("l_shipdate") - F.unix_timestamp("o_orderdate")).alias("review_seconds"),
         F.col("l_suppkey").alias("reviewer_id"),
         F.when(F.col("l_tax") < 0.03, "vaccinated").when(F.col("l_tax") < 0.06, "unvaccinated").otherwise("general").alias("population"),
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey") % 100000) * 10000 + F.col("l_suppkey") % 10000).alias("fact_id"),
     )
 
 
