@@ -6,8 +6,8 @@ clusters. For a piece, the search starts at the tightest residual that fits and
 without one of the piece's bits is found, else a new bin is opened: no bin holds two documents of a source, or two
 copies of a text.
 
-Windows come from a hash of the row and its place in the input, so rows that share a doc_id, or have none, are dealt
-out like others; or (``in_file_order``) they are runs of neighbouring rows of the Parquet files that ``docs`` must be read
+Windows come from a hash of doc_id, source, text and, among equal rows, their number, so the packing is the same however the
+input is split, and rows that share a doc_id, or have none, are dealt out like others; or (``in_file_order``) they are runs of neighbouring rows of the Parquet files that ``docs`` must be read
 from, so that an order written before, such as a mix of sources, decides which documents can share a bin. A bin belongs
 to one window, so copies in different windows can't meet in a bin either. Sizes and keys alone are shuffled, never texts.
 
@@ -90,11 +90,15 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, window_rows: int =
     columns = [*pick(("doc_id", "doc_id"), ("source", "source")), F.xxhash64("text").alias("cluster"), size.alias("size")]
     if in_file_order:
         part = F.try_to_number(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1), F.lit("999999999")).cast("long")
-        rows = docs.select(*columns, F.coalesce(part, F.lit(0)).alias("file"), F.floor(F.col("_metadata.row_index") / window_rows).alias("window"))
+        other = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 60)) + (1 << 40)  # beyond all part numbers
+        rows = docs.select(*columns, F.coalesce(part, other).alias("file"), F.floor(F.col("_metadata.row_index") / window_rows).alias("window"))
     else:
         windows = max(1, math.ceil(docs.count() / window_rows))
-        rows = docs.select(*columns, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))
-        rows = rows.withColumn("window", F.pmod(F.xxhash64("doc_id", "source", "cluster", "place"), F.lit(windows))).drop("place")
+        # equal rows are counted, then numbered, so the deal follows from the rows alone and copies spread over the windows
+        rows = docs.select(*columns).groupBy("doc_id", "source", "cluster", "size").agg(F.count("*").cast("int").alias("copies"))
+        rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        deal = F.pmod(F.xxhash64("doc_id", "source", "cluster", "size", "copy"), F.lit(windows))
+        rows = rows.select("doc_id", "source", "cluster", "size", F.lit(0).cast("long").alias("file"), deal.alias("window"))
     shape = "doc_id long, file long, window long, piece long, bin long, bin_offset long, length long"
     return rows.groupBy("file", "window").applyInArrow(_window_packer(capacity), shape)
 
