@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from titerlake.llm import chat, jaccard, language, lines, mixing, packing, quality, secrets, telephony, tokenids
@@ -170,3 +171,45 @@ def test_pipeline_runs_whole(spark):
     assert first.count() >= 0.95 * docs.count()
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows)
+
+
+def test_packing_and_mix_follow_from_the_rows_alone(spark):
+    """Another split of the input, and columns that only pass through, change nothing; equal rows are dealt out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    docs = docs.unionByName(docs.where("doc_id % 50 = 0")).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    shaped = docs.repartition(7).withColumn("extra", F.lit("x")).withColumn("number", F.monotonically_increasing_id())
+
+    def rows(frame):
+        return sorted((tuple(r) for r in frame.collect()), key=str)
+
+    assert rows(packing.pack_documents(docs, window_rows=300)) == rows(packing.pack_documents(shaped, window_rows=300))
+    mixed = [f.select("doc_id", "source", "__block", "__slot", "__start") for f in (mixing.mix_sources(docs, part_rows=200, block_chars=5000), mixing.mix_sources(shaped, part_rows=200, block_chars=5000))]
+    assert rows(mixed[0]) == rows(mixed[1])
+    same = docs.limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(900)))).drop("copy")
+    windows = [r["n"] for r in packing.pack_documents(same, window_rows=300).where("piece = 0").groupBy("window").agg(F.count("*").alias("n")).collect()]
+    assert len(windows) == 3 and min(windows) > 200
+
+
+def test_a_mix_goes_on_when_a_source_runs_out(spark):
+    rows = [(i, "small" if i < 5 else "large", "x" * 100) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = {"small": 0.5, "large": 0.5}
+    out = mixing.mix_sources(docs, weights, slots=10, block_chars=100).collect()
+    by_slot = sorted((r["__slot"], r["source"], r["__block"]) for r in out)
+    assert [b for _, s, b in by_slot if s == "small"] == list(range(5)) and [b for _, s, b in by_slot if s == "large"] == list(range(195))
+    assert len({slot for slot, _, _ in by_slot}) == 200
+    for n in range(1, 11):  # while both have blocks, each is within less than one block of half the slots
+        assert abs(sum(s == "small" for slot, s, _ in by_slot if slot < n) - n / 2) < 1
+    tail = [slot for slot, s, _ in by_slot if s == "large" and slot >= 10]
+    assert all(b - a in (1, 2, 3) for a, b in zip(tail, tail[1:], strict=False))  # the small one's later slots stay empty
+
+
+def test_files_without_part_numbers_keep_their_windows_apart(spark, tmp_path):
+    for name in ("one", "two"):
+        frame = spark.createDataFrame([(i, name, f"{name} {i}") for i in range(10)], "doc_id long, source string, text string").coalesce(1)
+        frame.write.parquet(f"file://{tmp_path}/w-{name}")
+        (made,) = (tmp_path / f"w-{name}").glob("part-*.parquet")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        made.rename(tmp_path / "all" / f"{name}.parquet")
+    got = packing.pack_documents(spark.read.parquet(f"file://{tmp_path}/all"), in_file_order=True).collect()
+    assert len({r["file"] for r in got}) == 2 and len(got) == 20

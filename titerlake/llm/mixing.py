@@ -8,7 +8,8 @@ most ``slots`` rows, the only broadcast) and holds for all rounds, so a block's
 are numbered in salted parts, so a source with a third of all rows isn't one task's work. Slots of a source that has
 run out stay empty; nothing is dropped or repeated.
 
-A row's hash is that of all its columns but maps, so rows of one doc_id, or of none, are dealt out too.
+A row's hash is that of its id, source, text (where there is one) and size, so rows of one doc_id, or of none, are dealt out too, and
+columns that only pass through change no slot; they order rows that are equal otherwise.
 
 Defined cases: a null source is the source ''; a null or empty text counts one character; a null doc_id is like any
 other; repeated rows are kept and follow each other; weights for sources that don't occur are ignored, sources without a
@@ -76,6 +77,7 @@ def mix_sources(
     part_rows: int = PART_ROWS,
     id_col: str = "doc_id",
     source_col: str = "source",
+    text_col: str = "text",
     size=None,
 ) -> DataFrame:
     """All rows and columns of ``docs``, plus ``__block``, ``__slot`` and ``__start`` (characters before it in its source).
@@ -84,10 +86,13 @@ def mix_sources(
     """
     spark = docs.sparkSession
     own = free_prefix([*docs.columns, "__block"])
-    src, key, chars, part, k, at, quota, inside, offset = (own + c for c in ("source", "hash", "size", "part", "k", "at", "quota", "inside", "offset"))
+    src, key, chars, tie, part, k, at, quota, inside, offset = (own + c for c in ("source", "hash", "size", "tie", "part", "k", "at", "quota", "inside", "offset"))
     identity, source = pick((id_col, "id"), (source_col, "source"))
     whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
-    rows = docs.withColumns({src: F.coalesce(source.cast("string"), F.lit("")), key: whole, chars: F.greatest(F.coalesce(size if size is not None else F.length("text"), F.lit(1)), F.lit(1)).cast("long")})
+    texts = pick((text_col, "text")) if text_col in docs.columns else []
+    length = size if size is not None else F.length(*texts)
+    rows = docs.withColumns({src: F.coalesce(source.cast("string"), F.lit("")), chars: F.greatest(F.coalesce(length, F.lit(1)), F.lit(1)).cast("long"), tie: whole})
+    rows = rows.withColumn(key, F.xxhash64(identity, src, chars, *texts))
     per_source = rows.groupBy(src).agg(F.sum(chars).alias("size"), F.count("*").alias("n")).collect()  # a row a source
     sizes = {r[src]: r["size"] for r in per_source}
     parts = max(1, math.ceil(sum(r["n"] for r in per_source) / part_rows))
@@ -101,7 +106,7 @@ def mix_sources(
     before = W.partitionBy(src).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     offsets = rows.groupBy(src, part).agg(F.sum(chars).alias("sum"))
     offsets = offsets.select(src, part, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias(offset))
-    within = W.partitionBy(src, part).orderBy(key, identity, chars).rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy(src, part).orderBy(key, identity, chars, tie).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn(inside, F.coalesce(F.sum(chars).over(within), F.lit(0))).join(offsets, [src, part])
     rows = rows.withColumn("__start", F.col(offset) + F.col(inside)).withColumn("__block", F.floor(F.col("__start") / block_chars))
     rows = rows.join(F.broadcast(plan.select(src, quota).distinct()), src).withColumn(k, F.col("__block") % F.col(quota))
