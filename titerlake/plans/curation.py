@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from titerlake.operators import matching, merging
+from titerlake.functions import passages
+from titerlake.operators import grounding, matching, merging, snapshots
 from titerlake.plans import sql
 from titerlake.plans.registry import query
+from titerlake.sources import references
 from titerlake.sources.adapters import catalogued_sources, evidence_sources, observations, table
+from titerlake.streaming import rescoring
 
 # Stored files, cities, parents
 
@@ -169,3 +172,137 @@ def import_preview(spark, sf):
     known = sources.where(i % 3 == 0).select("title", doi.alias("doi"), F.lit(None).cast("string").alias("pmid"))
     found = sources.select(F.when(i % 11 == 0, "").otherwise(F.col("title")).alias("title"), F.when(i % 4 == 0, doi).alias("doi"), F.lit("").alias("pmid"))
     return merging.import_preview(known, found)
+
+
+# Chunks, places, marks
+
+_SIZE, _SLACK = 1500, 300
+_ENDS = ", ".join(
+    f"CASE WHEN strpos(reverse(part), {m}) > 0 THEN lo + length(part) - strpos(reverse(part), {m}) + 1 END" for m in ("chr(10) || chr(10)", "chr(10)", "'。'", "'；'", "' .'", "' ;'")
+)
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+c(doc_id, text, n, a, e) AS (SELECT doc_id, text, n, 0::BIGINT, 0::BIGINT FROM d UNION ALL SELECT doc_id, text, n, e,
+ CASE WHEN full_ >= n THEN n ELSE coalesce({_ENDS}, full_) END
+ FROM (SELECT *, least(e + {_SIZE}, n) AS full_, e + {_SIZE - _SLACK} AS lo, substr(text, e + {_SIZE - _SLACK} + 1, greatest(least(e + {_SIZE}, n) - (e + {_SIZE - _SLACK}), 0)) AS part FROM c WHERE e < n))
+SELECT doc_id, a::INT AS "start", e::INT AS "end", md5(substr(text, a + 1, e - a)) AS chunk_md5 FROM c WHERE e > 0 AND (regexp_matches(substr(text, a + 1, e - a), '[^\\s\\p{{Z}}]') OR n <= {_SIZE})"""
+)
+def text_chunks(spark, sf):
+    docs = table(spark, sf, "documents").where(F.col("text").isNotNull())
+    spans = docs.select("doc_id", "text", F.explode(passages.chunk_spans(F.col("text"), _SIZE, _SLACK)).alias("s")).where("s.end > 0")
+    return spans.select("doc_id", "s.start", "s.end", F.md5(F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("chunk_md5"))
+
+
+@query()
+def table_chunks(spark, sf):
+    """Chunks of texts with a table put into them; no chunk ends inside one."""
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 30 + 2).cast("int")), lambda i: F.concat(F.lit("| row "), i.cast("string"), F.lit(" | "), F.col("source"), F.lit(" |\n"))), "")
+    mixed = F.concat(F.substr("text", F.lit(1), F.lit(1300)), F.lit("\n"), rows, F.substr("text", F.lit(1301), F.length("text")))
+    docs = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", mixed.alias("text"))
+    cut = docs.select("doc_id", "text", passages.table_spans(F.col("text")).alias("tables"), passages.chunk_spans(F.col("text"), _SIZE, _SLACK).alias("chunks"))
+    inside = lambda s: F.exists("tables", lambda t: (t["start"] < s["end"]) & (s["end"] < t["end"]))
+    return cut.select("doc_id", F.size("tables").alias("n_tables"), F.size("chunks").alias("n_chunks"), F.size(F.filter("chunks", inside)).alias("n_cut"))
+
+
+_RAW = r"list_filter(list_zip(range(length(text)), string_split(text, '')), lambda x: NOT regexp_matches(x[2], '^[\s\p{Z}]$'))"
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id AS source_id, text, regexp_replace(text, '[\s\p{{Z}}]+', '', 'g') AS t, {_RAW} AS raw FROM documents WHERE length(text) >= 70),
+f AS (SELECT *, instr(t, substr(t, 21, 30)) - 1 AS a FROM s WHERE length(t) >= 50)
+SELECT source_id, raw[a + 1][1]::INT AS "start", raw[a + 30][1]::INT + 1 AS "end", md5(substr(text, raw[a + 1][1] + 1, raw[a + 30][1] - raw[a + 1][1] + 1)) AS passage_md5,
+ greatest(raw[a + 1][1] - 25, 0)::INT AS window_start, md5(substr(text, greatest(raw[a + 1][1] - 25, 0) + 1, least(raw[a + 30][1] + 1 + 25, length(text)) - greatest(raw[a + 1][1] - 25, 0))) AS window_md5 FROM f"""
+)
+def raw_passages(spark, sf):
+    """Where a passage without its white space stands in the raw text, and what stands around it."""
+    docs = evidence_sources(spark, sf).where(F.length("text") >= 70).select("source_id", "text", grounding.squeezed(F.col("text")).alias("t")).where(F.length("t") >= 50)
+    span = passages.raw_span(F.col("text"), grounding.located(F.col("t"), F.substr("t", F.lit(21), F.lit(30))))
+    rows = docs.select("source_id", "text", span.alias("s")).withColumn("w", passages.window(F.col("text"), F.col("s"), 25))
+    return rows.select("source_id", "s.start", "s.end", F.md5(F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("passage_md5"), F.col("w.start").alias("window_start"), F.md5("w.snippet").alias("window_md5"))
+
+
+_SAFE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+def _mark(id_: str, level: str, border: str, part: str) -> str:
+    return f"""'<mark id="hl-' || {id_} || '" data-confidence="{level}" style="border-style:{border}">' || {_SAFE.format(part)} || '</mark>'"""
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 40)
+SELECT doc_id, md5({_SAFE.format("substr(text, 1, 5)")} || {_mark("doc_id", "high", "solid", "substr(text, 6, 15)")} || {_mark("(doc_id + 1)", "medium", "dashed", "substr(text, 21, 10)")} || {_SAFE.format("substr(text, 31)")}) AS html_md5 FROM d"""
+)
+def marked_texts(spark, sf):
+    """Texts with a mark, one that it overlaps, one inside it, and one beyond the text's end."""
+    docs = table(spark, sf, "documents").where(F.length("text") >= 40)
+
+    def mark(start, end, id_, level, grounded):
+        return F.struct(F.lit(start).alias("start"), F.lit(end).alias("end"), id_.alias("id"), F.lit(level).cast("string").alias("confidence"), F.lit(grounded).alias("grounded"))
+
+    i = F.col("doc_id")
+    marks = F.array(mark(10, 30, i + 1, None, False), mark(5, 20, i, "HIGH", True), mark(7, 12, i + 2, "low", True), mark(10_000_000, 10_000_009, i + 3, "low", True))
+    return docs.select("doc_id", F.md5(passages.marked(F.col("text"), marks)).alias("html_md5"))
+
+
+# Snapshots, scores, bibliographies
+
+_ORDER = ("fact_id", "disease", "value", "sample_size", "age_min", "age_max", "population")
+
+
+@query(
+    f"""{sql.CATALOGUED}, f AS (SELECT *, row_number() OVER (ORDER BY {", ".join(_ORDER)}) AS n FROM obs WHERE review_status = 'approved' AND estimate_type = 'primary')
+SELECT 'dp_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS dp_id, disease, province, data_type, round(value, 6) AS value, s.title AS literature_title, s.pub_year AS literature_year
+FROM f LEFT JOIN sources s USING (source_id) WHERE n <= 50000"""
+)
+def dataset_snapshot(spark, sf):
+    rows = snapshots.snapshot_facts(observations(spark, sf), evidence_sources(spark, sf), order=_ORDER)
+    return rows.select("dp_id", "disease", "province", "data_type", F.round("value", 6).alias("value"), "literature_title", "literature_year")
+
+
+@query(
+    f"""{sql.OBS}, r AS (SELECT substr(sha256(fact_id::VARCHAR), 1, 3) AS part, fact_id::VARCHAR AS id, sha256(fact_id || ',' || review_status || ',' || round(value, 6)::DECIMAL(38, 6)) AS d FROM obs),
+p AS (SELECT part, sha256(string_agg(d, '' ORDER BY id, d)) AS d, count(*) AS n FROM r GROUP BY part)
+SELECT sum(n)::BIGINT AS n, substr(sha256(string_agg(part || d, '' ORDER BY part)), 1, 16) AS data_hash FROM p"""
+)
+def data_hash(spark, sf):
+    return snapshots.data_hash(observations(spark, sf))
+
+
+@query(
+    f"""{sql.OBS} SELECT DISTINCT fact_id FROM (SELECT DISTINCT fact_id, review_seconds, collection_year FROM obs WHERE review_status = 'approved' AND fact_id % 3 <> 0 ORDER BY review_seconds NULLS FIRST, fact_id, collection_year LIMIT 500)"""
+)
+def scores_waiting(spark, sf):
+    """The first batch to score: approved facts without a score, those reviewed fastest first."""
+    rows = observations(spark, sf).where("review_status = 'approved'").select("fact_id", "review_seconds", "collection_year", "review_status").distinct()
+    rows = rows.select("fact_id", "review_status", "collection_year", F.when(F.col("fact_id") % 3 == 0, 50).alias("quality_score"), F.col("review_seconds").alias("updated_at"))
+    return rescoring.waiting_for_score(rows).select("fact_id").distinct()
+
+
+def _bibliographies(spark, sf):
+    """A file of two equal records for every source, in one of five formats."""
+    docs = evidence_sources(spark, sf)
+    title, year, kind = F.trim(F.regexp_replace("title", r"[^A-Za-z ]", "")), F.col("pub_year").cast("string"), F.col("source_id") % 5
+
+    def lines(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    who = F.col("authors")
+    ris = lines("TY  - JOUR\nTI  - ", title, "\n  and more\nAU  - ", who, "\nAU  - Second, B\nPY  - ", year, "/01\nER  - \n")
+    enw = lines("%0 Journal Article\n%T ", title, "\nand more\n%A ", who, "\n%A Second, B\n%D ", year, "\n")
+    wos = lines("PT J\nAU ", who, "\n   Second, B\nTI ", title, "\n   and more\nPY ", year, "\nER\n")
+    pubmed = lines("PMID- 5\nTI  - ", title, "\n      and more\nFAU - ", who, "\nFAU - Second, B\nDP  - ", year, " Mar\n")
+    duxiu = lines("1. [x]\n题 名：", title, " and more\n作 者：", who, "; Second, B\n出 处：J; ", year, ", 2\n")
+    text = F.when(kind == 0, ris).when(kind == 1, enw).when(kind == 2, wos).when(kind == 3, pubmed).otherwise(duxiu)
+    return docs.where(F.length(title) > 0).select(F.col("source_id").cast("string").alias("file"), F.concat(text, text).alias("text"))
+
+
+@query(
+    rf"""{sql.SOURCES}, t AS (SELECT source_id, authors, pub_year, trim(regexp_replace(title, '[^A-Za-z ]', '', 'g')) AS t FROM sources)
+SELECT source_id::VARCHAR AS file, 2 AS n, CASE WHEN source_id % 5 = 4 THEN regexp_replace(t, '\s+', ' ', 'g') ELSE t END || ' and more' AS title, authors || '; Second, B' AS authors, pub_year::VARCHAR AS year,
+ ['ris', 'enw', 'wos', 'pubmed_ris', 'duxiu'][source_id % 5 + 1] AS format FROM t WHERE t <> ''"""
+)
+def bibliography_files(spark, sf):
+    found = references.parse_references(_bibliographies(spark, sf))
+    return found.groupBy("file", "format", "title", "authors", "year").agg(F.count("*").alias("n"))
