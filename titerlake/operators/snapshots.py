@@ -38,8 +38,8 @@ def numbered(frame: DataFrame, order: list[Column], name: str, partitions: int |
 
 
 def canonical(value: Column, kind: str = "double") -> Column:
-    """A value as a text that is the same wherever it is written: six decimals for numbers, 1 or 0 for truth, ``null``."""
-    text = value.cast("decimal(38,6)").cast("string") if kind in ("double", "float") else F.when(value, "1").otherwise("0") if kind == "boolean" else value.cast("string")
+    """A value as a text that is the same wherever it is written: whole millionths for doubles, 1 or 0 for truth, ``null``."""
+    text = F.floor(value * 1e6 + 0.5).cast("string") if kind in ("double", "float") else F.when(value, "1").otherwise("0") if kind == "boolean" else value.cast("string")
     return F.when(value.isNull(), "null").otherwise(text)
 
 

@@ -262,7 +262,7 @@ def dataset_snapshot(spark, sf):
 
 
 @query(
-    f"""{sql.OBS}, r AS (SELECT substr(sha256(fact_id::VARCHAR), 1, 3) AS part, fact_id::VARCHAR AS id, sha256(fact_id || ',' || review_status || ',' || round(value, 6)::DECIMAL(38, 6)) AS d FROM obs),
+    f"""{sql.OBS}, r AS (SELECT substr(sha256(fact_id::VARCHAR), 1, 3) AS part, fact_id::VARCHAR AS id, sha256(fact_id || ',' || review_status || ',' || floor(value * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT) AS d FROM obs),
 p AS (SELECT part, sha256(string_agg(d, '' ORDER BY id, d)) AS d, count(*) AS n FROM r GROUP BY part)
 SELECT sum(n)::BIGINT AS n, substr(sha256(string_agg(part || d, '' ORDER BY part)), 1, 16) AS data_hash FROM p"""
 )
