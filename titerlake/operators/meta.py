@@ -9,26 +9,32 @@ from titerlake.functions import stats
 from titerlake.functions.distributions import t_p_value
 
 
+def _counted(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """Distinct values of each group and how many rows have them, as ``m``. What follows reads this small exchange, not the rows again."""
+    return rows.groupBy(*keys, *values).agg(F.count("*").cast("double").alias("m"))
+
+
 def ft_meta(studies: DataFrame, keys: list[str]) -> DataFrame:
     """Double-arcsine meta-analysis of ``x`` positives among ``n``: fixed, or random effects where studies differ.
 
-    All of Q, tau and both pools follow from sums of powers of weights, so a random pool needs one more pass: the
-    weights with tau are summed after joining tau back.
+    Q, tau and the fixed pool follow from sums of powers of weights; the random pool needs one more pass, over the
+    counted studies with tau joined back. Q is summed from values centred at the group's mean.
     """
     w, t = F.col("n") + 0.5, stats.ft_transform(F.col("x"), F.col("n"))
-    rows = studies.where(F.col("n") > 0).withColumns({"w": w, "t": t})
-    first = rows.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww"), F.sum(F.col("w") * F.col("t")).alias("swt"), (F.count("*") / F.sum(1 / F.col("n"))).alias("nh"))
-    first = first.withColumn("fixed", F.col("swt") / F.col("sw"))
-    both = rows.join(first.select(*keys, "fixed"), keys)
-    q = both.groupBy(*keys).agg(F.sum(F.col("w") * F.pow(F.col("t") - F.col("fixed"), 2)).alias("q"))
+    rows = _counted(studies.where(F.col("n") > 0), keys, "x", "n").withColumns({"w": w, "t": t})
+    m, w, t = F.col("m"), F.col("w"), F.col("t")
+    first = rows.groupBy(*keys).agg(F.sum(m).cast("long").alias("k"), F.sum(m * w).alias("sw"), F.sum(m * w * w).alias("sww"), F.sum(m * w * t).alias("swt"), F.sum(m * w * t * t).alias("swtt"), (F.sum(m) / F.sum(m / F.col("n"))).alias("nh"))
+    first = first.withColumn("fixed", F.col("swt") / F.col("sw")).withColumn("q", F.greatest(F.col("swtt") - F.col("swt") * F.col("fixed"), F.lit(0.0)))
     df = F.col("k") - 1
-    first = first.join(q, keys).withColumns({
+    first = first.withColumns({
         "i2": F.when(F.col("q") > df, (F.col("q") - df) / F.col("q") * 100).otherwise(0.0),
         "tau2": F.greatest(F.coalesce(F.try_divide(F.col("q") - df, F.col("sw") - F.col("sww") / F.col("sw")), F.lit(0.0)), F.lit(0.0)),
     })
-    random = rows.join(first.select(*keys, "tau2"), keys).withColumn("rw", 1 / (1 / F.col("w") + F.col("tau2")))
-    random = random.groupBy(*keys).agg(F.sum("rw").alias("srw"), F.sum(F.col("rw") * F.col("t")).alias("srwt"))
-    pooled = first.join(random, keys)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    random = rows.alias("r").join(first.select(*keys, "tau2").alias("f"), same).select(*[F.col(f"r.{k}").alias(k) for k in keys], "m", "t", (1 / (1 / F.col("w") + F.col("tau2"))).alias("rw"))
+    random = random.groupBy(*keys).agg(F.sum(F.col("m") * F.col("rw")).alias("srw"), F.sum(F.col("m") * F.col("rw") * F.col("t")).alias("srwt"))
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    pooled = first.alias("f").join(random.alias("r"), same).select("f.*", "srw", "srwt")
     apart = (F.col("k") > 1) & ((F.col("i2") > 50) | (F.col("q") > stats.chi2_90(F.greatest(df, F.lit(1)).cast("double"))))
     mean, se = F.when(apart, F.col("srwt") / F.col("srw")).otherwise(F.col("fixed")), F.when(apart, 1 / F.sqrt("srw")).otherwise(1 / F.sqrt("sw"))
 
@@ -56,9 +62,11 @@ def inverse_variance(studies: DataFrame, keys: list[str]) -> DataFrame:
     edge = F.col("p").isin(0.0, 1.0)
     p2 = F.when(edge, (F.col("p") * F.col("n") + 0.5) / (F.col("n") + 1)).otherwise(F.col("p"))
     var = p2 * (1 - p2) / F.when(edge, F.col("n") + 1).otherwise(F.col("n"))
-    rows = studies.where((F.col("n") > 0) & F.col("p").isNotNull()).withColumn("v", var).where(F.col("v") > 0).withColumn("w", 1 / F.col("v"))
+    counted = _counted(studies.where((F.col("n") > 0) & F.col("p").isNotNull()), keys, "p", "n")
+    rows = counted.withColumn("v", var).where(F.col("v") > 0).withColumn("w", 1 / F.col("v"))
+    m = F.col("m")
     first = rows.groupBy(*keys).agg(
-        F.count("*").alias("k"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww"), F.sum(F.col("w") * F.col("p")).alias("swp"), F.sum(F.col("w") * F.col("p") * F.col("p")).alias("swpp")
+        F.sum(m).cast("long").alias("k"), F.sum(m * F.col("w")).alias("sw"), F.sum(m * F.col("w") * F.col("w")).alias("sww"), F.sum(m * F.col("w") * F.col("p")).alias("swp"), F.sum(m * F.col("w") * F.col("p") * F.col("p")).alias("swpp")
     )
     q, df = F.greatest(F.col("swpp") - F.col("swp") * F.col("swp") / F.col("sw"), F.lit(0.0)), F.col("k") - 1
     first = first.withColumn("q", q).withColumns({
@@ -66,7 +74,7 @@ def inverse_variance(studies: DataFrame, keys: list[str]) -> DataFrame:
         "tau2": F.greatest(F.coalesce(F.try_divide(F.col("q") - df, F.col("sw") - F.col("sww") / F.col("sw")), F.lit(0.0)), F.lit(0.0)),
     })
     random = rows.join(first.select(*keys, "tau2"), keys).withColumn("rw", 1 / (F.col("v") + F.col("tau2")))
-    random = random.groupBy(*keys).agg((F.sum(F.col("rw") * F.col("p")) / F.sum("rw")).alias("random"))
+    random = random.groupBy(*keys).agg((F.sum(m * F.col("rw") * F.col("p")) / F.sum(m * F.col("rw"))).alias("random"))
     label = F.when(F.col("i2") < 25, "low").when(F.col("i2") < 50, "moderate").otherwise("high")
     return first.join(random, keys).select(
         *keys, "k", F.round(F.col("swp") / F.col("sw"), 6).alias("fixed"), F.round("random", 6).alias("random"), F.round("q", 4).alias("q"), F.round("i2", 2).alias("i2"), F.round("tau2", 6).alias("tau2"), label.alias("heterogeneity")

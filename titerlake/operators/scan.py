@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titerlake.functions.parsing import alias_by_longest
+
 
 def provinces_match(wanted: str) -> Column:
     """One name matches as a part, several (comma-separated) as a whole."""
@@ -25,8 +27,14 @@ def base_scan(
     include_subgroups: bool = False,
     grades: tuple[str, ...] | None = ("A", "B"),
     population: str | None = None,
+    aliases: dict[str, str] | None = None,
+    gender: str | None = None,
 ) -> DataFrame:
-    """The shared predicates; a bound of None or 0 is no filter, ages must lie within the bounds."""
+    """The shared predicates; a bound of None or 0 is no filter, ages must lie within the bounds.
+
+    With ``aliases`` the wanted disease and the rows' are compared by their standard names. ``gender`` is looked for in the
+    description of the people.
+    """
     tests = []
     if review_status:
         tests.append(F.col("review_status") == review_status)
@@ -35,7 +43,8 @@ def base_scan(
     if grades:
         tests.append(F.col("quality_grade").isin(*grades))
     if disease:
-        tests.append(F.col("disease") == disease)
+        same = (lambda name: alias_by_longest(name, aliases)) if aliases else (lambda name: name)
+        tests.append(same(F.col("disease")) == same(F.lit(disease)))
     if province:
         tests.append(provinces_match(province))
     for bound, column, up in ((years[0], "collection_year", False), (years[1], "collection_year", True), (ages[0], "age_min", False), (ages[1], "age_max", True)):
@@ -45,6 +54,8 @@ def base_scan(
         tests.append(F.col("data_type") == data_type)
     if population:
         tests.append(reduce(lambda a, b: a | b, [F.col("population").ilike(f"%{p.strip()}%") for p in population.split(",")]))
+    if gender:
+        tests.append(F.col("population").ilike(f"%{gender}%"))
     return obs.where(reduce(lambda a, b: a & b, tests)) if tests else obs
 
 
