@@ -55,8 +55,8 @@ ORDERS = 3
 BITS = 21
 WIDTH = 1 << BITS
 PIECE = 1 << 16
-#: Tokens that a task holds before it counts them.
-HELD = 1 << 21
+#: Tokens that a task holds before it counts them, and bytes of text that it hashes at once (one longer text is hashed by itself).
+HELD, HASHED = 1 << 19, 1 << 19
 #: The ties' prefixes have a token more for every so many of the set, and linked sets share as many more.
 MORE = 32
 #: Holders of a prefix token up to which its pairs are formed; beyond, they are tied to the least one of a size class.
@@ -129,7 +129,7 @@ def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held = np.zeros(WIDTH, np.int64), []
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=HASHED):
                 high, low = [], []
                 flat, offsets = shingle_sets(batch.column("text"), k)
                 sizes = np.diff(offsets)
@@ -171,7 +171,7 @@ def _prefix_rows(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=HASHED):
                 flat, offsets = shingle_sets(batch.column("text"), k)
                 tokens = pa.array([x.view(np.int64) for x in prefixes_of(flat, offsets, 0, levels, percent, MORE)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), pa.array(np.diff(offsets), pa.int32()), tokens], names=["doc_id", "n", "tokens"])
@@ -331,7 +331,7 @@ def _packed_sets(k: int, filter_):
         for whole in batches:
             spots = whole.column("spots").flatten().to_numpy().reshape(-1, FILTER_HASHES)
             pass_ = ((words[spots >> 6] >> (spots & 63)) & 1).all(axis=1)
-            for batch in slices(whole.filter(pa.array(pass_)).drop_columns(["spots"])):
+            for batch in slices(whole.filter(pa.array(pass_)).drop_columns(["spots"]), limit=HASHED):
                 flat, offsets = shingle_sets(batch.column("text"), k)
                 raw = flat.tobytes()
                 packed = [raw[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
