@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from titerlake.llm.scratch import Scratch
 
 MOST_ROUNDS = 60
+#: Edges of a file of a step, and files of a step at least: small graphs aren't written as very many tiny files.
+FILE_EDGES, LEAST_FILES = 200_000, 12
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,8 +43,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not before[0]:
             break
-        middle = scratch.save(_star(now, large=True), "large")
-        after = scratch.save(_star(middle, large=False), "small")
+        files = max(LEAST_FILES, -(-before[0] // FILE_EDGES))  # coalesce never makes more than there are
+        middle = scratch.save(_star(now, large=True).coalesce(files), "large")
+        after = scratch.save(_star(middle, large=False).coalesce(files), "small")
         for frame in (now, middle):
             scratch.drop(frame)
         now, last = after, before
