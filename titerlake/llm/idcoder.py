@@ -20,10 +20,10 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 1 << 20, 2048
+BLOCK, LANES = 1 << 20, 8192
 #: A lane codes at least so many ids, or there are fewer lanes.
 LEAST_RUN = 64
-MAGIC = b"TLCM3\0"
+MAGIC = b"TLCM4\0"
 #: Of a block: ids, lanes, bytes of the id list, bytes of the lanes' lengths, bytes of code, CRC-32 of the ids.
 _HEAD = struct.Struct("<IIIIII")
 _WEIGHT_BITS, _SLOT_BITS, _TOP_CONFIDENCE = 12, 20, 7
