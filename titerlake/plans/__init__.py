@@ -1,3 +1,3 @@
 """Named queries over the driver's tables."""
 
-from titerlake.plans import catalog, curation, inference, passages, summaries  # noqa: F401
+from titerlake.plans import actions, catalog, curation, inference, passages, summaries  # noqa: F401
