@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,17 @@ def test_distributions():
     assert distributions.clopper_pearson(5, 10) == pytest.approx((0.1870860, 0.8129140), abs=1e-6)
 
 
+def test_exact_intervals_of_a_batch_are_bisected_together(monkeypatch):
+    x, n = ([float(v) for v in column] for column in zip(*[(x, n) for n in (5, 12, 29) for x in range(n + 1)] * 40, strict=True))
+    calls, beta = [], distributions.incomplete_beta
+    monkeypatch.setattr(distributions, "incomplete_beta", lambda *a: calls.append(1) or beta(*a))
+    bounds = distributions.exact_interval.func(pd.Series([*x, None, 3.0]), pd.Series([*n, 4.0, 2.0]))
+    assert len(calls) < 500  # one row by itself took 400
+    for i in (0, 3, 20, 40):
+        assert tuple(bounds.iloc[i]) == pytest.approx(distributions.clopper_pearson(x[i], n[i]), abs=1e-12)
+    assert bounds.iloc[-2:].isna().all(axis=None)
+
+
 def test_column_statistics(spark):
     row = spark.createDataFrame([(0.5, 100.0, 3.0)], "p double, n double, z double").select(
         *[c.alias(n) for n, c in zip(("low", "high"), stats.wilson(F.col("p"), F.col("n")), strict=True)], stats.erf(F.lit(0.5)).alias("erf"), stats.normal_cdf(F.lit(1.96)).alias("cdf")

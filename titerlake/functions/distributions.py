@@ -58,11 +58,29 @@ def _bisect(f, low: float, high: float) -> float:
 T_CRITICAL = {df: round(_bisect(lambda t, df=df: float(t_two_sided(t, df)) - 0.05, 0, 50), 3) for df in range(1, 31)}
 
 
+def _clopper_pearson_all(x: np.ndarray, n: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """The exact interval of each pair of arrays, all bisected at once until no bound moves."""
+
+    def halved(above) -> np.ndarray:
+        low, high = np.zeros(len(x)), np.ones(len(x))
+        for _ in range(200):
+            mid = (low + high) / 2
+            if np.all((mid == low) | (mid == high)):
+                break
+            up = above(mid)
+            low, high = np.where(up, mid, low), np.where(up, high, mid)
+        return (low + high) / 2
+
+    some, rest = np.where(x > 0, x, 1.0), np.where(x < n, n - x, 1.0)
+    low = halved(lambda p: incomplete_beta(some, n - some + 1, p) < alpha / 2)
+    high = halved(lambda p: 1 - incomplete_beta(x + 1, rest, p) > alpha / 2)
+    return np.where(x <= 0, 0.0, low), np.where(x >= n, 1.0, high)
+
+
 def clopper_pearson(x: float, n: float, alpha: float = 0.05) -> tuple[float, float]:
     """The exact binomial interval."""
-    low = 0.0 if x <= 0 else _bisect(lambda p: alpha / 2 - float(incomplete_beta(x, n - x + 1, p)), 0, 1)
-    high = 1.0 if x >= n else _bisect(lambda p: float(1 - incomplete_beta(x + 1, n - x, p)) - alpha / 2, 0, 1)
-    return low, high
+    low, high = _clopper_pearson_all(np.array([float(x)]), np.array([float(n)]), alpha)
+    return float(low[0]), float(high[0])
 
 
 @pandas_udf(DoubleType())
@@ -72,6 +90,11 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
 
 @pandas_udf(StructType([StructField("lower", DoubleType()), StructField("upper", DoubleType())]))
 def exact_interval(x: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Clopper-Pearson bounds of ``x`` among ``n``; null for none of them."""
-    rows = [clopper_pearson(a, b) if b and b > 0 and 0 <= a <= b else (None, None) for a, b in zip(x, n, strict=True)]
-    return pd.DataFrame(rows, columns=["lower", "upper"])
+    """Clopper-Pearson bounds of ``x`` among ``n``; null for none of them. Equal pairs of a batch are computed once."""
+    pairs = np.column_stack([x.to_numpy(float), n.to_numpy(float)])
+    known = (pairs[:, 1] > 0) & (pairs[:, 0] >= 0) & (pairs[:, 0] <= pairs[:, 1])
+    bounds = np.full(pairs.shape, np.nan)
+    if known.any():
+        each, place = np.unique(pairs[known], axis=0, return_inverse=True)
+        bounds[known] = np.column_stack(_clopper_pearson_all(each[:, 0], each[:, 1], 0.05))[place.ravel()]
+    return pd.DataFrame(bounds, columns=["lower", "upper"])
