@@ -4,8 +4,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from titerlake.operators import matching, merging
+from titerlake.operators import linkage, matching, merging
+from titerlake.sources.adapters import evidence_sources
 from titerlake.sources.shared import shared_folder
 
 
@@ -164,3 +166,28 @@ def test_best_title_match_prefers_the_most_alike_then_the_first(spark):
     names = spark.createDataFrame([("f", "Measles immunity in the north of the country"), ("g", "measles immunity north of a country"), ("h", "quite other words"), ("i", None)], "name string, title string")
     got = {r["name"]: (r["source_id"], r["similarity"]) for r in merging.best_title_match(names, sources).collect()}
     assert got == {"f": (3, 1.0), "g": (2, 0.75)}
+
+
+def test_alike_sets_share_a_signature_and_others_rarely_do(spark):
+    rng = random.Random(5)
+    sets = [frozenset(rng.sample(range(40), rng.choice((1, 2, 3, 5, 8, 12)))) for _ in range(150)]
+    for s in list(sets):
+        sets.append(frozenset(list(s)[: -1 if rng.random() < 0.5 else None]) | ({rng.randrange(40)} if rng.random() < 0.6 else set()))
+    sets += [frozenset(range(100, 150)), frozenset(range(100, 160)), frozenset(range(300)), frozenset(range(250)), frozenset([1, 2, 50, 51]), frozenset([1, 2, 60, 61])]
+    sets = [s for s in sets if s]
+    for least in (0.7, 0.5):
+        frame = spark.createDataFrame([(i, [f"{x:03d}" for x in sorted(s)]) for i, s in enumerate(sets)], "i int, o array<string>")
+        own = {r["i"]: set(r["s"]) for r in frame.select("i", linkage.signatures(F.col("o"), least).alias("s")).collect()}
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                assert len(a & b) / len(a | b) < least or own[i] & own[j], (a, b)
+    few = spark.createDataFrame([(["a", "b", *(f"{i}-{k}" for k in range(6))],) for i in range(30)], "o array<string>").select(F.explode(linkage.signatures(F.col("o"), 0.7)).alias("s"))
+    assert few.groupBy("s").count().where("count > 1").count() == 0  # two words in common bring no titles together
+
+
+def test_title_is_the_opening_of_the_text(spark, tmp_path):
+    texts = ["a b", " a  b\tc\nd e f g h i", "a b c d e f g ", "a b c d e f g  h", "", "  ", "x" * 3000, None, "a b c d e f g h ", " a 　b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source", "'l' AS lang", "0L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    rows = evidence_sources(spark, str(tmp_path)).select("title", F.array_join(F.slice(words, 1, 8), " ").alias("want")).collect()
+    assert len(rows) == len(texts) and all(r["title"] == r["want"] for r in rows)

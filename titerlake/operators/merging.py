@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titerlake.functions.wording import normal_title
+from titerlake.operators import linkage
 from titerlake.sources.shared import Tables
 
 #: How a field of the merged source comes about, and what becomes of facts that state the same (fixed values).
@@ -259,7 +260,7 @@ def import_preview(known: DataFrame, found: DataFrame) -> DataFrame:
 def best_title_match(titles: DataFrame, sources: DataFrame, least: float = 0.7) -> DataFrame:
     """``name, source_id, similarity``: of the sources whose title tokens are alike by ``least`` or more, the most alike one, and of equals the first.
 
-    Titles meet by the first tokens of their rarest-first order, as in ``title_pairs``, never all with all.
+    Titles meet by the signatures of their rarest-first order, as in ``title_pairs``, never all with all.
     """
     def tokens(frame: DataFrame, key: str) -> DataFrame:
         t = F.array_sort(F.array_distinct(F.filter(F.split(normal_title(F.col("title")), " "), lambda x: x != "")))
@@ -269,13 +270,10 @@ def best_title_match(titles: DataFrame, sources: DataFrame, least: float = 0.7)
     classes = b.groupBy("tokens").agg(F.min("source_id").alias("source_id"))  # of equal titles only the first can win
     counted = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
-    def prefix(frame: DataFrame, key: str) -> DataFrame:
-        each = frame.select(key, "tokens", F.explode("tokens").alias("token")).join(counted, "token", "left")
-        ordered = each.groupBy(key, "tokens").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("o"))
-        keep = F.size("o") - F.ceil(F.lit(least) * F.size("o")).cast("int") + 1
-        return ordered.select(F.col(key), F.col("tokens").alias(f"_{key}"), F.explode(F.transform(F.slice("o", 1, keep), lambda x: x["token"])).alias("token"))
+    def signed(frame: DataFrame, key: str) -> DataFrame:
+        ordered = linkage.rarest_first(frame.select(key, "tokens"), counted)
+        return ordered.select(key, F.col("tokens").alias(f"_{key}"), F.explode(linkage.signatures(F.col("ordered"), least)).alias("signature"))
 
-    found = prefix(a, "name").join(prefix(classes, "source_id"), "token").select("name", "source_id", "_name", "_source_id").distinct()
-    score = F.size(F.array_intersect("_name", "_source_id")) / F.size(F.array_union("_name", "_source_id"))
-    best = found.withColumn("s", score).where(F.col("s") >= least).groupBy("name").agg(F.min(F.struct((-F.col("s")).alias("m"), "source_id")).alias("b"))
+    found = signed(a, "name").join(signed(classes, "source_id"), "signature").withColumn("s", linkage.likeness("_name", "_source_id")).where(F.col("s") >= least)
+    best = found.groupBy("name").agg(F.min(F.struct((-F.col("s")).alias("m"), "source_id")).alias("b"))
     return best.select("name", F.col("b.source_id").alias("source_id"), F.round(-F.col("b.m"), 4).alias("similarity"))
