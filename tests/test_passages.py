@@ -96,3 +96,17 @@ def test_text_parts(spark):
     assert each(spark, wording.reference_list, ["x\nReferences \n[1] A\n(2) B\n3. C\nD\n", "no list", "参考文献\n1) A", None]) == [["[1] A", "(2) B", "3. C"], [], ["1) A"], None]
     assert each(spark, lambda t: wording.focused(t, ["key"], 5, 2, 0), ["a\nKEY\nb\nkey", "a\nb", "x\ny\nz\nw"]) == ["KEY\nkey", "a\nb", "x\ny"]
     assert each(spark, lambda t: wording.listed_price(t, {"a-mini": (1.0, 2.0), "a": (3.0, 4.0)})["inward"], ["A-mini-2", "a-2", "b", None]) == [1.0, 3.0, None, None]
+
+
+def test_duplicate_components_compute_their_sources_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(title):
+        seen.add(1)
+        return title
+
+    rows = spark.createDataFrame([(i, f"one title of {i // 2}", "A, B") for i in range(40)], "source_id long, title string, authors string")
+    sources = rows.select("source_id", counted("title").alias("title"), "authors", F.lit("2020-01-01").cast("date").alias("created_at"), F.lit(None).cast("string").alias("file_hash"), F.lit("").alias("doi"))
+    assert duplicates.duplicate_components(sources).count() == 20
+    assert seen.value == 40

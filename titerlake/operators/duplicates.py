@@ -53,6 +53,7 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
 def duplicate_components(sources: DataFrame, least: float = 0.7) -> DataFrame:
     """``group_id`` (least id), its number of sources, all reasons, and the source created first, of each group of two or more."""
     tables = Tables(sources.sparkSession, "duplicates")
+    sources = tables.write(sources.select("source_id", "title", "authors", "created_at", "file_hash", "doi"))  # texts are read once
     edges = tables.write(links(sources, least))
     roots = components(edges, tables)
     reasons = edges.join(roots, F.col("a") == F.col("node")).groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
