@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from titerlake.functions import distributions, parsing, stats, wording
-from titerlake.plans.catalog import QUERIES
-from titerlake.sources import references
-from tests.compare import SF
+from titerlake.plans.catalog import ORACLE_SQL, QUERIES
+from titerlake.sources import adapters, references
+from tests.compare import SF, assert_same
 
 
 def each(spark, make, texts):
@@ -161,3 +161,12 @@ def test_extraction_checks_of_all_kinds(spark):
     got = rows.withColumn("i", stats.extraction_issues(F.col("v"), F.col("t"), F.col("place"), F.col("found"))).withColumn("c", stats.extraction_confidence(F.col("i")))
     for r in got.collect():
         assert (r["i"], r["c"]) == (r["issues"], r["confidence"])
+
+
+def test_fact_rows_are_dealt_out_by_the_size_of_their_files(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "TASK_BYTES", 1 << 15)
+    tasks = adapters.tasks_for(spark, SF, "lineitem")
+    assert tasks > 4  # the session's
+    frame = QUERIES["merge_conflicts"](spark, SF)
+    assert f", {tasks})" in frame._jdf.queryExecution().toString()
+    assert_same(frame, ORACLE_SQL["merge_conflicts"])
