@@ -170,3 +170,12 @@ def test_fact_rows_are_dealt_out_by_the_size_of_their_files(spark, monkeypatch):
     frame = QUERIES["merge_conflicts"](spark, SF)
     assert f", {tasks})" in frame._jdf.queryExecution().toString()
     assert_same(frame, ORACLE_SQL["merge_conflicts"])
+
+
+def test_facts_meet_verdicts_in_as_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "TASK_BYTES", 1 << 15)
+    frame = QUERIES["bulk_reviews"](spark, SF)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in plan.splitlines() if "hashpartitioning(fact_id" in line]
+    assert met and all(f", {adapters.tasks_for(spark, SF, 'lineitem')})" in line for line in met)
+    assert_same(frame, ORACLE_SQL["bulk_reviews"])

@@ -8,7 +8,7 @@ from titerlake.functions import stats, wording
 from titerlake.operators import records, reviews, scan, summary
 from titerlake.plans import sql
 from titerlake.plans.registry import query
-from titerlake.sources.adapters import evidence_sources, observations, table
+from titerlake.sources.adapters import evidence_sources, observations, table, tasks_for
 
 _AS_FILE = "CASE doc_id % 4 WHEN 0 THEN '2019_2020-03-01 - ' || t || ' (2).PDF' WHEN 1 THEN 'store\\' || t || '_副本' WHEN 2 THEN t || '麻疹_风疹_张三丰' ELSE t END"
 
@@ -86,7 +86,7 @@ SELECT CASE WHEN fact_id % 6 = 0 THEN 'approved' WHEN fact_id % 3 = 0 THEN 'reje
  CASE WHEN fact_id % 6 = 0 THEN 2 WHEN fact_id % 3 = 0 THEN 1 END::BIGINT AS reviewer_id, count(*) AS n FROM f GROUP BY ALL"""
 )
 def bulk_reviews(spark, sf):
-    return reviews.reviewed(*_verdicts(spark, sf)).groupBy("review_status", "review_comment", "reviewer_id").agg(F.count("*").alias("n"))
+    return reviews.reviewed(*_verdicts(spark, sf), tasks=tasks_for(spark, sf, "lineitem")).groupBy("review_status", "review_comment", "reviewer_id").agg(F.count("*").alias("n"))
 
 
 @query(
