@@ -1,5 +1,6 @@
 """Passages, copies and intervals against plain Python."""
 
+import random
 from itertools import combinations
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import SF
 from tests.test_values import each
-from titerlake.functions import wording
+from titerlake.functions import passages, wording
 from titerlake.operators import duplicates, grounding, spans
 from titerlake.plans.catalog import QUERIES
 from titerlake.sources.shared import Tables
@@ -110,3 +111,27 @@ def test_duplicate_components_compute_their_sources_once(spark):
     sources = rows.select("source_id", counted("title").alias("title"), "authors", F.lit("2020-01-01").cast("date").alias("created_at"), F.lit(None).cast("string").alias("file_hash"), F.lit("").alias("doi"))
     assert duplicates.duplicate_components(sources).count() == 20
     assert seen.value == 40
+
+
+def test_windows_are_measured_together(monkeypatch):
+    calls, slow = [], grounding.lcs_length
+    monkeypatch.setattr(grounding, "lcs_length", lambda a, b: calls.append(1) or slow(a, b))
+    rng = random.Random(8)
+    for n in (6, 20, 63, 64, 65):
+        for text in ("", "é", "".join(rng.choice("abc漢😀") for _ in range(300))):
+            part = "".join(rng.choice("abcd漢") for _ in range(n))
+            window, step = min(len(text), n + 20), max(1, n // 3)
+            starts = range(0, max(1, len(text) - window + 1), step)
+            before = len(calls)
+            assert grounding._covered(text, part, starts, window) == [slow(text[i : i + window], part) for i in starts]
+            assert n > 64 or len(calls) == before
+
+
+def test_raw_place_reads_an_opening_first(spark):
+    texts = ["a b  c", " 　x", "   ", "", "ab " * 200, " " * 300 + "abcdef", "a" + " " * 200 + "b"]
+    rows = spark.createDataFrame([(t, p) for t in texts for p in (-1, 0, 1, 2, 5, 130, 399, 400)], "t string, p int")
+    for r in rows.select("t", "p", passages.raw_place(F.col("t"), F.col("p")).alias("g")).collect():
+        solid = [i for i, c in enumerate(r["t"]) if not c.isspace()]
+        assert r["g"] == (solid[r["p"]] if 0 <= r["p"] < len(solid) else None), r
+    plan = rows.select(passages.raw_place(F.col("t"), F.col("p")).alias("g"))._jdf.queryExecution().toString()
+    assert "substring(t" in plan or "substr(t" in plan

@@ -5,6 +5,7 @@ Offsets count characters of the text without white space, start included, end ex
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,28 @@ def lcs_length(a: str, b: str) -> int:
     return len(b) - row.bit_count()
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _covered(text: str, part: str, starts: range, window: int) -> list[int]:
+    """``lcs_length`` of the part and each window of the text. A part of up to 64 characters takes one step for each place in the windows, for all windows at once."""
+    if len(part) > 64:
+        return [lcs_length(text[i : i + window], part) for i in starts]
+    wanted, spots = np.unique(_codes(part), return_inverse=True)
+    masks = np.zeros(len(wanted) + 1, np.uint64)  # the last one is of characters that the part lacks
+    for i, c in enumerate(spots):
+        masks[c] |= np.uint64(1 << i)
+    own = _codes(text)
+    at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+    own = masks[np.where(wanted[at] == own, at, len(wanted))] if len(own) else np.zeros(0, np.uint64)
+    row = np.full(len(starts), ~np.uint64(0))
+    for k in range(window):
+        hit = row & own[k :: starts.step][: len(starts)]
+        row = row + hit | row & ~hit
+    return (len(part) - np.bitwise_count(row & np.uint64((1 << len(part)) - 1)).astype(int)).tolist()
+
+
 def nearest_window(text: str | None, passage: str | None, least: float) -> tuple[int, int] | None:
     """The first window that covers most of the passage (its first 200 characters) as a subsequence, if ``least`` of it."""
     if text is None or passage is None or len(passage) < 6:
@@ -56,7 +79,7 @@ def nearest_window(text: str | None, passage: str | None, least: float) -> tuple
     part = passage[:200]
     window, step = min(len(text), len(part) + 20), max(1, len(part) // 3)
     starts = range(0, max(1, len(text) - window + 1), step)
-    covered = [lcs_length(text[i : i + window], part) for i in starts]
+    covered = _covered(text, part, starts, window)
     best = max(range(len(covered)), key=covered.__getitem__)
     return (starts[best], starts[best] + window) if covered[best] >= least * len(part) and covered[best] else None
 
