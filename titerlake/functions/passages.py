@@ -82,8 +82,10 @@ def chunk_spans(text: Column, size: int = 15000, slack: int = 500, tables: Colum
 
 
 def raw_place(text: Column, place: Column) -> Column:
-    """Where the character of a place in the text without white space stands in the text itself; null beyond its end."""
-    tokens = F.regexp_extract_all(text, F.lit(f"([{_BLANK}]*[^{_BLANK}]+)"), 1)
+    """Where the character of a place in the text without white space stands in the text itself; null beyond its end.
+
+    It is looked for in an opening of twice its place first, and in the whole text only if that has too few characters.
+    """
     zero = F.struct(F.lit(0).alias("raw"), F.lit(0).alias("solid"), F.lit(None).cast("int").alias("found"))
 
     def step(a: Column, token: Column) -> Column:
@@ -92,7 +94,12 @@ def raw_place(text: Column, place: Column) -> Column:
         here = F.when(a["found"].isNull() & (place < a["solid"] + own), a["raw"] + long - own + place - a["solid"])
         return F.struct((a["raw"] + long).alias("raw"), (a["solid"] + own).alias("solid"), F.coalesce(a["found"], here).cast("int").alias("found"))
 
-    return F.when(place >= 0, F.aggregate(tokens, zero, step)["found"])
+    def within(part: Column) -> Column:
+        tokens = F.regexp_extract_all(part, F.lit(f"([{_BLANK}]*[^{_BLANK}]+)"), 1)
+        return F.aggregate(tokens, zero, step)["found"]
+
+    opening = F.substr(text, F.lit(1), (2 * place + 64).cast("int"))
+    return F.when(place >= 0, F.coalesce(within(opening), F.when(F.length(text) > F.length(opening), within(text))))
 
 
 def raw_span(text: Column, span: Column) -> Column:
