@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from titerlake.functions import titles
 from titerlake.operators import records, reviews
+from titerlake.plans.catalog import QUERIES
+from tests.compare import SF
 
 
 def each(spark, function, values):
@@ -47,6 +49,11 @@ def test_a_record_gives_up_to_two_facts(spark):
     assert sorted((r["i"], r["data_type"], r["value"], r["unit"], r["collection_year"]) for r in made.collect()) == [(0, "gmc", 7.0, "IU", 2001), (0, "seroprevalence", 50.0, "%", 2001), (1, "gmc", 3.0, None, 2005)]
 
 
+def test_what_many_fields_of_a_record_come_from_is_computed_once(spark):
+    plan = QUERIES["record_facts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp") < 60
+
+
 def test_titer_tables_are_taken_whole_or_not_at_all(spark):
     shape = "table_id int, assay_type string, antigens array<string>, ref_antisera array<string>, titers array<array<string>>"
     rows = [

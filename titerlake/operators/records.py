@@ -57,16 +57,18 @@ def standard_records(records: DataFrame, diseases: dict[str, str] | None = None)
     bounds may come as the text of an interval; what is no number is null. An unknown estimate type is ``primary``.
     """
     r = F.col("record")
-    found = F.array_sort(F.filter(F.map_entries(r), lambda e: reduce(lambda a, b: a | b, [F.contains(F.lower(e["key"]), F.lit(p)) for p in RATES]) & parsing.tolerant_float(e["value"]).isNotNull()))
-    simple = _first(r, "positivity_rate")
-    composite = F.get(found, 0)
-    rate = F.coalesce(simple, composite["value"])
-    disease = F.coalesce(_first(r, "disease_name", False), F.when(simple.isNull(), disease_in_key(composite["key"])))
-    interval = parsing.interval(_first(r, "confidence_interval", False))
-    bounds = [_field(r, f"positivity_ci_{side}") for side in ("lower", "upper")]
-    none = bounds[0].isNull() & bounds[1].isNull()
-    low, high = (F.when(none, interval[i]).otherwise(parsing.tolerant_float(bounds[i])) for i in (0, 1))
+    rates = lambda e: reduce(lambda a, b: a | b, [F.contains(F.lower(e["key"]), F.lit(p)) for p in RATES]) & parsing.tolerant_float(e["value"]).isNotNull()
+    # what many fields come from is a column of its own: computed once a row, in steps short enough to be compiled
+    steps = records.withColumn("_simple", _first(r, "positivity_rate")).withColumn("_composite", F.when(F.col("_simple").isNull(), F.array_min(F.filter(F.map_entries(r), rates))))
+    simple, composite = F.col("_simple"), F.col("_composite")
     titer = F.when(_field(r, "gmc_value").isNull() & _field(r, "gmc").isNull() & _field(r, "geometric_mean_concentration").isNull() & F.coalesce(*[_field(r, t) for t in TITERS]).isNotNull(), "titer")
+    low, high = parsing.interval(_first(r, "confidence_interval", False))
+    steps = steps.withColumns({
+        "_rate": parsing.tolerant_float(F.coalesce(simple, composite["value"])), "_disease": F.coalesce(_first(r, "disease_name", False), disease_in_key(composite["key"])), "_gmc": parsing.tolerant_float(_first(r, "gmc_value")),
+        "_lower": _field(r, "positivity_ci_lower"), "_upper": _field(r, "positivity_ci_upper"), "_low": low, "_high": high, "_unit": F.coalesce(_field(r, "gmc_unit"), titer),
+    })
+    disease, none = F.col("_disease"), F.col("_lower").isNull() & F.col("_upper").isNull()
+    low, high = (F.when(none, F.col(said)).otherwise(parsing.tolerant_float(F.col(bound))) for said, bound in (("_low", "_lower"), ("_high", "_upper")))
     kind = _field(r, "estimate_type")
     columns = {
         "disease_name": names.standard_disease(disease, diseases) if diseases else F.when(F.length(disease) > 0, F.trim(disease)),
@@ -74,9 +76,9 @@ def standard_records(records: DataFrame, diseases: dict[str, str] | None = None)
         **{t: _field(r, t) for t in _TEXTS}, "estimate_type": F.when(kind.isin("primary", "subgroup"), kind).otherwise("primary"),
         **{w: F.regexp_extract(_field(r, w), r"^\s*([+-]?\d+)\s*$", 1).try_cast("int") for w in _WHOLE},
         **{n: parsing.tolerant_float(_field(r, n)) for n in _NUMBERS},
-        "positivity_rate": parsing.tolerant_float(rate), "positivity_ci_lower": low, "positivity_ci_upper": high, "gmc_value": parsing.tolerant_float(_first(r, "gmc_value")), "gmc_unit": F.coalesce(_field(r, "gmc_unit"), titer),
+        "positivity_rate": F.col("_rate"), "positivity_ci_lower": low, "positivity_ci_upper": high, "gmc_value": F.col("_gmc"), "gmc_unit": F.col("_unit"),
     }
-    return records.select(*[c for c in records.columns if c != "record" and c not in columns], *[c.alias(k) for k, c in columns.items()])
+    return steps.select(*[c for c in records.columns if c != "record" and c not in columns], *[c.alias(k) for k, c in columns.items()])
 
 
 def facts_of(records: DataFrame) -> DataFrame:
