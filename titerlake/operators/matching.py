@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titerlake.sources.adapters import dealt
+
 
 def _grams(text: str, n: int) -> Column:
     """Distinct runs of ``n`` characters; none of a shorter text."""
@@ -77,13 +79,15 @@ def city_places(facts: DataFrame, cities: DataFrame, centres: DataFrame) -> Data
     return ranked_lookup(facts, [exact, part, ("centre", centre.select("province", "position", *values), ["province"])], values, "position")
 
 
-def link_to_parents(facts: DataFrame) -> DataFrame:
+def link_to_parents(facts: DataFrame, tasks: int = 0) -> DataFrame:
     """``fact_id, parent_id, rank`` for every subgroup fact: the first primary one of its source, disease and type whose province
-    or city its ``parent_group`` names; for an empty group the first of them all; else null.
+    or city its ``parent_group`` names; for an empty group the first of them all; else null. Joins and groups take ``tasks``
+    tasks, if these are more than the session's.
     """
     keys = ["source_id", "disease", "data_type"]
     sub = facts.where(F.col("estimate_type") == "subgroup").select("fact_id", *keys, F.coalesce("parent_group", F.lit("")).alias("parent_group"))
     primary = facts.where(F.col("estimate_type") == "primary").select(*keys, F.col("fact_id").alias("parent_id"), "province", "city")
+    sub, primary = dealt(sub, tasks, *keys, "parent_group"), dealt(primary, tasks, *keys)
 
     def names(part: str) -> Column:
         return (F.length(part) > 0) & F.contains("parent_group", part)

@@ -9,7 +9,7 @@ from titerlake.operators import grounding, matching, merging, snapshots
 from titerlake.plans import sql
 from titerlake.plans.registry import query
 from titerlake.sources import references
-from titerlake.sources.adapters import catalogued_sources, evidence_sources, observations, table
+from titerlake.sources.adapters import catalogued_sources, evidence_sources, observations, table, tasks_for
 from titerlake.streaming import rescoring
 
 # Stored files, cities, parents
@@ -73,7 +73,7 @@ def parent_groups(spark, sf):
     """How subgroup facts find their parents: counts and a sum over the parents' ids by rank."""
     n = F.col("sample_size") % 4
     group = F.when(n == 0, F.concat(F.lit("all of "), "province")).when(n == 1, F.concat("city", F.lit(" sample"))).when(n == 2, "").otherwise("elsewhere")
-    links = matching.link_to_parents(observations(spark, sf).withColumn("parent_group", group))
+    links = matching.link_to_parents(observations(spark, sf).withColumn("parent_group", group), tasks_for(spark, sf, "lineitem"))
     linked = F.col("parent_id").isNotNull()
     return links.groupBy(linked.alias("linked"), "rank").agg(F.count("*").alias("n"), F.sum(F.col("parent_id") % 1000003).alias("parents"))
 
