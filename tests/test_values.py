@@ -183,7 +183,7 @@ def test_facts_meet_verdicts_in_as_many_tasks(spark, monkeypatch):
 
 
 #: How many exchanges of these queries hold no facts: those of the tags of sources.
-FEW = {"source_predicates": 2, "merge_preview": 0, "parent_groups": 0}
+FEW = {"source_predicates": 2, "merge_preview": 0, "parent_groups": 0, "first_of_passes": 0}
 
 
 @pytest.mark.parametrize("name", FEW)
