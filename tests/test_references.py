@@ -131,3 +131,24 @@ def test_written_records_read_back(spark, parsed, tmp_path):
     back = references.read_references(spark, f"file://{tmp_path}/out").collect()
     kept = ("title", "authors", "journal", "year", "doi", "abstract")
     assert sorted(fields(r, *kept) for r in back) == sorted(tuple(dict(zip(references.FIELDS, r, strict=True))[f] for f in kept) for r in rows)
+
+
+def test_texts_are_computed_once_for_all_readers(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = [*TEXTS.items(), ("null", None)]
+    files = spark.createDataFrame(rows, "file string, text string").withColumn("text", counted("text"))
+    assert {r["file"] for r in references.parse_references(files).collect()} == set(TEXTS) - {"none", "empty"}
+    assert seen.value == len(rows)
+
+
+def test_records_are_cut_once_for_all_fields(spark):
+    files = spark.createDataFrame([("a", PUBMED), ("b", DUXIU)], "file string, text string")
+    for read in (references.read_pubmed, references.read_duxiu):
+        plan = read(files)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("slice(lines") == 1 and plan.count("array_join(slice") == 1

@@ -295,7 +295,7 @@ def _bibliographies(spark, sf):
     pubmed = lines("PMID- 5\nTI  - ", title, "\n      and more\nFAU - ", who, "\nFAU - Second, B\nDP  - ", year, " Mar\n")
     duxiu = lines("1. [x]\n题 名：", title, " and more\n作 者：", who, "; Second, B\n出 处：J; ", year, ", 2\n")
     text = F.when(kind == 0, ris).when(kind == 1, enw).when(kind == 2, wos).when(kind == 3, pubmed).otherwise(duxiu)
-    return docs.where(F.length(title) > 0).select(F.col("source_id").cast("string").alias("file"), F.concat(text, text).alias("text"))
+    return docs.where(F.length(title) > 0).select(F.col("source_id").cast("string").alias("file"), F.repeat(text, 2).alias("text"))
 
 
 @query(

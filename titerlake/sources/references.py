@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from titerlake.sources.shared import Tables
+
 FIELDS = ("title", "authors", "journal", "year", "pub_date", "doi", "pmid", "pmcid", "abstract", "keywords", "source", "url", "issn", "institution")
 #: Tags of each field in the line formats: joined by blanks, joined by semicolons, or the last line alone (fixed values).
 TAGS = {
@@ -118,8 +121,11 @@ def read_tagged(files: DataFrame, form: str) -> DataFrame:
     return _record(records, fields | {"source": F.lit(SOURCE[form])})
 
 
-def _numbered(files: DataFrame, head: str, consecutive: bool) -> DataFrame:
-    """``file, record, text``: a file cut at the lines that begin with ``head``; if ``consecutive``, at those whose number follows the last one's."""
+def _numbered(files: DataFrame, head: str, consecutive: bool, **parts: Callable[[Column], Column]) -> DataFrame:
+    """``file, record, text`` and columns of its ``parts``: a file cut at the lines that begin with ``head``; if ``consecutive``, at those whose number follows the last one's.
+
+    Records are cut inside the generator: a text and its parts are computed once, whatever reads them, and no record carries the file's lines.
+    """
     lines = F.split("text", _BREAK)
     heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, head, 1).try_cast("int").alias("n"))), lambda h: h["n"].isNotNull())
     if consecutive:
@@ -128,9 +134,10 @@ def _numbered(files: DataFrame, head: str, consecutive: bool) -> DataFrame:
         starts = F.aggregate(heads, empty, follow)["at"]
     else:
         starts = F.transform(heads, lambda h: h["i"])
-    rows = files.select("file", lines.alias("lines"), starts.alias("starts")).select("file", "lines", "starts", F.posexplode("starts").alias("record", "at"))
-    stop = F.coalesce(F.get("starts", F.col("record") + 1), F.size("lines"))
-    return rows.select("file", "record", F.array_join(F.slice("lines", F.col("at") + 1, stop - F.col("at")), "\n").alias("text"))
+    rows = files.select("file", lines.alias("lines"), starts.alias("starts"))
+    texts = F.transform("starts", lambda at, r: F.array_join(F.slice("lines", at + 1, F.coalesce(F.get("starts", r + 1), F.size("lines")) - at), "\n"))
+    cut = F.transform(texts, lambda t: F.struct(t.alias("text"), *[of(t).alias(name) for name, of in parts.items()]))
+    return rows.select("file", F.posexplode(cut).alias("record", "r")).select("file", "record", "r.*")
 
 
 def read_duxiu(files: DataFrame) -> DataFrame:
@@ -143,11 +150,11 @@ def read_duxiu(files: DataFrame) -> DataFrame:
 
 def read_pubmed(files: DataFrame) -> DataFrame:
     """Numbered abstracts: a citation, title and authors in paragraphs of their own, or the short style of one paragraph."""
-    rows = _numbered(files, r"^(\d{1,4})\.\s", consecutive=True)
+    filled = lambda parts, trim: F.filter(F.transform(parts, trim), lambda x: x != "")
+    blocks = lambda t: filled(F.split(F.trim(t), r"\n\s*\n"), lambda b: F.btrim(b, F.lit(" \t\r\n")))
+    rows = _numbered(files, r"^(\d{1,4})\.\s", consecutive=True, b=blocks, l=lambda t: filled(F.split(t, "\n"), lambda x: F.trim(x)))
     text = F.col("text")
     flat = lambda b: F.trim(F.regexp_replace(b, r"\s+", " "))
-    blocks = F.filter(F.transform(F.split(F.trim(text), r"\n\s*\n"), lambda b: F.btrim(b, F.lit(" \t\r\n"))), lambda b: b != "")
-    rows = rows.select("file", "record", "text", blocks.alias("b"), F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("l"))
     block, line, year = (lambda i: F.get("b", i)), (lambda i: F.get("l", i)), _in_year(text)
     numberless = lambda t: F.regexp_replace(t, r"^\d+\.\s*", "")
     cited = block(0).rlike(r"(?i)doi:\s*\S+") | block(0).rlike(rf"\.\s*{_YEAR}")
@@ -205,12 +212,18 @@ def read_woscsv(files: DataFrame) -> DataFrame:
 
 
 def parse_references(files: DataFrame, form: str = "auto") -> DataFrame:
-    """``format`` and the records of all files; unless ``form`` names it, each file's format is detected, ``ris`` where none fits."""
-    files = files.where(F.length(F.trim("text")) > 0).withColumn("format", F.coalesce(detected_format(F.col("text")), F.lit("ris")) if form == "auto" else F.lit(form))
+    """``format`` and the records of all files; unless ``form`` names it, each file's format is detected, ``ris`` where none fits.
+
+    Texts and formats are computed once, into a table with a folder for each format; a reader reads its own.
+    """
     readers = {"pubmed": read_pubmed, "duxiu": read_duxiu, "woscsv": read_woscsv, **{f: (lambda rows, f=f: read_tagged(rows, f)) for f in LINES}}
-    parts = [read(files.where(F.col("format") == name)).withColumn("format", F.lit(name)) for name, read in readers.items() if form in ("auto", name)]
-    if not parts:
+    names = [name for name in readers if form in ("auto", name)]
+    if not names:
         raise ValueError(f"unknown format: {form}")
+    rows = files.select("file", "text", (F.coalesce(detected_format(F.col("text")), F.lit("ris")) if form == "auto" else F.lit(form)).alias("format"))
+    # blank files go after the table: before it, the filter would compute each text again
+    files = Tables(files.sparkSession, "references").write(rows, "format").where(F.length(F.trim("text")) > 0)
+    parts = [readers[name](files.where(F.col("format") == name)).withColumn("format", F.lit(name)) for name in names]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -25,10 +25,11 @@ class Tables:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.serial = spark, f"{shared_folder(spark)}/evidence/{label}-{uuid.uuid4().hex}", 0
 
-    def write(self, frame: DataFrame) -> DataFrame:
+    def write(self, frame: DataFrame, *by: str) -> DataFrame:
+        """``frame`` written and read back, with a folder for each value of ``by``, the last columns, if given."""
         self.serial += 1
         path = f"{self.root}/{self.serial:04d}"
-        frame.write.parquet(path)
+        frame.write.partitionBy(*by).parquet(path)
         back = self.spark.read.schema(frame.schema).parquet(path)
         back.table_path = path
         return back
