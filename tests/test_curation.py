@@ -168,6 +168,40 @@ def test_best_title_match_prefers_the_most_alike_then_the_first(spark):
     assert got == {"f": (3, 1.0), "g": (2, 0.75)}
 
 
+@pytest.mark.parametrize("least", [0.7, 0.5])
+def test_best_title_match_equals_all_pairs(spark, least):
+    rng = random.Random(11)
+    titles = [[f"w{rng.choice((rng.randrange(6), rng.randrange(60)))}" for _ in range(rng.choice((1, 2, 3, 4, 6, 8, 12)))] for _ in range(120)]
+    titles += [t[:i] + t[i + 1 :] + rng.choice(([], ["w70"], ["w71", "W72!"])) for t in titles[:90] for i in (rng.randrange(len(t)),)]
+    ids = rng.sample(range(1000), len(titles))
+    names = [(f"n{i % 230}", t[: i % 5] + t[i % 5 + i % 4 :]) for i, t in enumerate(titles + titles[:40])]  # some names have two titles
+    sources = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, titles, strict=True)] + [(1001, ""), (1002, None)], "source_id long, title string")
+    frame = spark.createDataFrame([(n, "-".join(t)) for n, t in names] + [("none", None)], "name string, title string")
+    sets = {i: {w.lower().strip("!") for w in t} for i, t in zip(ids, titles, strict=True) if t}
+    want = {}
+    for n, t in names:
+        q = set(w.lower().strip("!") for w in t)
+        scored = [(-len(q & k) / len(q | k), i) for i, k in sets.items() if q and len(q & k) / len(q | k) >= least]
+        if scored:
+            want[n] = min(*scored, want.get(n, (0, 0)))
+    want = {n: (i, round(-s, 4)) for n, (s, i) in want.items()}
+    got = [tuple(r) for r in merging.best_title_match(frame, sources, least).select("name", "source_id", "similarity").collect()]
+    assert len(got) == len(want) and {n: (i, s) for n, i, s in got} == want
+    assert {1.0} < {s for _, s in want.values()} and len({s for _, s in want.values()}) > 5
+
+
+def test_titles_that_lack_a_word_are_settled_by_keys(spark, monkeypatch):
+    """A group of alike titles, some names of which are equal: pairs that are compared grow with the titles, not with their square."""
+    met, likeness, n = spark.sparkContext.accumulator(0), linkage.likeness, 300
+    seen = F.udf(lambda _: met.add(1) or 0.0, "double")
+    monkeypatch.setattr(linkage, "likeness", lambda x, y: likeness(x, y) + seen(F.size(x)))
+    sources = spark.createDataFrame([(i, f"a b x{i} c d e f g") for i in range(n)], "source_id long, title string")
+    names = spark.createDataFrame([(f"{c}{i}", "a b c d e f g" if c == "p" else f"a b x{i} d e f g") for i in range(n) for c in "pq"], "name string, title string")
+    got = {r["name"]: (r["source_id"], r["similarity"]) for r in merging.best_title_match(names, sources).collect()}
+    assert got == {f"{c}{i}": (0 if c == "p" else i, 0.875) for i in range(n) for c in "pq"}
+    assert met.value < 20 * n
+
+
 def test_alike_sets_share_a_signature_and_others_rarely_do(spark):
     rng = random.Random(5)
     sets = [frozenset(rng.sample(range(40), rng.choice((1, 2, 3, 5, 8, 12)))) for _ in range(150)]

@@ -260,20 +260,36 @@ def import_preview(known: DataFrame, found: DataFrame) -> DataFrame:
 def best_title_match(titles: DataFrame, sources: DataFrame, least: float = 0.7) -> DataFrame:
     """``name, source_id, similarity``: of the sources whose title tokens are alike by ``least`` or more, the most alike one, and of equals the first.
 
-    Titles meet by the signatures of their rarest-first order, as in ``title_pairs``, never all with all.
+    Equal titles are one row on either side. No source is more alike than one with the same tokens, and next comes one with
+    a single token more, so titles that find such a source are settled by keys (``linkage.nearest_holders``). The others meet
+    sources by the signatures of their rarest-first order, as in ``title_pairs``, never all with all.
     """
-    def tokens(frame: DataFrame, key: str) -> DataFrame:
-        t = F.array_sort(F.array_distinct(F.filter(F.split(normal_title(F.col("title")), " "), lambda x: x != "")))
-        return frame.select(F.col(key).alias(key), t.alias("tokens")).where(F.size("tokens") > 0)
-
-    a, b = tokens(titles.select("name", F.col("title")), "name"), tokens(sources, "source_id")
-    classes = b.groupBy("tokens").agg(F.min("source_id").alias("source_id"))  # of equal titles only the first can win
-    counted = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    tables = Tables(sources.sparkSession, "titles")
 
-    def signed(frame: DataFrame, key: str) -> DataFrame:
-        ordered = linkage.rarest_first(frame.select(key, "tokens"), counted)
-        return ordered.select(key, F.col("tokens").alias(f"_{key}"), F.explode(linkage.signatures(F.col("ordered"), least)).alias("signature"))
-
-    found = signed(a, "name").join(signed(classes, "source_id"), "signature").withColumn("s", linkage.likeness("_name", "_source_id")).where(F.col("s") >= least)
-    best = found.groupBy("name").agg(F.min(F.struct((-F.col("s")).alias("m"), "source_id")).alias("b"))
-    return best.select("name", F.col("b.source_id").alias("source_id"), F.round(-F.col("b.m"), 4).alias("similarity"))
+    def tokens(frame: DataFrame, key: str) -> DataFrame:
+        t = F.sort_array(F.array_distinct(F.array_remove(F.split(normal_title(F.col("title")), " "), "")))
+        return tables.write(frame.select(F.col(key).alias(key), t.alias("tokens"))).where(F.size("tokens") > 0)
+
+    names = tokens(titles, "name")
+    wanted = tables.write(names.select("tokens").distinct())
+    classes = tables.write(tokens(sources, "source_id").groupBy("tokens").agg(F.min("source_id").alias("source_id")))  # of equal titles only the first can win
+    near = tables.write(linkage.nearest_holders(wanted, classes))
+    rest = tables.write(wanted.join(near, "tokens", "left_anti"))
+    tables.drop(wanted)
+    # the order is common to all if tokens that no title of the rest has come first
+    asked = rest.select(F.explode("tokens").alias("token")).distinct()
+    counted = classes.select(F.explode("tokens").alias("token")).join(asked, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    counted = tables.write(counted)  # so that Spark knows its size
+
+    def signed(sets: DataFrame, name: str) -> DataFrame:
+        ordered = linkage.rarest_first(sets, counted, least)
+        return ordered.withColumnRenamed("tokens", name).withColumn("signature", F.explode(linkage.signatures(F.col("ordered"), least))).drop("ordered")
+
+    found = signed(rest, "tokens").join(signed(classes, "held"), "signature").withColumn("s", linkage.likeness("tokens", "held")).where(F.col("s") >= least)
+
+    def first(rows: DataFrame, key: str) -> DataFrame:
+        order = F.struct((-F.col("s")).alias("m"), F.col("source_id").isNull().alias("unknown"), "source_id")
+        return rows.groupBy(key).agg(F.min(order).alias("b")).select(key, "b.source_id", (-F.col("b.m")).alias("s"))
+
+    best = near.where(F.col("s") >= least).unionByName(first(found, "tokens"))
+    return first(names.join(best, "tokens"), "name").select("name", "source_id", F.round("s", 4).alias("similarity"))

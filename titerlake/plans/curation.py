@@ -10,6 +10,7 @@ from titerlake.plans import sql
 from titerlake.plans.registry import query
 from titerlake.sources import references
 from titerlake.sources.adapters import catalogued_sources, evidence_sources, observations, table, tasks_for
+from titerlake.sources.shared import Tables
 from titerlake.streaming import rescoring
 
 # Stored files, cities, parents
@@ -153,7 +154,7 @@ SELECT name, source_id, round(s, 4) AS similarity FROM s WHERE s >= 0.7 QUALIFY
 )
 def best_title_match(spark, sf):
     """File titles that lack a word against all sources."""
-    sources = evidence_sources(spark, sf).select("source_id", "title")
+    sources = Tables(spark, "openings").write(evidence_sources(spark, sf).select("source_id", "title"))  # texts are read once
     short = F.array_join(F.filter(F.split("title", " "), lambda x, i: i != 2), " ")
     files = sources.where(F.col("source_id") % 2 == 1).select(F.concat(F.lit("file "), "source_id").alias("name"), short.alias("title"))
     return merging.best_title_match(files, sources)
